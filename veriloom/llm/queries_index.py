@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+from . import exact_dedup
+from .exact_dedup import op2_exact_dedup
+from .language import op8_language
+from .licenses import op10_licenses
+from .quality import op5_quality
 from .toxicity import op4_toxicity
+from .url_filter import op3_url_filter
 
 QUERIES = {
+    "op2_exact_dedup": op2_exact_dedup,
+    "op3_url_filter": op3_url_filter,
     "op4_toxicity": op4_toxicity,
+    "op5_quality": op5_quality,
+    "op8_language": op8_language,
+    "op10_licenses": op10_licenses,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_exact_dedup": exact_dedup.SQL,
+}
