@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import exact_dedup
+from .decontamination import op9_decontamination
 from .exact_dedup import op2_exact_dedup
 from .language import op8_language
 from .licenses import op10_licenses
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
     "op8_language": op8_language,
+    "op9_decontamination": op9_decontamination,
     "op10_licenses": op10_licenses,
 }
 
