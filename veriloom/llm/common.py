@@ -82,25 +82,41 @@ def mix(x: np.ndarray | int) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash of every word of every text, and where each text's words start (one entry more than texts).
+#: Bytes of the folded word form: ASCII letters in lower case, digits and all beyond ASCII stay, the rest are spaces.
+FOLDED = bytes(c if 0x61 <= c <= 0x7A or 0x30 <= c <= 0x39 or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
+
+
+def folded(column: pa.Array) -> pa.Array:
+    """The texts with every byte replaced by ``FOLDED``; null counts as empty."""
+    column = pc.fill_null(column.cast(pa.string()), "")
+    _, where, data = column.buffers()
+    offsets = np.frombuffer(where, np.int32)[column.offset : column.offset + len(column) + 1]
+    held = (data.slice(offsets[0], offsets[-1] - offsets[0]).to_pybytes() if data is not None and len(column) else b"").translate(FOLDED)
+    return pa.StringArray.from_buffers(len(column), pa.py_buffer((offsets - offsets[0]).astype(np.int32).tobytes()), pa.py_buffer(held))
+
+
+def split_words(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Every word of every text, and where each text's words start (one entry more than texts).
 
     Words are runs of characters other than space and U+0009 to U+000D.
     """
-    import xxhash
-
     lists = pc.ascii_split_whitespace(pc.fill_null(column.cast(pa.string()), ""))
     starts = lists.offsets.to_numpy().astype(np.int64)
-    flat = lists.values.slice(starts[0], starts[-1] - starts[0]) if len(starts) else lists.values
+    flat = lists.values.slice(starts[0], starts[-1] - starts[0])
     starts = starts - starts[0]
-    full = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False) if len(flat) else np.zeros(0, bool)
+    full = pc.greater(pc.binary_length(flat), 0)
+    before = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))]).astype(np.int64)
+    return (flat, starts) if before[-1] == len(flat) else (flat.filter(full), before[starts])
+
+
+def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word of every text, and where each text's words start."""
+    import xxhash
+
+    flat, starts = split_words(column)
     coded = flat.dictionary_encode()
     names = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.cast(pa.binary()).to_pylist()), np.uint64, len(coded.dictionary))
-    hashes = names[coded.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.zeros(0, np.uint64)
-    if len(full) and not full.all():
-        before = np.concatenate([[0], np.cumsum(full)])
-        starts, hashes = before[starts], hashes[full]
-    return hashes, starts
+    return names[coded.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.zeros(0, np.uint64), starts
 
 
 def bounded_labels(labels: DataFrame, label: str, id_col: str, usable: Column, most: int) -> DataFrame:

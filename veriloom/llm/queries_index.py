@@ -7,6 +7,7 @@ from .decontamination import op9_decontamination
 from .exact_dedup import op2_exact_dedup
 from .language import op8_language
 from .licenses import op10_licenses
+from .near_dedup import op7_near_dedup
 from .quality import op5_quality
 from .toxicity import op4_toxicity
 from .url_filter import op3_url_filter
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_url_filter": op3_url_filter,
     "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
+    "op7_near_dedup": op7_near_dedup,
     "op8_language": op8_language,
     "op9_decontamination": op9_decontamination,
     "op10_licenses": op10_licenses,
