@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -109,14 +110,40 @@ def split_words(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return (flat, starts) if before[-1] == len(flat) else (flat.filter(full), before[starts])
 
 
+_SEPARATES = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+
+
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of every word of every text, and where each text's words start."""
-    import xxhash
+    """A 64-bit hash of every word of every text, and where each text's words start (one entry more than texts).
 
-    flat, starts = split_words(column)
-    coded = flat.dictionary_encode()
-    names = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.cast(pa.binary()).to_pylist()), np.uint64, len(coded.dictionary))
-    return names[coded.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.zeros(0, np.uint64), starts
+    Words are as in ``split_words``.  The hash adds up a mixed value for each byte at its place in the word.
+    """
+    column = pc.fill_null(column.cast(pa.string()), "")
+    _, where, data = column.buffers()
+    offsets = np.frombuffer(where, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    held = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+    offsets = offsets - offsets[0]
+    inside = ~_SEPARATES[held]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    edges = offsets[:-1][np.diff(offsets) > 0]
+    begins[edges] = inside[edges]
+    at = np.flatnonzero(begins)
+    starts = np.searchsorted(at, offsets)
+    if not len(at):
+        return np.zeros(0, np.uint64), starts
+    place = np.arange(len(held), dtype=np.int64)
+    place -= np.repeat(np.concatenate([[0], at]), np.diff(np.concatenate([[0], at, [len(held)]])))
+    table = _byte_table()
+    near = place < len(table) // 256
+    value = table[(np.where(near, place, 0) << 8) | held] if near.all() else np.where(near, table[(np.where(near, place, 0) << 8) | held], mix((place << 8) | held))
+    value[~inside] = 0
+    return mix(np.add.reduceat(value, at)), starts
+
+
+@cache
+def _byte_table() -> np.ndarray:
+    return mix(np.arange(64 * 256))
 
 
 def bounded_labels(labels: DataFrame, label: str, id_col: str, usable: Column, most: int) -> DataFrame:
