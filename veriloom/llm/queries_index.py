@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, substring_dedup
 from .decontamination import op9_decontamination
 from .exact_dedup import op2_exact_dedup
 from .language import op8_language
 from .licenses import op10_licenses
 from .near_dedup import op7_near_dedup
 from .quality import op5_quality
+from .substring_dedup import op6_substring_dedup
 from .toxicity import op4_toxicity
 from .url_filter import op3_url_filter
 
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_url_filter": op3_url_filter,
     "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_near_dedup": op7_near_dedup,
     "op8_language": op8_language,
     "op9_decontamination": op9_decontamination,
@@ -25,4 +27,5 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_dedup": exact_dedup.SQL,
+    "op6_substring_dedup": substring_dedup.SQL,
 }
