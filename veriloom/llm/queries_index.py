@@ -9,11 +9,13 @@ from .language import op8_language
 from .licenses import op10_licenses
 from .near_dedup import op7_near_dedup
 from .quality import op5_quality
+from .sentencepiece_sampling import op1_sentencepiece
 from .substring_dedup import op6_substring_dedup
 from .toxicity import op4_toxicity
 from .url_filter import op3_url_filter
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_url_filter": op3_url_filter,
     "op4_toxicity": op4_toxicity,
