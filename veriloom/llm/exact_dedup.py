@@ -143,9 +143,17 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that stay."""
-    out = exact_dedup(docs_of(docs)).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(out, docs["doc_id"].cast("long").eqNullSafe(out["_id"]), "left_semi")
+    """The rows of ``docs``, with all their columns, that stay: exactly one of each set of equal texts."""
+    kept = exact_dedup(docs_of(docs)).where("kept").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows"), F.collect_set("text_sha256").alias("_digests"))
+    kept = stash(kept, "kept-ids")
+    same = docs["doc_id"].cast("long").eqNullSafe(kept["_id"])
+    once = docs.join(kept.where("_rows = 1"), same, "left_semi")
+    if not kept.where("_rows > 1").limit(1).count():
+        return once
+    # rows that repeat an id: one for each of the id's own kept texts
+    digest = F.lower(F.hex(digest_of(docs["text"].cast("string"))))
+    again = docs.join(kept.where("_rows > 1"), same).where(F.array_contains("_digests", digest)).withColumn("_digest", digest)
+    return once.unionByName(again.dropDuplicates(["_id", "_digest"]).select(*docs.columns))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
