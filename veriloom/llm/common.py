@@ -26,11 +26,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stash(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it again, which cuts its lineage."""
+    """Write ``df`` as Parquet to the shared folder and read it again, which cuts its lineage.
+
+    What the write shuffled isn't needed afterwards: collecting the driver's garbage lets Spark's cleaner delete
+    those files now rather than at its next periodic collection.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/veriloom/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stashed_at = path
+    spark.sparkContext._jvm.System.gc()
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a stashed table that nothing reads any more."""
+    jvm, context = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc
+    path = jvm.org.apache.hadoop.fs.Path(df._stashed_at)
+    path.getFileSystem(context.hadoopConfiguration()).delete(path, True)
 
 
 def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import docs_of, map_slices, mix, split_words, stash, table, word_hashes
+from .common import discard, docs_of, map_slices, mix, split_words, stash, table, word_hashes
 from .near_dedup import class_keys
 
 WINDOW, ROUNDS = 13, 2
@@ -201,7 +201,10 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     # anchors that stand in texts with different words
     text = F.shiftrightunsigned("c1", 16)
     spread = rows.select(F.explode("anchors").alias("anchor"), text.alias("text")).groupBy("anchor").agg(F.min("text").alias("lo"), F.max("text").alias("hi")).where("lo != hi").select("anchor")
-    listed = rows.select("doc_id", F.explode("anchors").alias("anchor")).join(spread, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("shared"))
+    spread = stash(spread, "spread-anchors")
+    listed = stash(rows.select("doc_id", F.explode("anchors").alias("anchor")).join(spread, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("shared")), "listed-anchors")
+    discard(rows)
+    discard(spread)
     # a text that repeats a smaller document whole needs no look at its windows
     listed = listed.join(roles.where("rep = doc_id").select("doc_id").distinct(), "doc_id", "left_semi")
     open_docs = stash(docs.join(listed, "doc_id"), "open-texts")
@@ -213,8 +216,9 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
         return pa.record_batch({"w1": first.view(np.int64), "w2": (second >> np.uint64(32)).astype(np.uint32).view(np.int32), "doc_id": ids[doc], "at": (at - starts[doc]).astype(np.int32)})
 
     windows = map_slices(open_docs, emit, "w1 long, w2 int, doc_id long, at int")
-    earliest = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("w1", "w2", "lo")
-    repeats = windows.join(earliest, ["w1", "w2"]).where("doc_id > lo").groupBy("doc_id").agg(F.collect_list("at").alias("at"))
+    earliest = stash(windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("w1", "w2", "lo"), "repeated-windows")
+    repeats = stash(windows.join(earliest, ["w1", "w2"]).where("doc_id > lo").groupBy("doc_id").agg(F.collect_list("at").alias("at")), "repeats")
+    discard(earliest)
 
     def cut(part: pa.RecordBatch) -> pa.RecordBatch:
         flat, starts = split_words(part.column("text"))
