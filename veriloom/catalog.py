@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import pair_plans, text_plans  # noqa: F401  modules register their queries on import
+from .plans import pair_plans, structure_plans, text_plans  # noqa: F401  modules register their queries on import
 from .plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
 
-FLAGSHIP = "flagship"
+FLAGSHIP = "prv_provenance"

@@ -109,7 +109,7 @@ def lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.lexical_pairs(claims(spark, sf_dir), FLOOR).select("doc_id", "a", "b", "common", F.round("sim", 6).alias("sim"))
 
 
-@query("flagship", f"WITH {_FLAGS} SELECT doc_id, a, b, round(sim, 6) AS sim, score_ab, score_ba, score FROM flags")
+@query("flags", f"WITH {_FLAGS} SELECT doc_id, a, b, round(sim, 6) AS sim, score_ab, score_ba, score FROM flags")
 def flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN1, NLI1, AGG1, FLT8, SRT1: contradiction flags between claims of different sections."""
     return scored_pairs(claims(spark, sf_dir)).where(F.col("score") >= THRESHOLD).select("doc_id", "a", "b", F.round("sim", 6).alias("sim"), "score_ab", "score_ba", "score")
