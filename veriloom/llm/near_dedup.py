@@ -2,8 +2,12 @@
 
 A text's five-word shingles are labelled with their occurrence number.  Each of ``SKETCHES`` hash orders picks
 the ``PICKED`` smallest labelled shingles and keeps them in text order; two texts that agree on one such pick
-are candidates.  In a bucket of candidates every text is held against the most central one, and against
-others only where they aren't yet known to belong together.  A link needs a Jaccard similarity of the labelled
+are candidates.  In a bucket of candidates every text is held against the most central one, its leader, so work
+grows with members and not with pairs.  What leaders leave open is taken up twice more: texts far from their
+leader are held against a leader of their own, and texts of one leader that no chain of links joins are grouped by
+each shingle that they have and the leader hasn't, and held against a leader of that group.  (A text that misses the
+link to its leader can have one to another text not shorter than the leader only if they share such a shingle.)  A
+link needs a Jaccard similarity of the labelled
 shingles of ``SIMILARITY`` or more, and as much edit similarity by banded alignment of the words.
 
 Texts with the same words are one class and are compared once.  Words are folded: ASCII letters in lower
@@ -19,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import docs_of, folded, map_slices, mix, stash, table, word_hashes
+from .common import discard, docs_of, folded, map_slices, mix, stash, table, word_hashes
 from .graph import components
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: 0.8 ** 6 is 0.26 for one pick to agree at the least similarity, and 1 - 0.74 ** 28 is 0.9998 for one of 28.
 SKETCHES, PICKED = 28, 6
+#: Texts with less of their leader's similarity than this are strangers to it.
+FAMILY = 0.2
 _NO_ID = -(2**63)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -154,11 +160,12 @@ def sketched(docs: DataFrame) -> DataFrame:
     return map_slices(docs, run, "doc_id long, k1 long, k2 long, n long, keys array<long>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """a, b, jaccard, linked for the pairs (a, b, a1, a2, b1, b2) of representative ids and their classes."""
-    nodes = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = stash(docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(_NO_ID))).join(nodes, "doc_id", "left_semi"), "candidate-texts")
-    joined = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """a, b, jaccard, linked and plus (b's shingles that a hasn't) for pairs (a, b) of class representatives."""
+    nodes = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct().join(classes.select("rep", "k1", "k2"), "rep").withColumnRenamed("rep", "doc_id")
+    texts = stash(docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(_NO_ID))).join(nodes, "doc_id"), "candidate-texts")
+    side = lambda p: texts.select(F.col("doc_id").alias(p), F.col("text").alias(f"text_{p}"), F.col("k1").alias(f"{p}1"), F.col("k2").alias(f"{p}2"))
+    joined = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a")
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         both = pa.concat_arrays([part.column("text_a").cast(pa.string()), part.column("text_b").cast(pa.string())])
@@ -172,52 +179,68 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
         out = []
         for r, (i, j) in enumerate(zip(at[:n].tolist(), at[n:].tolist(), strict=True)):
             if (k1[i], k2[i], k1[j], k2[j]) != tuple(w[r] for w in want):
-                out.append((None, None))  # a repeated id whose other text isn't the one in question
+                out.append((None, None, None))  # a repeated id whose other text isn't the one in question
                 continue
             similar, linked = jaccard(ordered[i], ordered[j]), False
             if similar >= SIMILARITY:
                 x, y = words[starts[i] : starts[i + 1]], words[starts[j] : starts[j + 1]]
                 linked = edit_distance(x, y, int((1 - SIMILARITY) * max(len(x), len(y)) + 1e-9)) is not None
-            out.append((similar, linked))
-        return pa.record_batch({"a": part.column("a"), "b": part.column("b"), "jaccard": pa.array([x for x, _ in out], pa.float64()), "linked": pa.array([x for _, x in out], pa.bool_())})
+            plus = np.setdiff1d(ordered[j], ordered[i], assume_unique=True).view(np.int64) if similar >= FAMILY else None
+            out.append((similar, linked, plus))
+        return pa.record_batch({"a": part.column("a"), "b": part.column("b"), "jaccard": pa.array([x[0] for x in out], pa.float64()), "linked": pa.array([x[1] for x in out], pa.bool_()), "plus": pa.array([x[2] for x in out], pa.list_(pa.int64()))})
 
-    return map_slices(joined, run, "a long, b long, jaccard double, linked boolean", text="text_b").where(F.col("linked").isNotNull()).dropDuplicates(["a", "b"])
+    got = map_slices(joined, run, "a long, b long, jaccard double, linked boolean, plus array<long>", text="text_b").where(F.col("linked").isNotNull())
+    got = stash(got, "verified")
+    discard(texts)
+    return got
+
+
+def _leaders(members: DataFrame) -> DataFrame:
+    """The most central member (rep, n, weight) of each bucket (key), ties to the smallest id."""
+    top = F.max(F.struct("weight", (-F.col("rep")).alias("order"), "rep", "n")).alias("top")
+    return members.groupBy("key").agg(top).select("key", F.col("top.rep").alias("a"), F.col("top.n").alias("na"))
+
+
+def _close(x: str, y: str):
+    """Numbers of shingles that leave the similarity possible."""
+    return F.least(x, y) >= SIMILARITY * F.greatest(x, y)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, group_id (the smallest id of its group), class_id, n_links of its class, kept, for every row of docs (doc_id, text)."""
+    """doc_id, group_id (the smallest id of its group), class_id, kept, for every row of docs (doc_id, text)."""
     rows = stash(sketched(docs), "sketches")
     ident = F.coalesce("doc_id", F.lit(_NO_ID))
     classes = stash(rows.groupBy("k1", "k2").agg(F.min(ident).alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")), "classes")
     # a class without words has no shingle and no partner
-    listed = classes.where("n > 0").select("rep", "k1", "k2", "n", F.explode("keys").alias("key"))
+    listed = classes.where("n > 0").select("rep", "n", F.explode("keys").alias("key"))
     sizes = listed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = stash(listed.join(sizes, "key"), "members")
+    members = listed.join(sizes, "key")
     central = members.groupBy("rep").agg(F.sum(F.log2("size")).alias("weight"))
-    members = stash(members.join(central, "rep"), "weighted-members")
-    leaders = members.groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("order"), "rep", "k1", "k2", "n")).alias("top")).select("key", "top.*")
-    lead = leaders.select("key", F.col("rep").alias("a"), F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("n").alias("na"))
-    close = lambda x, y: F.least(x, y) >= SIMILARITY * F.greatest(x, y)
-    to_leader = members.join(lead, "key").where((F.col("rep") != F.col("a")) & close(F.col("n"), F.col("na")))
-    stars = to_leader.select("a", "a1", "a2", F.col("rep").alias("b"), F.col("k1").alias("b1"), F.col("k2").alias("b2")).distinct()
-    first = stash(verified(stash(stars, "stars"), docs), "star-links")
-    found = components(first.where("linked"))
-    # what the leaders leave open: texts of one bucket that no chain of links joins yet
-    placed = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
-    left = stash(placed.join(split, "key"), "open-members")
-    x = left.select("key", F.col("rep").alias("a"), F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    y = left.select("key", F.col("rep").alias("b"), F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    rest = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & close(F.col("na"), F.col("nb"))).select("a", "a1", "a2", "b", "b1", "b2").distinct()
-    done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = stash(verified(stash(rest.join(done, ["a", "b"], "left_anti"), "open-pairs"), docs), "open-links")
-    links = first.unionByName(second).where("linked")
-    found = components(links)
-    degree = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
-    named = classes.select("k1", "k2", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
-    named = stash(named.select("k1", "k2", "rep", F.coalesce("component", "rep").alias("group"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "named-classes")
+    members = stash(members.join(central, "rep").drop("size"), "members")
+    led = stash(members.join(_leaders(members), "key").where("rep <> a"), "led-members")
+    stars = led.where(_close("n", "na")).select("a", F.col("rep").alias("b")).distinct()
+    first = verified(stars, docs, classes)
+    # far from the leader: a leader of their own (near the leader and far from it can't be similar to each other)
+    near = first.where(F.col("jaccard") >= 2 * FAMILY).select("a", F.col("b").alias("rep"))
+    far = stash(led.join(near, ["a", "rep"], "left_anti").drop("a", "na"), "far-members")
+    again = far.join(_leaders(far), "key").where("rep <> a").where(_close("n", "na")).select("a", F.col("rep").alias("b")).distinct()
+    second = verified(again.join(first.select("a", "b"), ["a", "b"], "left_anti"), docs, classes)
+    links = first.unionByName(second)
+    found = components(links.where("linked"))
+    # open texts of one leader: groups by a shingle that the leader hasn't
+    family = links.where("plus IS NOT NULL").select("a", "b", "linked", F.explode("plus").alias("p"))
+    family = family.join(found.withColumnRenamed("node", "b"), "b", "left").withColumn("component", F.coalesce("component", "b"))
+    top = F.max(F.struct("linked", (-F.col("b")).alias("order"), "b", "component")).alias("top")
+    groups = family.groupBy("a", "p").agg(top, F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("a", "p", F.col("top.b").alias("lead"), F.col("top.component").alias("its"))
+    open_ = family.join(groups, ["a", "p"]).where("component <> its").select(F.col("lead").alias("a"), "b").distinct()
+    n_of = lambda c: classes.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"))
+    open_ = open_.join(n_of("a"), "a").join(n_of("b"), "b").where(_close("na", "nb")).select("a", "b").join(links.select("a", "b"), ["a", "b"], "left_anti")
+    third = verified(stash(open_, "open-pairs"), docs, classes)
+    found = components(links.unionByName(third).where("linked"))
+    named = classes.select("k1", "k2", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    named = stash(named.select("k1", "k2", "rep", F.coalesce("component", "rep").alias("group")), "named-classes")
     real = lambda c: F.when(F.col(c) != _NO_ID, F.col(c))
-    return rows.select("doc_id", "k1", "k2").join(named, ["k1", "k2"]).select("doc_id", real("group").alias("group_id"), real("rep").alias("class_id"), "n_links", (ident == F.col("group")).alias("kept"))
+    return rows.select("doc_id", "k1", "k2").join(named, ["k1", "k2"]).select("doc_id", real("group").alias("group_id"), real("rep").alias("class_id"), (ident == F.col("group")).alias("kept"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
