@@ -116,92 +116,97 @@ def _trie(vocabulary: Vocabulary, alpha: float) -> Trie:
 
 
 class Lattice:
-    """Lattices of distinct units, one after the other: arcs in order of their start, with conditional probabilities."""
+    """Lattices of distinct units: arcs in order of their start, with conditional probabilities.
+
+    A node is a place in a unit.  Nodes are numbered by their distance from the unit's end, longer units first
+    within a distance, so that backward sums run over whole stretches of arcs; nodes below ``n_units`` are ends.
+    """
 
     def __init__(self, units: list[bytes], trie: Trie):
         size = np.array([len(u) for u in units], np.int64)
-        # a unit of n bytes has n + 1 nodes; the extra byte at its end matches nothing
+        self.n_units = len(units)
+        order = np.argsort(-size, kind="stable")
+        rank = np.empty(len(units), np.int64)
+        rank[order] = np.arange(len(units))
+        longest = int(size.max())
+        # base[r]: the first node at distance r
+        base = np.concatenate([[0], np.cumsum(np.cumsum(np.bincount(size, minlength=longest + 1)[::-1])[::-1])])
+        self.first_node = base[size] + rank
+        # the extra byte at a unit's end matches nothing
         text = np.frombuffer(b"\xff".join(units) + b"\xff", np.uint8)
-        self.first_node = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
-        self.last_node = self.first_node + size
-        end = np.repeat(self.last_node, size + 1)
+        end = np.repeat(np.cumsum(size + 1) - 1, size + 1)
+        places = np.arange(len(text))
+        node_of = (base[end - places] + np.repeat(rank, size + 1)).astype(np.int32)
         place = np.flatnonzero(((text & 0xC0) != 0x80) & (text < 0xF8))
-        starts, stops, ids = [], [], []
+        batches = []
         node, at, start = np.zeros(len(place), np.int32), place, place
         single = np.zeros(len(text), bool)
-        width = np.where(text < 0x80, 1, np.where(text < 0xE0, 2, np.where(text < 0xF0, 3, 4)))
+        width = _WIDTH[text]
         while len(at):
             node = trie.next[trie.row[node], text[at]]
-            keep = node >= 0
+            keep = np.flatnonzero(node >= 0)
             node, at, start = node[keep], at[keep] + 1, start[keep]
             piece = trie.ends[node]
-            done = piece >= 0
-            starts.append(start[done])
-            stops.append(at[done])
-            ids.append(piece[done])
-            single[start[done & (at - start == width[start])]] = True
-        # spelled out: all bytes of a character without a piece, and the bytes of a literal mark
+            done = np.flatnonzero(piece >= 0)
+            whole, to = start[done], at[done]
+            batches.append((node_of[whole], node_of[to], piece[done]))
+            single[whole[to - whole == width[whole]]] = True
+        # spelled out: all bytes of a character without a piece, bytes of no character, and those of a literal mark
         lead = np.zeros(len(text), np.int64)
         lead[place] = place
         lead = np.maximum.accumulate(lead)
-        raw = np.flatnonzero(((~single[lead]) | (text >= 0xF8)) & (np.arange(len(text)) < end))
+        raw = np.flatnonzero((~single[lead] | (places - lead >= width[lead]) | (text >= 0xF8)) & (places < end))
         value = np.where(text[raw] >= 0xF8, np.array([0xE2, 0x96, 0x81])[np.clip(text[raw].astype(int) - 0xF8, 0, 2)], text[raw])
-        starts.append(raw)
-        stops.append(raw + 1)
-        ids.append((trie.base + value).astype(np.int32))
+        batches.append((node_of[raw], node_of[raw + 1], (trie.base + value).astype(np.int32)))
         # arcs in order of their start: each batch has a start once at most, so counting places them
-        per_node = np.zeros(len(text), np.int64)
-        for own in starts:
-            per_node[own] += 1
-        self.first_arc = np.concatenate([[0], np.cumsum(per_node)])
+        held = np.zeros(len(text), np.int32)
+        for own, _, _ in batches:
+            held[own] += 1
+        self.first_arc = np.concatenate([[0], np.cumsum(held)]).astype(np.int32)
         n, filled = int(self.first_arc[-1]), self.first_arc[:-1].copy()
-        self.start, self.stop, self.piece = np.empty(n, np.int64), np.empty(n, np.int64), np.empty(n, np.int32)
-        for own, to, piece in zip(starts, stops, ids, strict=True):
-            at = filled[own]
-            self.start[at], self.stop[at], self.piece[at] = own, to, piece
+        self.stop, self.piece = np.empty(n, np.int32), np.empty(n, np.int32)
+        for own, to, piece in batches:
+            slot = filled[own]
+            self.stop[slot], self.piece[slot] = to, piece
             filled[own] += 1
-        self.closes = self.stop == end[self.start]
-        left = end[self.start] - self.start
-        order = np.argsort(left.astype(np.uint16) if n and left.max() < 65_536 else left, kind="stable")
-        start, stop, left, weight = self.start[order], self.stop[order], left[order], trie.weight[self.piece[order]]
         # backward sums, all units at once by distance from their end
         beta = np.full(len(text), -np.inf)
-        beta[self.last_node] = 0
-        total = np.empty(n)
-        bounds = np.flatnonzero(np.concatenate([[True], left[1:] != left[:-1]])) if n else np.zeros(0, np.int64)
-        for a, b in zip(bounds, np.append(bounds[1:], n), strict=True):
-            value = weight[a:b] + beta[stop[a:b]]
-            own = start[a:b]
-            new = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        beta[: self.n_units] = 0
+        self.logp = trie.weight[self.piece]
+        for r in range(1, longest + 1):
+            low, high = int(base[r]), int(base[r + 1])
+            nodes = np.flatnonzero(held[low:high]) + low
+            a, b = int(self.first_arc[low]), int(self.first_arc[high])
+            if a == b:
+                continue
+            value, new, counts = self.logp[a:b] + beta[self.stop[a:b]], self.first_arc[nodes] - a, held[nodes]
             top = np.maximum.reduceat(value, new)
-            safe = np.where(np.isfinite(top), top, 0)
-            beta[own[new]] = safe + np.log(np.maximum(np.add.reduceat(np.exp(value - np.repeat(safe, np.diff(np.append(new, b - a)))), new), 1e-300))
-            total[a:b] = value
-        self.logp = np.empty(n)
-        with np.errstate(invalid="ignore"):
-            self.logp[order] = np.where(np.isfinite(total), total - beta[start], -np.inf)
-        p = np.exp(self.logp)
-        sums = np.cumsum(p)
-        before = np.concatenate([[0.0], sums])[self.first_arc[self.start]]
-        self.p, self.upto = p, sums - before
-        last = self.first_arc[self.start + 1] - 1 == np.arange(len(self.start))
-        self.upto[last] = 2.0  # rounding never runs past the last arc
-        self.logp[p <= 0] = -np.inf
+            beta[nodes] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, counts)), new))
+            self.logp[a:b] = value - np.repeat(beta[nodes], counts)
+        self.p = np.exp(self.logp)
+        sums = np.concatenate([[0.0], np.cumsum(self.p)])
+        self.upto = sums[1:] - np.repeat(sums[self.first_arc[:-1]], held)
+        self.upto[self.first_arc[1:][held > 0] - 1] = 2.0  # rounding never runs past the last arc
         # log mass of all other arcs at an arc's start; what rounding leaves of none counts as none
+        others = 1 - self.p
         with np.errstate(divide="ignore"):
-            self.rest = np.where(1 - p > 1e-12, np.log(np.maximum(1 - p, 0)), -np.inf)
+            self.rest = np.where(others > 1e-12, np.log(np.maximum(others, 0)), -np.inf)
 
-    def walk(self, nodes: np.ndarray, ends: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def node(self, arc: int) -> int:
+        """The node that an arc starts from."""
+        return int(np.searchsorted(self.first_arc, arc, side="right")) - 1
+
+    def walk(self, nodes: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Draw a path from each node to its unit's end: the arcs in order, and the number of arcs of each walk."""
-        count = np.zeros(len(nodes), np.int64)
-        live = np.flatnonzero(nodes < ends)
-        at, seed, stop = nodes[live], seeds[live], ends[live]
+        count = np.zeros(len(nodes), np.int32)
+        live = np.flatnonzero(nodes >= self.n_units).astype(np.int32)
+        at, seed = nodes[live], seeds[live]
         steps, step = [], np.uint64(0)
         while len(live):
             with np.errstate(over="ignore"):
                 z = (seed + step * np.uint64(0xD1342543DE82EF95)) ^ (seed >> np.uint64(32))
                 z = (z ^ (z >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            u = (z >> np.uint64(11)).astype(float) * 2.0**-53
+            u = (z >> np.uint64(11)) * 2.0**-53
             arc = self.first_arc[at]
             more = np.flatnonzero(u >= self.upto[arc])
             while len(more):
@@ -210,16 +215,20 @@ class Lattice:
             steps.append((live, arc))
             count[live] += 1
             at = self.stop[arc]
-            on = np.flatnonzero(at < stop)
-            live, at, seed, stop = live[on], at[on], seed[on], stop[on]
+            on = np.flatnonzero(at >= self.n_units)
+            live, at, seed = live[on], at[on], seed[on]
             step += np.uint64(1)
         offset = np.concatenate([[0], np.cumsum(count)])
-        arcs = np.empty(offset[-1], np.int64)
+        arcs = np.empty(offset[-1], np.int32)
         for k, (who, arc) in enumerate(steps):
             arcs[offset[who] + k] = arc
         return arcs, count
 
 
+#: Bytes of the character that a byte begins.
+_WIDTH = np.array([1 if b < 0x80 else 2 if b < 0xE0 else 3 if b < 0xF0 else 4 for b in range(256)], np.int64)
+
+
 def _mix(z: int) -> int:
     """``mix`` of one number."""
     z = (z + 0x9E3779B97F4A7C15) & _ALL
@@ -284,7 +293,7 @@ class _Search:
         region = max(self.regions, key=lambda r: r[0])
         value, k, g, at, ahead, arcs, taken = region
         place, lattice = int(at[k]), self.lattice
-        node = lattice.start[arcs[place]]
+        node = lattice.node(arcs[place])
         gone = taken.setdefault(place, [int(arcs[place])])
         free = [a for a in range(int(lattice.first_arc[node]), int(lattice.first_arc[node + 1])) if a not in gone and lattice.p[a] > 0]
         p = [float(lattice.p[a]) for a in free]
@@ -331,14 +340,14 @@ def sample(rows: list[bytes], keys: np.ndarray, trie: Trie, k: int) -> tuple[Lat
             firsts = np.concatenate([[0], np.cumsum(lengths)])
             where = np.arange(firsts[-1]) + np.repeat(np.array([t[1] for t in todo]) - firsts[:-1], lengths)
             unit = occurrence[where]
-            nodes, ends = lattice.first_node[unit], lattice.last_node[unit]
+            nodes = lattice.first_node[unit]
             for first, length, (_, _, head, _, _) in zip(firsts.tolist(), lengths.tolist(), todo, strict=False):
                 if head is not None and length:
                     nodes[first] = lattice.stop[head[-1]]
             with np.errstate(over="ignore"):
                 seed = mix(np.array([searches[t[0]].key for t in todo], np.uint64) + np.uint64(s * 2 + 11))
                 seeds = mix(np.repeat(seed, lengths) + own[where].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            arcs, count = lattice.walk(nodes, ends, seeds)
+            arcs, count = lattice.walk(nodes, seeds)
             cuts = np.concatenate([[0], np.cumsum(count)])[firsts].tolist()
         for i, (d, _, head, opened, value) in enumerate(todo):
             tail = arcs[cuts[i] : cuts[i + 1]] if lattice is not None else np.zeros(0, np.int64)
@@ -349,7 +358,7 @@ def sample(rows: list[bytes], keys: np.ndarray, trie: Trie, k: int) -> tuple[Lat
                 if search.best() > -math.inf:
                     head, opened, value = search.take()
                     # the new arc lies in the unit after all those that the arcs before it close
-                    todo.append((d, int(begins[d]) + int(lattice.closes[head[:-1]].sum()), head, opened, value))
+                    todo.append((d, int(begins[d]) + int((lattice.stop[head[:-1]] < lattice.n_units).sum()), head, opened, value))
     return lattice, searches
 
 
