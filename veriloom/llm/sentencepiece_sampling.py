@@ -194,7 +194,7 @@ class Lattice:
 
     def node(self, arc: int) -> int:
         """The node that an arc starts from."""
-        return int(np.searchsorted(self.first_arc, arc, side="right")) - 1
+        return int(np.searchsorted(self.first_arc, np.int32(arc), side="right")) - 1
 
     def walk(self, nodes: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Draw a path from each node to its unit's end: the arcs in order, and the number of arcs of each walk."""
@@ -310,7 +310,7 @@ class _Search:
         g[k] = _below(value, float(ahead[place]) + math.log(left) + _gumbel(_uniform(_mix(salt)))) if left > 0 else -np.inf
         region[1] = int(g.argmax())
         region[0] = float(g[region[1]])
-        return np.append(arcs[:place], free[pick]), place + 1, value
+        return np.append(arcs[:place], np.int32(free[pick])), place + 1, value
 
 
 def units(rows: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -350,7 +350,7 @@ def sample(rows: list[bytes], keys: np.ndarray, trie: Trie, k: int) -> tuple[Lat
             arcs, count = lattice.walk(nodes, seeds)
             cuts = np.concatenate([[0], np.cumsum(count)])[firsts].tolist()
         for i, (d, _, head, opened, value) in enumerate(todo):
-            tail = arcs[cuts[i] : cuts[i + 1]] if lattice is not None else np.zeros(0, np.int64)
+            tail = arcs[cuts[i] : cuts[i + 1]] if lattice is not None else np.zeros(0, np.int32)
             searches[d].add(tail if head is None else np.concatenate([head, tail]), opened, value)
         todo = []
         if s + 1 < k:
