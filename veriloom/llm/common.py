@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text that one step of a Python operator holds at once; a longer single text forms a step of its own.
-SLICE_BYTES = 3_000_000
+SLICE_BYTES = 2_000_000
+#: Rows of an Arrow batch between the JVM and Python, in place of Spark's 10,000: whole texts are wide rows.
+BATCH_ROWS = 2_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -60,6 +62,14 @@ def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterato
         yield batch.slice(start)
 
 
+def narrow_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session now cuts Arrow batches at ``BATCH_ROWS`` unless its setting was changed before."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(conf.get(name, "10000")) == 10_000:
+        conf.set(name, BATCH_ROWS)
+    return df
+
+
 def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, text: str = "text", most: int = SLICE_BYTES) -> DataFrame:
     """``mapInArrow`` with ``fn`` applied to slices of bounded text size."""
 
@@ -69,8 +79,9 @@ def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | No
                 out = fn(part)
                 if out is not None and out.num_rows:
                     yield out
+            pa.default_memory_pool().release_unused()
 
-    return df.mapInArrow(run, schema)
+    return narrow_batches(df).mapInArrow(run, schema)
 
 
 def texts(column: pa.Array) -> list[bytes]:

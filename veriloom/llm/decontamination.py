@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import docs_of, map_slices, slices, table
+from .common import docs_of, map_slices, narrow_batches, slices, table
 
 Q = 10
 #: Edits allowed for each character of an item.
@@ -242,7 +242,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     held = {g[0] for g in find(part.column("text").cast(pa.string()).to_pylist(), index)}
                     yield part.filter(pa.array([i not in held for i in range(part.num_rows)])) if held else part
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = narrow_batches(docs).mapInArrow(run, docs.schema)
     return docs
 
 

@@ -183,14 +183,9 @@ class Lattice:
             top = np.maximum.reduceat(value, new)
             beta[nodes] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, counts)), new))
             self.logp[a:b] = value - np.repeat(beta[nodes], counts)
-        self.p = np.exp(self.logp)
-        sums = np.concatenate([[0.0], np.cumsum(self.p)])
+        sums = np.concatenate([[0.0], np.cumsum(np.exp(self.logp))])
         self.upto = sums[1:] - np.repeat(sums[self.first_arc[:-1]], held)
         self.upto[self.first_arc[1:][held > 0] - 1] = 2.0  # rounding never runs past the last arc
-        # log mass of all other arcs at an arc's start; what rounding leaves of none counts as none
-        others = 1 - self.p
-        with np.errstate(divide="ignore"):
-            self.rest = np.where(others > 1e-12, np.log(np.maximum(others, 0)), -np.inf)
 
     def node(self, arc: int) -> int:
         """The node that an arc starts from."""
@@ -267,11 +262,13 @@ class _Search:
             ahead = np.cumsum(lattice.logp[near])
             ahead[1:] = ahead[:-1]
             ahead[0] = 0
-            rest = lattice.rest[near[opened:]]
-            at = np.flatnonzero(rest > -np.inf) + opened
+            # mass of all other arcs at an arc's start; what rounding leaves of none counts as none
+            others = -np.expm1(lattice.logp[near[opened:]])
+            at = np.flatnonzero(others > 1e-12)
             best = -np.inf
             if len(at):
-                mass = ahead[at] + rest[at - opened]
+                mass, at = np.log(others[at]), at + opened
+                mass += ahead[at]
                 salt = np.uint64(_mix(self.key ^ len(self.paths) << 48))
                 z = mix((at.astype(np.uint64) << np.uint64(20)) ^ salt)
                 u = ((z >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53
@@ -295,8 +292,8 @@ class _Search:
         place, lattice = int(at[k]), self.lattice
         node = lattice.node(arcs[place])
         gone = taken.setdefault(place, [int(arcs[place])])
-        free = [a for a in range(int(lattice.first_arc[node]), int(lattice.first_arc[node + 1])) if a not in gone and lattice.p[a] > 0]
-        p = [float(lattice.p[a]) for a in free]
+        free = [a for a in range(int(lattice.first_arc[node]), int(lattice.first_arc[node + 1])) if a not in gone and lattice.logp[a] > -np.inf]
+        p = [math.exp(lattice.logp[a]) for a in free]
         self.draws += 1
         salt = _mix(self.key ^ self.draws * 0xA0761D6478BD642F & _ALL)
         u, pick = _uniform(salt) * sum(p), len(free) - 1
@@ -404,7 +401,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, k: int = SAMPL
         kinds = {"doc_id": pa.int64(), "rank": pa.int32(), "n_pieces": pa.int64(), "log_prob": pa.float64(), "perturbed": pa.float64(), "log_inclusion": pa.float64(), "ids_sha256": pa.string(), "round_trip": pa.bool_(), "ids": pa.list_(pa.int32())}
         return pa.record_batch({c: pa.array(v, kinds[c]) for c, v in out.items()})
 
-    return map_slices(docs, run, "doc_id long, rank int, n_pieces long, log_prob double, perturbed double, log_inclusion double, ids_sha256 string, round_trip boolean" + ", ids array<int>" * with_ids, most=2_000_000)
+    return map_slices(docs, run, "doc_id long, rank int, n_pieces long, log_prob double, perturbed double, log_inclusion double, ids_sha256 string, round_trip boolean" + ", ids array<int>" * with_ids, most=1_500_000)
 
 
 def decoded(encoded: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame:
