@@ -36,8 +36,7 @@ SEED = {" moron ": 4.0, " scum ": 4.0, " idiot ": 4.0, " loser ": 4.0, " trash "
 EXCEPTIONS = (" trash can ", " trash bin ", " clown fish ", " sore loser rule ", " class clown act ")
 
 _FOLD = {ord(k): v for k, v in HOMOGLYPHS.items()} | {ord(c): None for c in INVISIBLE} | {0xFF01 + i: chr(0x21 + i) for i in range(94)}
-_SUB = {ord(k): v for k, v in SUBSTITUTES.items()}
-_MIXED = re.compile(r"[^\W_]*(?:[^\W\d_][0-9@$!]+|[0-9@$]+)(?=[^\W\d_])[^\W_]*(?:[0-9@$!]+[^\W_]+)*")
+_MIXED = re.compile(r"(?<=[^\W\d_])[0-9@$!](?=[^\W_])|[0-9@$](?=[^\W\d_])")
 _WORD = re.compile(r"[^\W_]+")
 STEM_LENGTHS = range(4, 9)
 
@@ -47,7 +46,7 @@ def fold(text: str) -> str:
     text = text.lower()
     if not text.isascii():
         text = text.translate(_FOLD).lower()
-    text = _MIXED.sub(lambda m: m[0].translate(_SUB), text)
+    text = _MIXED.sub(lambda m: SUBSTITUTES.get(m[0], m[0]), text)
     return f" {' '.join(_WORD.findall(text))} "
 
 
