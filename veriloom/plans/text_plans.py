@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -21,42 +21,50 @@ def shaped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scalar(name: str, out: dict) -> None:
-    """A query that applies column functions to every sentence: out maps a name to a column and its SQL."""
+    """A query that applies functions of the text column to every sentence: out maps a name to a function and its SQL."""
     sql = f"{SHAPED_SQL} SELECT doc_id, sentence_id, " + ", ".join(f"{s} AS {c}" for c, (_, s) in out.items()) + " FROM s"
 
     @query(name, sql)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return shaped(spark, sf_dir).select("doc_id", "sentence_id", *[f.alias(c) for c, (f, _) in out.items()])
+        return shaped(spark, sf_dir).select("doc_id", "sentence_id", *[f(F.col("text")).alias(c) for c, (f, _) in out.items()])
 
 
-s, t = F.col("text"), "text"
+t = "text"
 joined = lambda x: F.array_join(x, "|")
 joined_sql = lambda x: f"array_to_string({x}, '|')"
-_scalar("txt_normalize_ws", {"out": (T.normalize_ws(s), T.normalize_ws_sql(t))})
-_scalar("txt_complete_sentence", {"complete": (T.is_complete(s), T.is_complete_sql(t))})
-_scalar("txt_speaker_label", {"out": (T.strip_speaker_label(s), T.strip_speaker_label_sql(t))})
-_scalar("txt_reporting_frame", {"out": (T.strip_reporting_frame(s), T.strip_reporting_frame_sql(t))})
-_scalar("txt_attribution_frame", {"out": (T.strip_attribution_frame(s), T.strip_attribution_frame_sql(t))})
-_scalar("txt_scored_text", {"out": (T.scored_text(s), T.strip_reporting_frame_sql("(" + T.strip_speaker_label_sql(t) + ")"))})
-_scalar("txt_content_words", {"n": (T.content_word_count(s), T.content_word_count_sql(t))})
-_scalar("txt_content_tokens", {"tokens": (joined(T.content_tokens(s)), joined_sql(T.content_tokens_sql(t)))})
-_scalar("txt_surface_tokens", {"tokens": (joined(T.surface_tokens(s)), joined_sql(T.surface_tokens_sql(t)))})
-_scalar("txt_entity_tokens", {"tokens": (joined(T.entity_tokens(s)), joined_sql(T.entity_tokens_sql(t)))})
-_scalar("txt_comparative", {"marker": (T.comparative_framing(s), T.comparative_framing_sql(t))})
-_scalar("txt_verb_or_number", {"found": (T.has_verb_or_number(s), T.has_verb_or_number_sql(t))})
-_scalar("txt_clean_generated", {"out": (T.clean_generated(F.regexp_replace(s, r"([.,%(])", " $1 ")), T.clean_generated_sql(rf"regexp_replace({t}, '([.,%(])', ' \1 ', 'g')"))})
-_source = F.substr(s, F.lit(30))
-_said = F.when(F.col("sentence_id") % 2 == 0, F.concat(F.regexp_replace(s, r"[.!?]+$", ""), F.lit(", Smith said."))).otherwise(F.concat(F.lit("Jones says that "), s))
+_scalar("txt_normalize_ws", {"out": (lambda s: T.normalize_ws(s), T.normalize_ws_sql(t))})
+_scalar("txt_complete_sentence", {"complete": (lambda s: T.is_complete(s), T.is_complete_sql(t))})
+_scalar("txt_speaker_label", {"out": (lambda s: T.strip_speaker_label(s), T.strip_speaker_label_sql(t))})
+_scalar("txt_reporting_frame", {"out": (lambda s: T.strip_reporting_frame(s), T.strip_reporting_frame_sql(t))})
+_scalar("txt_attribution_frame", {"out": (lambda s: T.strip_attribution_frame(s), T.strip_attribution_frame_sql(t))})
+_scalar("txt_scored_text", {"out": (lambda s: T.scored_text(s), T.strip_reporting_frame_sql("(" + T.strip_speaker_label_sql(t) + ")"))})
+_scalar("txt_content_words", {"n": (lambda s: T.content_word_count(s), T.content_word_count_sql(t))})
+_scalar("txt_content_tokens", {"tokens": (lambda s: joined(T.content_tokens(s)), joined_sql(T.content_tokens_sql(t)))})
+_scalar("txt_surface_tokens", {"tokens": (lambda s: joined(T.surface_tokens(s)), joined_sql(T.surface_tokens_sql(t)))})
+_scalar("txt_entity_tokens", {"tokens": (lambda s: joined(T.entity_tokens(s)), joined_sql(T.entity_tokens_sql(t)))})
+_scalar("txt_comparative", {"marker": (lambda s: T.comparative_framing(s), T.comparative_framing_sql(t))})
+_scalar("txt_verb_or_number", {"found": (lambda s: T.has_verb_or_number(s), T.has_verb_or_number_sql(t))})
+_scalar("txt_clean_generated", {"out": (lambda s: T.clean_generated(F.regexp_replace(s, r"([.,%(])", " $1 ")), T.clean_generated_sql(rf"regexp_replace({t}, '([.,%(])', ' \1 ', 'g')"))})
+
+
+def _source(s: Column) -> Column:
+    return F.substr(s, F.lit(30))
+
+
+def _said(s: Column) -> Column:
+    return F.when(F.col("sentence_id") % 2 == 0, F.concat(F.regexp_replace(s, r"[.!?]+$", ""), F.lit(", Smith said."))).otherwise(F.concat(F.lit("Jones says that "), s))
+
+
 _said_sql = r"(CASE WHEN sentence_id % 2 = 0 THEN regexp_replace(text, '[.!?]+$', '') || ', Smith said.' ELSE 'Jones says that ' || text END)"
-_scalar("txt_invented_attribution", {"tag": (T.invented_attribution(_said, _source), T.invented_attribution_sql(_said_sql, "substr(text, 30)")), "out": (T.strip_invented_attribution(_said, _source), T.strip_invented_attribution_sql(_said_sql, "substr(text, 30)"))})
-_scalar("txt_token_count", {"n": (T.count_tokens(s), r"CASE WHEN trim(text) = '' THEN 0 ELSE len(regexp_split_to_array(trim(text), '\s+')) END"), "head": (T.truncate(s, 8), r"array_to_string(regexp_split_to_array(trim(text), '\s+')[1:8], ' ')")})
-_scalar("flt_is_claim", {"claim": (T.is_claim(s), T.is_claim_sql(t))})
-_scalar("flt_speech_act", {"act": (T.speech_act(s), T.speech_act_sql(t)), "pleasantry": (T.is_pleasantry(s), T.is_pleasantry_sql(t)), "question": (T.is_question(s), "regexp_matches(text, '\\?[\"”'']*\\s*$')")})
+_scalar("txt_invented_attribution", {"tag": (lambda s: T.invented_attribution(_said(s), _source(s)), T.invented_attribution_sql(_said_sql, "substr(text, 30)")), "out": (lambda s: T.strip_invented_attribution(_said(s), _source(s)), T.strip_invented_attribution_sql(_said_sql, "substr(text, 30)"))})
+_scalar("txt_token_count", {"n": (lambda s: T.count_tokens(s), r"CASE WHEN trim(text) = '' THEN 0 ELSE len(regexp_split_to_array(trim(text), '\s+')) END"), "head": (lambda s: T.truncate(s, 8), r"array_to_string(regexp_split_to_array(trim(text), '\s+')[1:8], ' ')")})
+_scalar("flt_is_claim", {"claim": (lambda s: T.is_claim(s), T.is_claim_sql(t))})
+_scalar("flt_speech_act", {"act": (lambda s: T.speech_act(s), T.speech_act_sql(t)), "pleasantry": (lambda s: T.is_pleasantry(s), T.is_pleasantry_sql(t)), "question": (lambda s: T.is_question(s), "regexp_matches(text, '\\?[\"”'']*\\s*$')")})
 _LINE = "CASE sentence_id % 5 WHEN 0 THEN '## ' || substr(text, 1, 30) WHEN 1 THEN '3.1 ' || upper(substr(text, 1, 1)) || substr(text, 2, 20) WHEN 2 THEN upper(replace(substr(text, 1, 25), 'ß', 's')) WHEN 3 THEN 'Section 4.' ELSE text END"
-_scalar("flt_heading", {"title": (T.heading(F.expr(_LINE)), T.heading_sql(f"({_LINE})"))})
+_scalar("flt_heading", {"title": (lambda s: T.heading(F.expr(_LINE)), T.heading_sql(f"({_LINE})"))})
 _PAGE = "CASE sentence_id % 6 WHEN 0 THEN 'Page ' || (sentence_id + 1) || ' of 90' WHEN 1 THEN 'xiv' WHEN 2 THEN 'IV' WHEN 3 THEN (sentence_id || ' / 40') ELSE text END"
-_scalar("src_page_number", {"page": (F.expr(_PAGE).rlike(T.PAGE_NUMBER), f"regexp_matches({_PAGE}, {T.q(T.PAGE_NUMBER)})")})
-_scalar("src_header_key", {"key": (T.header_key(F.concat(F.lit("Annual Report  "), F.col("sentence_id").cast("string"), F.lit(" "), F.substring(s, 1, 20))), T.header_key_sql("('Annual Report  ' || sentence_id || ' ' || substr(text, 1, 20))"))})
+_scalar("src_page_number", {"page": (lambda s: F.expr(_PAGE).rlike(T.PAGE_NUMBER), f"regexp_matches({_PAGE}, {T.q(T.PAGE_NUMBER)})")})
+_scalar("src_header_key", {"key": (lambda s: T.header_key(F.concat(F.lit("Annual Report  "), F.col("sentence_id").cast("string"), F.lit(" "), F.substring(s, 1, 20))), T.header_key_sql("('Annual Report  ' || sentence_id || ' ' || substr(text, 1, 20))"))})
 
 
 @query("sentences", f"{KEYED_SQL} SELECT * FROM sentences")
