@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pairs import blocked_join, top_per_row
+from .storage import checkpointed
 
 
 def knn_graph(rows: DataFrame, k: int) -> DataFrame:
@@ -27,7 +28,7 @@ def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataF
     rank = out.select(F.col("src").alias("node"), F.lit(1.0 / n).alias("rank"))
     for i in range(rounds):
         rank = shares.join(rank, shares["src"] == rank["node"]).groupBy(F.col("dst").alias("node")).agg((F.lit((1 - damping) / n) + damping * F.sum(F.col("rank") * F.col("share"))).alias("rank"))
-        rank = rank.checkpoint() if i % 5 == 4 else rank
+        rank = checkpointed(rank) if i % 5 == 4 else rank
     return rank
 
 
