@@ -15,7 +15,7 @@ from ..operators import resolve as Z
 from ..operators import segment as S
 from ..operators.sentences import SENTENCES_SQL, sentences
 from .pair_plans import _CLAIMS, claims, scored_pairs, vectors
-from .registry import query, table
+from .registry import ORACLE_SQL, query, table
 
 # Rows of one label in order of their id stand for a document's sentences.
 _ROWS = "rows AS (SELECT label AS doc_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i, embedding AS v FROM embeddings)"
@@ -258,3 +258,28 @@ def resolutions(spark: SparkSession, sf_dir: str) -> DataFrame:
     flags = scored_pairs(planted(spark, sf_dir), 0.5).where("score >= 0.5")
     support = F.pmod(F.xxhash64("doc_id", F.lit("s")), F.lit(100)) / 100
     return Z.resolve(flags.select("doc_id", "a", "b", "score", (support * (F.col("a") % 7)).alias("support_a"), (support * (F.col("b") % 5)).alias("support_b")))
+
+
+@query(
+    "jn_cross_reference_protection",
+    f"""WITH {_CAND}, ctx AS (SELECT DISTINCT t.doc_id, t.sid, t.section_index FROM top t JOIN src h ON h.doc_id = t.doc_id AND h.sid = t.id WHERE rank <= 3 AND h.section_index <> t.section_index),
+    heads AS (SELECT src.doc_id, src.section_index, src.tokens FROM src JOIN summary s ON s.doc_id = src.doc_id AND s.id = src.sid),
+    cov AS (SELECT c.doc_id, c.sid, c.section_index, coalesce(len(list_intersect(x.tokens, y.tokens)) / nullif(sqrt(len(x.tokens)::DOUBLE * len(y.tokens)), 0), 0) AS sim FROM ctx c JOIN src x ON x.doc_id = c.doc_id AND x.sid = c.sid JOIN heads y ON y.doc_id = c.doc_id AND y.section_index = c.section_index)
+    SELECT doc_id, section_index, string_agg(sid::VARCHAR, ',' ORDER BY sid) AS protected FROM cov WHERE sim < 0.7 - 1e-12 GROUP BY ALL""",
+)
+def protection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN9, FLT10: sentences that another section drew on and their own section's summary doesn't cover, in order."""
+    rows = sentences(table(spark, sf_dir, "documents")).select("doc_id", F.col("sentence_id").alias("sid"), "section_index", "local_index", M.core(F.col("text")).alias("tokens"))
+    asks = rows.select("doc_id", F.col("sid").alias("id"), F.col("section_index").alias("asking"))
+    drawn = candidates(spark, sf_dir).select("doc_id", "id", "sid", "section_index").join(asks, ["doc_id", "id"]).where("asking <> section_index").select("doc_id", "sid", "section_index").distinct()
+    heads = rows.where("local_index = 0").select("doc_id", "section_index", F.col("tokens").alias("head"))
+    both = drawn.join(rows.select("doc_id", "sid", "tokens"), ["doc_id", "sid"]).join(heads, ["doc_id", "section_index"])
+    sim = F.coalesce(F.try_divide(F.size(F.array_intersect("tokens", "head")).cast("double"), F.sqrt(F.size("tokens").cast("double") * F.size("head"))), F.lit(0.0))
+    return both.where(sim < 0.7 - 1e-12).groupBy("doc_id", "section_index").agg(F.array_join(F.transform(F.array_sort(F.collect_list("sid")), lambda x: x.cast("string")), ",").alias("protected"))
+
+
+@query("agg_faithfulness", ORACLE_SQL["prv_provenance"].replace("SELECT s.doc_id, s.id, entailment", "SELECT doc_id, count(*) AS n, count(*) FILTER (status = 'supported') AS supported, round(avg(CASE WHEN status = 'supported' THEN 1.0 ELSE 0.0 END), 6) AS faithfulness FROM (SELECT s.doc_id, s.id, entailment") + ") GROUP BY doc_id")
+def faithfulness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG18: the share of summary sentences that their sources entail."""
+    ok = F.col("status") == "supported"
+    return provenance(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(ok).alias("supported"), F.round(F.avg(ok.cast("double")), 6).alias("faithfulness"))
