@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tests.helpers import rows
 
 from veriloom.config import Config, ConfigError, apply, override
-from veriloom.operators import merge, pairs, periods, resolve, segment
+from veriloom.operators import dialogue, graph, merge, pairs, periods, resolve, segment
 from veriloom.sources import checkpoint, ingest
 from veriloom.streaming.incremental import process_folder
 
@@ -137,3 +137,16 @@ def test_config_is_strict():
             override(Config(), bad)
     with pytest.raises(ConfigError):
         apply(Config(), {"x": {}})
+
+
+def test_dialogue(spark):
+    turns = spark.createDataFrame([(1, 0, "Ann Lee", "Good morning everyone. We expect that our sales will rise by 5 percent. Thank you. Will growth last through the whole fiscal year 2026?"), (1, 1, "Operator", "Hello.")], "conv_id long, turn long, speaker string, text string")
+    got = rows(dialogue.describe(turns), "turn")
+    assert got[0]["text"] == "Ann Lee said that the company expects that the company's sales will rise by 5 percent. Ann Lee asked: Will growth last through the whole fiscal year 2026?"
+    assert (got[0]["kept"], got[0]["dropped"]) == (2, 2)
+    assert (got[1]["text"], got[1]["kept"], got[1]["dropped"]) == ("", 0, 1)
+
+
+def test_betweenness_of_a_path(spark):
+    edges = spark.createDataFrame([(0, 1, 2), (0, 2, 3), (0, 3, 4)], "graph_id long, src long, dst long")
+    assert {r["node"]: r["betweenness"] for r in graph.betweenness(edges).collect()} == {1: 0, 2: 2, 3: 2, 4: 0}
