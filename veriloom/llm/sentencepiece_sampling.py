@@ -364,12 +364,13 @@ def decode(ids: np.ndarray, trie: Trie) -> bytes:
     return b"".join([trie.spell[i] for i in ids.tolist()])[1:]
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, k: int = SAMPLES, alpha: float = ALPHA, seed: int = SEED, with_ids: bool = False) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, k: int = SAMPLES, alpha: float = ALPHA, seed: int = SEED, with_ids: bool = False, slice_bytes: int = 3_000_000) -> DataFrame:
     """Rows (doc_id, rank, n_pieces, log_prob, perturbed, log_inclusion, ids_sha256, round_trip[, ids]) for docs (doc_id, text).
 
     ``perturbed`` is the Gumbel-perturbed log-probability.  ``log_inclusion`` is the logarithm of the probability
     that the segmentation is among those above the next perturbed value.  ``ids_sha256`` is of the ids as
-    little-endian 32-bit integers; ``round_trip`` says that they decode to the text.
+    little-endian 32-bit integers; ``round_trip`` says that they decode to the text.  ``slice_bytes`` of text share
+    one lattice: more make fewer distinct units a word, and take some 100 bytes of memory each.
     """
     vocabulary = vocabulary or Vocabulary.load()
 
@@ -401,7 +402,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, k: int = SAMPL
         kinds = {"doc_id": pa.int64(), "rank": pa.int32(), "n_pieces": pa.int64(), "log_prob": pa.float64(), "perturbed": pa.float64(), "log_inclusion": pa.float64(), "ids_sha256": pa.string(), "round_trip": pa.bool_(), "ids": pa.list_(pa.int32())}
         return pa.record_batch({c: pa.array(v, kinds[c]) for c, v in out.items()})
 
-    return map_slices(docs, run, "doc_id long, rank int, n_pieces long, log_prob double, perturbed double, log_inclusion double, ids_sha256 string, round_trip boolean" + ", ids array<int>" * with_ids, most=1_500_000)
+    return map_slices(docs, run, "doc_id long, rank int, n_pieces long, log_prob double, perturbed double, log_inclusion double, ids_sha256 string, round_trip boolean" + ", ids array<int>" * with_ids, most=slice_bytes)
 
 
 def decoded(encoded: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame:
