@@ -30,7 +30,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Two distinct sampled segmentations of each document, with their ids and inclusion scores."""
-    return sentencepiece_sampling.encode(docs_of(docs), k=2, with_ids=True)
+    return sentencepiece_sampling.encode(docs_of(docs), k=2, with_ids=True, slice_bytes=1_500_000)
 
 
 STAGES = [
