@@ -1,4 +1,6 @@
 import random
+import re
+import time
 
 import numpy as np
 import pytest
@@ -31,6 +33,27 @@ def test_folding(text):
     assert " idiot " in toxicity.fold(text) or " stupid " in toxicity.fold(text)
 
 
+@pytest.mark.parametrize("text, word", [("tr@$h", "trash"), ("l0$er", "loser"), ("tr4$h", "trash"), ("1d107", "idiot"), ("p@7h371c", "pathetic"), ("wow 5!$tup1d!!", "stupid")])
+def test_folding_runs_of_substitutes(text, word):
+    assert f" {word} " in toxicity.fold(text)
+
+
+def test_folding_equals_plain_pattern():
+    plain = re.compile(r"[^\W_]*(?:[^\W\d_][0-9@$!]+|[0-9@$]+)(?=[^\W\d_])[^\W_]*(?:[0-9@$!]+[^\W_]+)*")
+    rng = random.Random(3)
+    for _ in range(20_000):
+        text = "".join(rng.choice("aab059@$!!_ .é²٣") for _ in range(rng.randrange(12)))
+        want = plain.sub(lambda m: "".join(toxicity.SUBSTITUTES.get(c, c) for c in m[0]), text)
+        assert toxicity.fold(text).split() == re.findall(r"[^\W_]+", want), text
+
+
+def test_folding_takes_linear_time():
+    began = time.time()
+    for part in ("a", "1", "a1", "!", "1!", "a!", "@a", "1é!"):
+        toxicity.fold(part * 200_000)
+    assert time.time() - began < 20
+
+
 def test_folding_leaves_numbers_and_noise():
     assert toxicity.fold("In 2024, 35% of$$$ it.") == " in 2024 35 of it "
 

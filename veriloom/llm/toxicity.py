@@ -36,17 +36,34 @@ SEED = {" moron ": 4.0, " scum ": 4.0, " idiot ": 4.0, " loser ": 4.0, " trash "
 EXCEPTIONS = (" trash can ", " trash bin ", " clown fish ", " sore loser rule ", " class clown act ")
 
 _FOLD = {ord(k): v for k, v in HOMOGLYPHS.items()} | {ord(c): None for c in INVISIBLE} | {0xFF01 + i: chr(0x21 + i) for i in range(94)}
-_MIXED = re.compile(r"(?<=[^\W\d_])[0-9@$!](?=[^\W_])|[0-9@$](?=[^\W\d_])")
+_SUB = {ord(k): v for k, v in SUBSTITUTES.items()}
+# a whole run of letters, digits and signs that holds a digit or sign, and in it the first letter beside a substitute
+_MIXED = re.compile(r"(?<![^\W_])(?<![@$!])[^\W_0-9]*+[0-9@$!](?:[^\W_]|[@$!])*+")
+_BESIDE = re.compile(r"[0-9@$](?=[^\W\d_])|[^\W\d_](?=[0-9@$!]++[^\W\d_])")
 _WORD = re.compile(r"[^\W_]+")
 STEM_LENGTHS = range(4, 9)
 
 
+def _undo(mixed: re.Match) -> str:
+    """The run with its substitutes undone, but for signs around the word: signs at its end, and what an exclamation mark parts from its start."""
+    token = mixed[0]
+    beside = _BESIDE.search(token)
+    if not beside:
+        return token
+    a, b = beside.start(), len(token.rstrip("@$!"))
+    while a and token[a - 1] in "0123456789@$":
+        a -= 1
+    while a and token[a - 1].isalnum():
+        a -= 1
+    return token[:a] + token[a:b].translate(_SUB) + token[b:]
+
+
 def fold(text: str) -> str:
     """Folded words, each between single spaces."""
     text = text.lower()
     if not text.isascii():
         text = text.translate(_FOLD).lower()
-    text = _MIXED.sub(lambda m: SUBSTITUTES.get(m[0], m[0]), text)
+    text = _MIXED.sub(_undo, text)
     return f" {' '.join(_WORD.findall(text))} "
 
 
