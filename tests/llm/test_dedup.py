@@ -90,6 +90,25 @@ def test_near_on_documents_equals_brute_force(spark):
     assert got == plain_groups([(r.doc_id, r.text) for r in d.orderBy("doc_id").collect()])
 
 
+def test_near_short_texts_equal_brute_force(spark):
+    rng, texts = random.Random(8), []
+    for n in [*[8, 9] * 20, *range(1, 36)]:
+        words = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        texts += [(len(texts), " ".join(words)), (len(texts) + 1, " ".join([*words, "more"])), (len(texts) + 2, " ".join(["and", *words, "yet", "more"]))]
+    got = {r.doc_id: r.group_id for r in near_dedup.near_duplicates(common.docs_of(docs(spark, *texts))).collect()}
+    assert got == plain_groups(texts)
+
+
+def test_short_keys_meet_in_all_similar_texts():
+    rng = random.Random(2)
+    for _ in range(3_000):
+        whole = common.mix(np.array(rng.sample(range(10**9), rng.randrange(2, near_dedup.SHORT + 7))))
+        a, b = ([x for x in whole.tolist() if rng.random() > 0.1][: near_dedup.SHORT] for _ in range(2))
+        if len(a) > 1 and len(b) > 1 and near_dedup.jaccard(*(np.sort(np.array(x, np.uint64)) for x in (a, b))) >= 0.8:
+            keys, at = near_dedup.bucket_keys(np.array(a + b, np.uint64), np.array([0, len(a), len(a) + len(b)]))
+            assert set(keys[: at[1]].tolist()) & set(keys[at[1] :].tolist())
+
+
 def test_near_empty_and_null_ids(spark):
     assert near_dedup.near_duplicates(common.docs_of(spark.createDataFrame([], DOCS))).count() == 0
     got = rows(near_dedup.near_duplicates(common.docs_of(docs(spark, (None, "a b c d e f"), (3, "a b c d e f")))), "doc_id")

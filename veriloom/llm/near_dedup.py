@@ -2,7 +2,8 @@
 
 A text's five-word shingles are labelled with their occurrence number.  Each of ``SKETCHES`` hash orders picks
 the ``PICKED`` smallest labelled shingles and keeps them in text order; two texts that agree on one such pick
-are candidates.  In a bucket of candidates every text is held against the most central one, its leader, so work
+are candidates.  Texts of ``SHORT`` shingles or fewer are candidates if they share two shingles of their prefixes
+in hash order, which all similar ones do.  In a bucket of candidates every text is held against the most central one, its leader, so work
 grows with members and not with pairs.  What leaders leave open is taken up twice more: texts far from their
 leader are held against a leader of their own, and texts of one leader that no chain of links joins are grouped by
 each shingle that they have and the leader hasn't, and held against a leader of that group.  (A text that misses the
@@ -18,6 +19,8 @@ smallest.  Texts are read whole; an empty table gives no rows; other columns are
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +32,8 @@ from .graph import components
 SHINGLE, SIMILARITY = 5, 0.8
 #: 0.8 ** 6 is 0.26 for one pick to agree at the least similarity, and 1 - 0.74 ** 28 is 0.9998 for one of 28.
 SKETCHES, PICKED = 28, 6
+#: Texts of so many shingles or fewer get exact keys; sketches lose some pairs of them, since they pick without replacement.
+SHORT = 30
 #: Texts with less of their leader's similarity than this are strangers to it.
 FAMILY = 0.2
 _NO_ID = -(2**63)
@@ -97,6 +102,39 @@ def sketch(labelled: np.ndarray, first: np.ndarray) -> np.ndarray:
     return keys
 
 
+def short_keys(labelled: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts of 2 to ``SHORT`` shingles and their bucket keys, one row for each.
+
+    Similar texts share ``least`` shingles or more of each one's n, so the two smallest that they share are among
+    the n - least + 2 smallest of both.  Texts of one shingle have no similar ones outside their class.
+    """
+    count, texts, keys = np.diff(first), [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for n in range(2, SHORT + 1):
+        if not len(some := np.flatnonzero(count == n)):
+            continue
+        least = math.ceil(SIMILARITY * n - 1e-9)
+        low = np.sort(labelled[first[some][:, None] + np.arange(n)], axis=1)[:, : n - least + 2]
+        i, j = np.triu_indices(low.shape[1], 1)
+        with np.errstate(over="ignore"):
+            key = mix(mix(low[:, i] + _STEP) * _STEP + low[:, j])
+        texts.append(np.repeat(some, len(i)))
+        keys.append(key.ravel())
+    return np.concatenate(texts), np.concatenate(keys)
+
+
+def bucket_keys(labelled: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket keys of all texts, text by text, and where each text's begin."""
+    # a text too long for exact keys has no similar one among the shortest, which so need no sketches
+    sketches = np.flatnonzero(np.diff(first) >= math.ceil(SIMILARITY * (SHORT + 1) - 1e-9))
+    n, at = np.diff(first), np.zeros(len(first) - 1, bool)
+    at[sketches] = True
+    own, ends = labelled[np.repeat(at, n)], np.concatenate([[0], np.cumsum(n[sketches])])
+    texts, keys = short_keys(labelled, first)
+    texts, keys = np.concatenate([texts, np.repeat(sketches, SKETCHES)]), np.concatenate([keys, sketch(own, ends).ravel()])
+    order = np.argsort(texts, kind="stable")
+    return keys[order], np.searchsorted(texts[order], np.arange(len(first)))
+
+
 def class_keys(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """128 bits that name a text's word sequence."""
     size, place = np.diff(starts), np.arange(len(words)) - np.repeat(starts[:-1], np.diff(starts))
@@ -153,8 +191,8 @@ def sketched(docs: DataFrame) -> DataFrame:
         words, starts = word_hashes(folded(part.column("text")))
         k1, k2 = class_keys(words, starts)
         labelled, first = shingles(words, starts)
-        keys = sketch(labelled, first).view(np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * SKETCHES, pa.int32()), pa.array(keys.ravel()))
+        keys, begins = bucket_keys(labelled, first)
+        lists = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(keys.view(np.int64)))
         return pa.record_batch({"doc_id": part.column("doc_id"), "k1": k1, "k2": k2, "n": np.diff(first), "keys": lists})
 
     return map_slices(docs, run, "doc_id long, k1 long, k2 long, n long, keys array<long>")
