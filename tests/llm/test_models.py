@@ -210,6 +210,20 @@ def test_decontamination_equals_plain(spark):
     assert {r.doc_id for r in kept.collect()} == set(range(26)) - {d for d, _ in want}
 
 
+@pytest.mark.parametrize("place", [3, 5, 8, 85, 88, 90])
+def test_decontamination_edits_near_ends(place):
+    rng = random.Random(place)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(n))
+    for offset in range(24):
+        item = letters(93)
+        index = decontamination.build([(1, item)])
+        assert index.edits.tolist() == [7]
+        copy = f"{item[:40]}zzzzzz{item[46:]}"  # six edits; one more near an end, which moves the rest by a diagonal
+        for edited in (f"{copy[:place]}z{copy[place:]}", copy[:place] + copy[place + 1 :]):
+            for tail in ("", letters(30)):
+                assert [g[:2] for g in decontamination.find([letters(offset) + edited + tail], index)] == [(0, 0)], (offset, edited)
+
+
 def test_decontamination_blocks_and_empty(spark, monkeypatch):
     d, b = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
     whole = sorted(tuple(r) for r in decontamination.leaks(docs_of(d), b).collect())

@@ -172,13 +172,15 @@ def find(texts: list[str | None], index: Index, q: int = Q) -> list[tuple[int, i
     diagonal = where - starts[doc] - index.at[entry]
     width = index.edits[item] + 1
     bucket = diagonal // width
-    low = int(bucket.min())
+    low = int(bucket.min()) - 1
     span = int(bucket.max()) - low + 3
     key = (doc * len(index.ids) + item) * span + (bucket - low)
     keys, counts = np.unique(key, return_counts=True)
-    # a band is two neighbouring buckets; it begins at its first bucket that has a hit, or one before
-    following = np.searchsorted(keys, keys + 1)
-    both = counts + np.where((following < len(keys)) & (keys[np.minimum(following, len(keys) - 1)] == keys + 1), counts[np.minimum(following, len(keys) - 1)], 0)
+    # a band is two neighbouring buckets; it begins at a bucket that has a hit, or one before
+    begins = np.union1d(keys, keys - 1)
+    held = np.append(counts, 0)
+    of = lambda k: held[np.where(keys[at := np.minimum(np.searchsorted(keys, k), len(keys) - 1)] == k, at, len(keys))]
+    both, keys = of(begins) + of(begins + 1), begins
     pair = keys // span
     enough = both >= index.bound[pair % len(index.ids)]
     best: dict[tuple[int, int], tuple[int, int]] = {}
