@@ -124,13 +124,9 @@ def short_keys(labelled: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.
 
 def bucket_keys(labelled: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The bucket keys of all texts, text by text, and where each text's begin."""
-    # a text too long for exact keys has no similar one among the shortest, which so need no sketches
-    sketches = np.flatnonzero(np.diff(first) >= math.ceil(SIMILARITY * (SHORT + 1) - 1e-9))
-    n, at = np.diff(first), np.zeros(len(first) - 1, bool)
-    at[sketches] = True
-    own, ends = labelled[np.repeat(at, n)], np.concatenate([[0], np.cumsum(n[sketches])])
+    # sketches of short texts, too: their buckets mix fewer unlike texts, which leaders can part
     texts, keys = short_keys(labelled, first)
-    texts, keys = np.concatenate([texts, np.repeat(sketches, SKETCHES)]), np.concatenate([keys, sketch(own, ends).ravel()])
+    texts, keys = np.concatenate([texts, np.repeat(np.arange(len(first) - 1), SKETCHES)]), np.concatenate([keys, sketch(labelled, first).ravel()])
     order = np.argsort(texts, kind="stable")
     return keys[order], np.searchsorted(texts[order], np.arange(len(first)))
 
