@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from functools import cache
@@ -19,14 +20,24 @@ BATCH_ROWS = 2_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``, set here only if unset."""
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a session on one machine takes a temporary folder; a cluster, whose machines share none, is an error.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = "/tmp/veriloom-checkpoints"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        where = _local_dir()
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
 
 
+@cache
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="veriloom-")
+
+
 def stash(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again, which cuts its lineage.
 
@@ -42,11 +53,46 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a stashed table that nothing reads any more."""
-    jvm, context = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc
-    path = jvm.org.apache.hadoop.fs.Path(df._stashed_at)
-    path.getFileSystem(context.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete stashed tables that nothing reads any more."""
+    for df in tables:
+        jvm, context = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc
+        path = jvm.org.apache.hadoop.fs.Path(df._stashed_at)
+        path.getFileSystem(context.hadoopConfiguration()).delete(path, True)
+
+
+#: Groups of more rows than this, and than a thousandth of all rows, are broadcast: there are a thousand at most.
+HEAVY_ROWS = 1_000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, n_rows: int) -> DataFrame:
+    """``rows`` joined on ``keys`` with one row for each group; no task gets all rows of a large group.
+
+    ``size`` names the column of ``groups`` that counts a group's rows, ``n_rows`` all rows.
+    """
+    large = F.col(size) > max(HEAVY_ROWS, n_rows // 1_000)
+    heavy = F.broadcast(groups.where(large))
+    return rows.join(heavy, keys).unionByName(rows.join(F.broadcast(groups.where(large).select(*keys)), keys, "left_anti").join(groups.where(~large), keys))
+
+
+def keep_rows(docs: DataFrame, decided: DataFrame, key_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stay.
+
+    ``decided`` has doc_id, key and kept for each row of docs; of rows that share id and key one stays if they are
+    kept.  ``key_of`` adds the key to rows (doc_id, text); only ids that repeat need it.
+    """
+    counts = stash(decided.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows"), F.sum(F.col("kept").cast("int")).alias("_kept")).where("_kept > 0"), "kept-ids")
+    once = docs.join(counts.where("_rows = 1"), docs["doc_id"].cast("long").eqNullSafe(counts["_id"]), "left_semi")
+    if not counts.where("_rows > 1").limit(1).count():
+        return once
+    wrapped = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    again = wrapped.join(counts.where("_rows > 1"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    keys = decided.where("kept").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
+    keyed = key_of(again.select("doc_id", "text").distinct()).select("doc_id", "text", "key")
+    chosen = keyed.join(keys, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))).groupBy("doc_id", "key").agg(F.min("text").alias("text"))
+    chosen = chosen.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
+    one = again.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text") == F.col("_text"))).groupBy("doc_id", "text").agg(F.first("row").alias("row"))
+    return once.unionByName(one.select("row.*"))
 
 
 def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

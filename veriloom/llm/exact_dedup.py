@@ -1,9 +1,11 @@
 """Exact dedup with a minimal perfect hash over historical distinct digests.
 
 Rows with the higher half of the ids are the history: their distinct digests, dealt by hash to shards of
-bounded size, get one minimal perfect hash a shard, whose slots hold the full digest and the locator of the
-winning row.  Distinct digests of the other rows are looked up there and compared byte for byte: members are
-repeats of the slot's winner; nonmembers group among themselves.
+bounded size, get one minimal perfect hash a shard, whose slots hold the full digest, the locator of the
+winning row and the number of rows.  Distinct digests of the other rows are looked up there and compared byte for
+byte: members are repeats of the slot's winner and add to its rows; nonmembers group among themselves.  What the
+shards answer, slots and nonmembers, is the list of groups; rows take their group's answer by digest, those of
+very large groups from a broadcast list of a thousand groups at most.
 
 Null texts count as empty, and all empty texts are equal.  A null id counts as smaller than any other and
 leaves ``kept`` false unless all ids of the group are null.  Rows that share text and id are one document and
@@ -17,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import docs_of, mix, stash, table
+from .common import docs_of, join_groups, keep_rows, mix, stash, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Distinct digests of a shard, on average; a shard is one task's working set (some 60 bytes a digest).
-SHARD_DIGESTS = 50_000
+SHARD_DIGESTS = 4_000
 LEVELS = 40
 
 
@@ -35,7 +37,7 @@ def _key(digests: np.ndarray) -> np.ndarray:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 32)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 32) if len(column) else np.zeros((0, 32), np.uint8)
 
 
 class MinimalPerfectHash:
@@ -102,58 +104,54 @@ def _build(group: pa.Table) -> pa.Table:
 
 
 def _look_up(asked: pa.Table, index: pa.Table) -> pa.Table:
-    found = np.full(asked.num_rows, None, object)
-    if asked.num_rows and index.num_rows:
+    """A shard's groups: its slots, with the asked rows that they answer, and the asked digests that are in no slot."""
+    digests, own, n = _matrix(asked.column("digest").combine_chunks()), asked.column("locator").to_numpy(), asked.column("n").to_numpy()
+    member, slots, winners, counts = np.zeros(len(own), bool), np.zeros((0, 32), np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if index.num_rows:
         row = {c: index.column(c)[0].as_py() for c in index.column_names}
         *sizes, longer = row["sizes"]
         flat = np.unpackbits(np.frombuffer(row["bits"], np.uint8), count=sum(sizes)).astype(bool)
         mph = MinimalPerfectHash(sizes, np.split(flat, np.cumsum(sizes)[:-1]) if sizes else [], np.frombuffer(row["rest"], np.uint64))
-        digests = _matrix(asked.column("digest").combine_chunks())
-        keys = _key(digests)
-        if longer:
-            keys = keys ^ mix(np.ascontiguousarray(digests[:, 8:16]).view(np.uint64).ravel())
-        at = mph.slots(keys)
-        full = np.frombuffer(row["digests"], np.uint8).reshape(-1, 32)
-        member = (at >= 0) & (full[np.maximum(at, 0)] == digests).all(axis=1)
-        found[member] = np.frombuffer(row["locators"], np.int64)[at[member]]
-    return pa.table({"digest": asked.column("digest"), "n": asked.column("n"), "own": asked.column("locator"), "winner": pa.array(found.tolist(), pa.int64())})
-
-
-def exact_groups(digests: DataFrame) -> DataFrame:
-    """(digest, keep_id, group_size) of the table (doc_id, digest)."""
+        slots, winners, counts = np.frombuffer(row["digests"], np.uint8).reshape(-1, 32), np.frombuffer(row["locators"], np.int64), np.frombuffer(row["counts"], np.int64).copy()
+        if len(own):
+            keys = _key(digests)
+            if longer:
+                keys = keys ^ mix(np.ascontiguousarray(digests[:, 8:16]).view(np.uint64).ravel())
+            at = mph.slots(keys)
+            member = (at >= 0) & (slots[np.maximum(at, 0)] == digests).all(axis=1)
+            counts[at[member]] += n[member]  # asked digests are distinct, so no slot comes twice
+    return pa.table({"digest": pa.array([d.tobytes() for d in np.concatenate([slots, digests[~member]])], pa.binary()), "keep_id": np.concatenate([winners, own[~member]]), "group_size": np.concatenate([counts, n[~member]])})
+
+
+def exact_groups(digests: DataFrame) -> tuple[DataFrame, int]:
+    """(digest, keep_id, group_size) of the table (doc_id, digest), and the number of its rows."""
     low, high, n = digests.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
     pivot = low + (high - low) // 2 if low is not None else 0
     shards = max(1, -(-n // SHARD_DIGESTS))
     shard = F.pmod(F.xxhash64("digest"), F.lit(shards)).alias("shard")
     counted = lambda rows: rows.groupBy("digest").agg(F.max(F.coalesce("doc_id", F.lit(-(2**63)))).alias("locator"), F.count("*").alias("n")).select(shard, "digest", "locator", "n")
-    history = counted(digests.where(F.col("doc_id") > pivot))
+    index = counted(digests.where(F.col("doc_id") > pivot)).groupBy("shard").applyInArrow(_build, _INDEX)
     asked = counted(digests.where(F.col("doc_id").isNull() | (F.col("doc_id") <= pivot)))
-    index = history.groupBy("shard").applyInArrow(_build, _INDEX)
-    found = asked.groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(_look_up, "digest binary, n long, own long, winner long")
-    both = history.select("digest", F.col("locator").alias("keep_id"), "n").unionByName(found.select("digest", F.coalesce("winner", "own").alias("keep_id"), "n"))
-    groups = both.groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
-    return groups.withColumn("keep_id", F.when(F.col("keep_id") != -(2**63), F.col("keep_id")))
+    groups = asked.groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(_look_up, "digest binary, keep_id long, group_size long")
+    return groups.withColumn("keep_id", F.when(F.col("keep_id") != -(2**63), F.col("keep_id"))), n
+
+
+def decisions(docs: DataFrame) -> DataFrame:
+    """doc_id, keep_id, group_size, kept and key (the digest) for every row of docs (doc_id, text)."""
+    digests = stash(docs.select("doc_id", digest_of(F.col("text")).alias("digest")), "digests")
+    groups, n = exact_groups(digests)
+    joined = join_groups(digests, stash(groups, "digest-groups"), ["digest"], "group_size", n)
+    return joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("key"))
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs (doc_id, text)."""
-    digests = stash(docs.select("doc_id", digest_of(F.col("text")).alias("digest")), "digests")
-    groups = stash(exact_groups(digests), "digest-groups")
-    return digests.join(groups, "digest").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    return decisions(docs).withColumn("text_sha256", F.lower(F.hex("key"))).drop("key")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, that stay: exactly one of each set of equal texts."""
-    kept = exact_dedup(docs_of(docs)).where("kept").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows"), F.collect_set("text_sha256").alias("_digests"))
-    kept = stash(kept, "kept-ids")
-    same = docs["doc_id"].cast("long").eqNullSafe(kept["_id"])
-    once = docs.join(kept.where("_rows = 1"), same, "left_semi")
-    if not kept.where("_rows > 1").limit(1).count():
-        return once
-    # rows that repeat an id: one for each of the id's own kept texts
-    digest = F.lower(F.hex(digest_of(docs["text"].cast("string"))))
-    again = docs.join(kept.where("_rows > 1"), same).where(F.array_contains("_digests", digest)).withColumn("_digest", digest)
-    return once.unionByName(again.dropDuplicates(["_id", "_digest"]).select(*docs.columns))
+    return keep_rows(docs, decisions(docs_of(docs)), lambda rows: rows.withColumn("key", digest_of(F.col("text"))))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
