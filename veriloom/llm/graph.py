@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import discard, stash
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -23,6 +23,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         jumped = lower.join(labels.select(F.col("node").alias("low"), F.col("component").alias("lower")), "low")
         after = stash(jumped.select("node", "was", F.least("low", "lower").alias("component")), "labels")
         changed = after.where(F.col("was") != F.col("component")).limit(1).count()
+        discard(labels)
         labels = after.select("node", "component")
+        labels._stashed_at = after._stashed_at
         if not changed:
+            discard(both)
             return labels
