@@ -6,9 +6,11 @@ e of one diagonal (document position minus item position).  Hits are counted in
 diagonals; bands that reach the bound are verified by banded alignment.  Q-grams that very many items hold are
 left out of the index, and the bound of each item falls by as many, so that it stays a bound.
 
-Items go to the executors in blocks of bounded size, each against all documents.  Null texts count as empty
-and hold nothing; items of fewer than ``Q`` characters are no evidence and never match; repeated items or
-rows repeat their matches; empty tables give no rows; other columns are ignored; texts are read whole.
+Items go to the executors in blocks of bounded size, each against all documents.  Items of fewer than ``Q`` characters
+have no q-gram: they match where they stand unchanged, as whole words, and the first place counts.  Of equally good
+places of a longer item the one that ends first counts.  Null texts count as empty and hold nothing, and as items are
+none; a null item id stays null; repeated items or rows repeat their matches; empty tables give no rows; other columns
+are ignored; texts are read whole, and hits counted in pieces of bounded size.
 """
 
 from __future__ import annotations
@@ -31,13 +33,15 @@ BLOCK_CHARS = 1_000_000
 #: A q-gram that more items of a block hold is left out where the items' bounds allow it.
 COMMON = 12
 _FILTER_BITS = 22
+#: Shared q-grams that are spread over diagonals at once.
+HITS = 1_000_000
 
 
 @cache
 def _folded() -> np.ndarray:
     """Each code point's lower-case form if it is a letter or digit, else a space."""
     out = np.full(0x110000, 32, np.uint32)
-    for c in range(0x32000):
+    for c in range(0x110000):
         ch = chr(c)
         if ch.isalnum():
             low = ch.lower()
@@ -95,14 +99,22 @@ class Index:
     item: np.ndarray
     at: np.ndarray
     bits: np.ndarray
+    short: dict[int, tuple[np.ndarray, np.ndarray]]
 
 
 def build(rows: list[tuple], q: int = Q, rate: float = EDIT_RATE) -> Index:
     """Index of (item_id, text) rows."""
     flat, starts, _ = normalise([t for _, t in rows])
     chars = [flat[a + 1 : b] for a, b in zip(starts[:-1], starts[1:], strict=True)]
-    usable = [i for i, c in enumerate(chars) if len(c) >= q]
-    ids, chars = [rows[i][0] for i in usable], [chars[i] for i in usable]
+    # items below q characters, by length: hashes of the item with the spaces around it, and who has them
+    usable, short = [i for i, c in enumerate(chars) if len(c) >= q], {}
+    for m in sorted({len(c) for c in chars if 0 < len(c) < q}):
+        own = [i for i, c in enumerate(chars) if len(c) == m]
+        names = np.concatenate([grams(np.concatenate([[32], chars[i], [32]]).astype(np.uint32), m + 2) for i in own])
+        order = np.argsort(names, kind="stable")
+        short[m] = names[order], len(usable) + sum(len(v[1]) for v in short.values()) + np.arange(len(own))[order]
+    tail = [i for m in sorted(short) for i, c in enumerate(chars) if len(c) == m]
+    ids, chars = [rows[i][0] for i in usable + tail], [chars[i] for i in usable]
     size = np.array([len(c) for c in chars], np.int64)
     # the largest budget that leaves a bound of one shared q-gram at least
     edits = np.minimum((size * rate).astype(np.int64), np.maximum(0, (size - q) // q))
@@ -122,7 +134,7 @@ def build(rows: list[tuple], q: int = Q, rate: float = EDIT_RATE) -> Index:
     hashes, item, at = hashes[order], item[order], at[order]
     bits = np.zeros(1 << _FILTER_BITS, bool)
     bits[(hashes >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-    return Index(ids, chars, edits, bound, hashes, item, at, bits)
+    return Index(ids, chars, edits, bound, hashes, item, at, bits, short)
 
 
 def align(items: list[np.ndarray], texts: list[np.ndarray], lows: list[int], widths: list[int], anchored: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -163,19 +175,23 @@ def find(texts: list[str | None], index: Index, q: int = Q) -> list[tuple[int, i
     ok = first < len(index.hashes)
     ok[ok] = index.hashes[first[ok]] == hashes[hit[ok]]
     hit, first = hit[ok], first[ok]
+    short = find_short(chars, starts, place, index)
     if not len(hit):
-        return []
+        return short
     count = np.searchsorted(index.hashes, hashes[hit], side="right") - first
-    where = np.repeat(hit, count)
-    entry = np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(int(count.sum()))
-    item, doc = index.item[entry], np.searchsorted(starts, where, side="right") - 1
-    diagonal = where - starts[doc] - index.at[entry]
-    width = index.edits[item] + 1
-    bucket = diagonal // width
-    low = int(bucket.min()) - 1
-    span = int(bucket.max()) - low + 3
-    key = (doc * len(index.ids) + item) * span + (bucket - low)
-    keys, counts = np.unique(key, return_counts=True)
+    low = -max(len(chars), *map(len, index.chars)) - 2  # below any bucket
+    span, keys, counts = 4 - 2 * low, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    total, a = np.cumsum(count), 0
+    while a < len(hit):  # at least one place, and all that stays within HITS
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + HITS, side="right")))
+        where = np.repeat(hit[a:b], count[a:b])
+        entry = np.repeat(first[a:b] - (total[a:b] - count[a:b]) + (total[a - 1] if a else 0), count[a:b]) + np.arange(len(where))
+        item, doc = index.item[entry], np.searchsorted(starts, where, side="right") - 1
+        bucket = (where - starts[doc] - index.at[entry]) // (index.edits[item] + 1)
+        some, n = np.unique((doc * len(index.ids) + item) * span + (bucket - low), return_counts=True)
+        keys, back = np.unique(np.concatenate([keys, some]), return_inverse=True)
+        counts = np.bincount(back, np.concatenate([counts, n]), minlength=len(keys)).astype(np.int64)
+        a = b
     # a band is two neighbouring buckets; it begins at a bucket that has a hit, or one before
     begins = np.union1d(keys, keys - 1)
     held = np.append(counts, 0)
@@ -205,6 +221,23 @@ def find(texts: list[str | None], index: Index, q: int = Q) -> list[tuple[int, i
         edits, end = best[d, i]
         base, begin = int(place[starts[d]]) + 1, end - length[d, i]
         out.append((d, i, int(place[starts[d] + begin]) - base, int(place[starts[d] + end - 1]) + 1 - base, edits))
+    return sorted(out + short)
+
+
+def find_short(chars: np.ndarray, starts: np.ndarray, place: np.ndarray, index: Index) -> list[tuple[int, int, int, int, int]]:
+    """As ``find``, for items without a q-gram."""
+    out = []
+    for m, (names, items) in index.short.items():
+        hashes = grams(np.where(chars == 0, 32, chars), m + 2)
+        low, high = np.searchsorted(names, hashes), np.searchsorted(names, hashes, side="right")
+        seen = set()
+        for p in np.flatnonzero(high > low).tolist():
+            d = int(np.searchsorted(starts, p, side="right")) - 1
+            base = int(place[starts[d]]) + 1
+            for i in items[low[p] : high[p]].tolist():
+                if (d, i) not in seen:
+                    seen.add((d, i))
+                    out.append((d, i, int(place[p + 1]) - base, int(place[p + m]) + 1 - base, 0))
     return out
 
 

@@ -1,12 +1,15 @@
 """Language ID by hyperdimensional profiles.
 
-Every letter has a random vector of +1 and -1.  A letter trigram is the product of its letters' vectors, each
-rotated by its place; a document is the sum of its trigrams' vectors; a language's prototype is the mean of
-the unit vectors of its training documents.  A document takes the prototype of the largest cosine.
-
-Null texts and texts without letters get ``und`` and score 0, as does every text if no language was learned;
-texts are read whole; an empty table gives no rows; repeated rows repeat their result; ties go to the first
-language in order; other columns are ignored.
+Every letter, of any script, has a random vector of +1 and -1: bits of a hash of its code point.  A letter trigram is
+the product of its letters' vectors, each rotated by its place; a document is the sum of its trigrams' vectors; a
+language's prototype is the mean of the unit vectors of its training documents.  A document takes the prototype of the
+largest cosine.  What lies between two words, or at an end of the text,
+counts as one more letter.
+
+Null texts and texts without letters get ``und`` and score 0, as does every text if no language was learned; null ids
+stay null; texts are read whole, and trigrams bundled in blocks, so that memory grows with a text's length only by its
+characters; an empty table gives no rows; repeated rows repeat their result; ties go to the first language in order;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,56 +22,63 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import docs_of, fold_of, map_slices, table
+from .common import docs_of, fold_of, map_slices, mix, table
 
-DIMENSIONS = 512
-#: Letters below this code point have a vector of their own; others share 128 vectors.
-DIRECT, LETTERS = 0x180, 0x200
+DIMENSIONS = 2048
+#: Distinct trigrams, and documents, that are bundled at once.
+BLOCK = 1024
+_BITS = 21
+_SEED = 20_240_229
 
 
 @cache
-def _letters() -> tuple[np.ndarray, np.ndarray]:
-    """Letter number of each code point (0: no letter), and the letters' vectors."""
-    number = np.zeros(0x110000, np.uint16)
-    for c in range(0x32000):
-        if chr(c).isalpha():
-            number[c] = c if c < DIRECT else DIRECT + c % (LETTERS - DIRECT)
-    vectors = np.random.default_rng(20_240_229).choice(np.array([-1, 1], np.int8), (LETTERS, DIMENSIONS))
-    return number, vectors
-
-
-def _ngram_vectors(codes: np.ndarray) -> np.ndarray:
-    _, v = _letters()
-    a, b, c = codes // LETTERS**2, codes // LETTERS % LETTERS, codes % LETTERS
+def _alphabet() -> np.ndarray:
+    """Whether each code point is a letter."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+
+
+def letter_vectors(letters: np.ndarray) -> np.ndarray:
+    """The vectors of code points, as +1 and -1; code point 0 stands for what parts two words."""
+    parts = np.arange(DIMENSIONS // 64, dtype=np.uint64)
+    words = mix(mix(letters.astype(np.uint64) ^ mix(_SEED))[:, None] + parts)
+    return 1 - 2 * np.unpackbits(words.view(np.uint8), axis=1).astype(np.int8)
+
+
+def trigram_vectors(codes: np.ndarray) -> np.ndarray:
+    """The vectors of trigrams, given by the code points of their letters, ``_BITS`` bits each."""
+    low = (1 << _BITS) - 1
+    letters, place = np.unique(np.concatenate([codes >> 2 * _BITS, codes >> _BITS & low, codes & low]), return_inverse=True)
+    v, (a, b, c) = letter_vectors(letters), place.reshape(3, -1)
     return np.roll(v, 2, axis=1)[a] * np.roll(v, 1, axis=1)[b] * v[c]
 
 
 def profiles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Unit vector of each text, and whether it has letters at all."""
-    number, _ = _letters()
-    joined = "\0".join((t or "").replace("\0", " ") for t in texts).lower()
+    n = len(texts)
+    joined = "".join(f"\0{(t or '').replace(chr(0), ' ')} " for t in texts).lower()
     points = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
-    doc = np.cumsum(points == 0)
-    letters = number[points].astype(np.int64)
-    keep = (letters > 0) | np.concatenate([[True], letters[:-1] > 0]) if len(letters) else np.zeros(0, bool)
+    doc = np.cumsum(points == 0, dtype=np.int32) - 1
+    letters = np.where(_alphabet()[points], points, 0).astype(np.int64)
+    keep = (letters > 0) | (points == 0)
+    keep[1:] |= letters[:-1] > 0
     letters, doc = letters[keep], doc[keep]
-    out = np.zeros((len(texts), DIMENSIONS), np.float32)
-    if len(letters) < 3:
-        letters, doc = np.concatenate([letters, [0, 0, 0]]), np.concatenate([doc, [0, 0, 0] if not len(doc) else [doc[-1]] * 3])
-    code = letters[:-2] * LETTERS**2 + letters[1:-1] * LETTERS + letters[2:]
+    some = np.bincount(doc[letters > 0], minlength=n)[:n] > 0
+    code = letters[:-2] << 2 * _BITS | letters[1:-1] << _BITS | letters[2:]
     whole = (doc[:-2] == doc[2:]) & (code > 0)
-    names, at = np.unique(code[whole], return_inverse=True)
-    pairs, counts = np.unique(doc[:-2][whole] * max(1, len(names)) + at, return_counts=True)
-    row, column = pairs // max(1, len(names)), pairs % max(1, len(names))
-    vectors = _ngram_vectors(names).astype(np.float32)
-    bounds = np.searchsorted(row, np.arange(len(texts) + 1))
-    for i in range(0, len(texts), 256):  # blocks bound the dense counts
-        j = min(i + 256, len(texts))
-        dense = np.zeros((j - i, len(names)), np.float32)
-        own = slice(bounds[i], bounds[j])
-        dense[row[own] - i, column[own]] = counts[own]
-        out[i:j] = dense @ vectors
-    some = np.bincount(doc[letters > 0], minlength=len(texts))[: len(texts)] > 0
+    code, doc = code[whole], doc[:-2][whole]
+    names, at = np.unique(code, return_inverse=True)
+    # trigram by trigram, so that each block of trigrams is one run
+    pairs, counts = np.unique(at * np.int64(n) + doc, return_counts=True)
+    column, row = np.divmod(pairs, n)
+    out = np.zeros((n, DIMENSIONS), np.float32)
+    for k in range(0, len(names), BLOCK):
+        vectors = trigram_vectors(names[k : k + BLOCK]).astype(np.float32)
+        a, b = np.searchsorted(column, [k, k + BLOCK])
+        for i in range(0, n, BLOCK):
+            own = np.flatnonzero((row[a:b] >= i) & (row[a:b] < i + BLOCK)) + a if n > BLOCK else np.arange(a, b)
+            dense = np.zeros((min(BLOCK, n - i), len(vectors)), np.float32)
+            dense[row[own] - i, column[own] - k] = counts[own]
+            out[i : i + BLOCK] += dense @ vectors
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9), some
 
 
@@ -94,11 +104,13 @@ def train(docs: DataFrame, most: int = 20_000) -> LanguageModel:
         return pa.record_batch({"lang": names, "v": [s.tolist() for s in sums]}, schema=pa.schema([("lang", pa.string()), ("v", pa.list_(pa.int64()))]))
 
     parts = map_slices(rows.select("text", "lang"), bundle, "lang string, v array<long>")
-    summed = parts.groupBy("lang").agg(F.array(*[F.sum(F.col("v")[i]) for i in range(DIMENSIONS)]).alias("v"))
-    got = sorted((r["lang"], r["v"]) for r in summed.collect())
-    proto = np.array([v for _, v in got], float).reshape(-1, DIMENSIONS)
+    summed = parts.select("lang", F.posexplode("v").alias("place", "value")).groupBy("lang", "place").agg(F.sum("value").alias("value")).collect()
+    names = sorted({r["lang"] for r in summed})
+    proto = np.zeros((len(names), DIMENSIONS))
+    for r in summed:
+        proto[names.index(r["lang"]), r["place"]] = r["value"]
     proto /= np.maximum(np.linalg.norm(proto, axis=1, keepdims=True), 1e-9)
-    return LanguageModel(tuple(k for k, _ in got), proto.astype(np.float32))
+    return LanguageModel(tuple(names), proto.astype(np.float32))
 
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:

@@ -12,9 +12,9 @@ A window is ``WINDOW`` consecutive words of one document.  Each word covered by
 document of smaller id is removed; windows are judged on the input.  Texts with the same words are verified
 once: all but the smallest id lose every word if they have a window at all.
 
-Null texts have no words; a null id counts as the largest; rows that repeat an id count as one document, of
-which windows in one row aren't removed for another; texts are read whole; an empty table gives no rows; other
-columns are ignored.
+Null texts have no words; a null id counts as the largest; windows in one row aren't removed for another row of the
+same id (or, without ids, of none); rows that share id and text get the same answer each; texts are read whole; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, docs_of, map_slices, mix, split_words, stash, table, word_hashes
+from .common import discard, docs_of, join_groups, map_slices, mix, split_words, stash, table, texts, word_hashes
 from .near_dedup import class_keys
 
 WINDOW, ROUNDS = 13, 2
@@ -155,24 +155,22 @@ def _digest(words: list[bytes]) -> bytes:
 
 
 def surveyed(docs: DataFrame) -> DataFrame:
-    """doc_id, c1, c2 (the word sequence), n_words, whole (digest of all words) and the distinct anchors of each row."""
+    """doc_id, t, c1, c2 (the word sequence), n_words, whole (digest of all words) and the distinct anchors of each row (doc_id, t, text)."""
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         words, starts = word_hashes(part.column("text"))
         c1, c2 = class_keys(words, starts)
         anchor = anchors(words, starts)
-        flat, _ = split_words(part.column("text"))
-        spelled = flat.cast(pa.binary()).to_pylist()
         # neighbouring windows mostly share their anchor
         change = anchor != np.concatenate([[0], anchor[:-1]])
         change[starts[:-1][np.diff(starts) > 0]] = True
         at = np.flatnonzero(change & (anchor != 0))
         bounds = np.searchsorted(at, starts)
-        digests = [_digest(spelled[a:b]) for a, b in zip(starts[:-1], starts[1:], strict=True)]
+        digests = [_digest(t.split()) for t in texts(part.column("text"))]
         lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(anchor[at].view(np.int64)))
-        return pa.record_batch({"doc_id": part.column("doc_id"), "c1": c1, "c2": c2, "n_words": np.diff(starts), "whole": pa.array(digests, pa.binary()), "anchors": lists})
+        return pa.record_batch({"doc_id": part.column("doc_id"), "t": part.column("t"), "c1": c1, "c2": c2, "n_words": np.diff(starts), "whole": pa.array(digests, pa.binary()), "anchors": lists})
 
-    return map_slices(docs, run, "doc_id long, c1 long, c2 long, n_words long, whole binary, anchors array<long>")
+    return map_slices(docs, run, "doc_id long, t long, c1 long, c2 long, n_words long, whole binary, anchors array<long>")
 
 
 def _windows(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -193,31 +191,32 @@ def _windows(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for every row of docs (doc_id, text)."""
-    docs = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(_NO_ID)))
+    # a row is known by its id and a hash of its text, since ids may repeat or be null
+    docs = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), F.xxhash64("text").alias("t"), "text")
     rows = stash(surveyed(docs), "survey")
-    small = rows.select("doc_id", "c1", "c2", "n_words", "whole")
-    firsts = rows.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"))
-    roles = stash(small.join(firsts, ["c1", "c2"]).select("doc_id", "n_words", "whole", "rep"), "roles")
+    small = rows.select("doc_id", "t", "c1", "c2", "n_words", "whole")
+    firsts = stash(rows.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "word-sequences")
+    roles = stash(join_groups(small, firsts, ["c1", "c2"], "copies", rows.count()).select("doc_id", "t", "n_words", "whole", "rep"), "roles")
     # anchors that stand in texts with different words
     text = F.shiftrightunsigned("c1", 16)
     spread = rows.select(F.explode("anchors").alias("anchor"), text.alias("text")).groupBy("anchor").agg(F.min("text").alias("lo"), F.max("text").alias("hi")).where("lo != hi").select("anchor")
     spread = stash(spread, "spread-anchors")
-    listed = stash(rows.select("doc_id", F.explode("anchors").alias("anchor")).join(spread, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("shared")), "listed-anchors")
-    discard(rows)
-    discard(spread)
+    listed = stash(rows.select("doc_id", "t", F.explode("anchors").alias("anchor")).join(spread, "anchor").groupBy("doc_id", "t").agg(F.collect_set("anchor").alias("shared")), "listed-anchors")
+    discard(rows, firsts, spread)
     # a text that repeats a smaller document whole needs no look at its windows
-    listed = listed.join(roles.where("rep = doc_id").select("doc_id").distinct(), "doc_id", "left_semi")
-    open_docs = stash(docs.join(listed, "doc_id"), "open-texts")
+    wanted = listed.join(roles.where("rep = doc_id").select("doc_id", "t").distinct(), ["doc_id", "t"], "left_semi")
+    open_docs = stash(docs.join(wanted, ["doc_id", "t"]), "open-texts")
+    discard(listed)
 
     def emit(part: pa.RecordBatch) -> pa.RecordBatch:
         first, second, at, starts = _windows(part)
         doc = np.searchsorted(starts, at, side="right") - 1
-        ids = part.column("doc_id").to_numpy()
-        return pa.record_batch({"w1": first.view(np.int64), "w2": (second >> np.uint64(32)).astype(np.uint32).view(np.int32), "doc_id": ids[doc], "at": (at - starts[doc]).astype(np.int32)})
+        ids, t = part.column("doc_id").to_numpy(), part.column("t").to_numpy()
+        return pa.record_batch({"w1": first.view(np.int64), "w2": (second >> np.uint64(32)).astype(np.uint32).view(np.int32), "doc_id": ids[doc], "t": t[doc], "at": (at - starts[doc]).astype(np.int32)})
 
-    windows = map_slices(open_docs, emit, "w1 long, w2 int, doc_id long, at int")
+    windows = map_slices(open_docs, emit, "w1 long, w2 int, doc_id long, t long, at int")
     earliest = stash(windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("w1", "w2", "lo"), "repeated-windows")
-    repeats = stash(windows.join(earliest, ["w1", "w2"]).where("doc_id > lo").groupBy("doc_id").agg(F.collect_list("at").alias("at")), "repeats")
+    repeats = stash(windows.join(earliest, ["w1", "w2"]).where("doc_id > lo").groupBy("doc_id", "t").agg(F.collect_set("at").alias("at")), "repeats")
     discard(earliest)
 
     def cut(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -231,11 +230,12 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
             gone = np.cumsum(marks)[: b - a] > 0
             removed.append(int(gone.sum()))
             digests.append(_digest([spelled[a + i] for i in np.flatnonzero(~gone)]))
-        return pa.record_batch({"doc_id": part.column("doc_id"), "n_words": np.diff(starts), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(digests, pa.binary())})
+        return pa.record_batch({"doc_id": part.column("doc_id"), "t": part.column("t"), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(digests, pa.binary())})
 
-    changed = stash(map_slices(open_docs.select("doc_id", "text").join(repeats, "doc_id"), cut, "doc_id long, n_words long, n_removed long, kept binary"), "cut-texts")
+    changed = stash(map_slices(open_docs.select("doc_id", "t", "text").join(repeats, ["doc_id", "t"]), cut, "doc_id long, t long, n_removed long, kept binary"), "cut-texts")
+    discard(open_docs, repeats)
     copied = (F.col("rep") < F.col("doc_id")) & (F.col("n_words") >= WINDOW)
-    rest = roles.join(changed.withColumnRenamed("n_words", "n"), "doc_id", "left")
+    rest = roles.join(changed.dropDuplicates(["doc_id", "t"]), ["doc_id", "t"], "left")
     empty = F.unhex(F.sha2(F.lit("").cast("binary"), 256))
     return rest.select(
         F.when(F.col("doc_id") != _NO_ID, F.col("doc_id")).alias("doc_id"),

@@ -4,14 +4,15 @@ Folding undoes homoglyphs of other scripts, full-width forms, invisible characte
 stand for letters.  Lexicon entries are whole words or word stems; a word counts once, with its heaviest
 entry, unless an exception phrase covers it.  The weighted sum is normalised by text length and calibrated.
 
-Null and empty texts score like a text without any entry; texts of any length are read whole; repeated rows
-get equal scores; an empty table gives no rows; columns other than the id and the text are ignored.
+Null and empty texts score like a text without any entry; null ids stay null; texts of any length are read whole, in
+time that grows with their length; repeated rows get equal scores; an empty table gives no rows; columns other than the id and the text are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,10 +31,25 @@ HOMOGLYPHS = {
 INVISIBLE = "­​‌‍⁠﻿"
 # Digits and signs written for letters.
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i"}
-# Seed entries and their weights; training adds to them and re-weighs them.
-SEED = {" moron ": 4.0, " scum ": 4.0, " idiot ": 4.0, " loser ": 4.0, " trash ": 4.0, " clown ": 4.0, " stupid ": 4.0, " pathetic ": 4.0, " worthless ": 4.0, " disgusting ": 4.0}
+# The lexicon's words and their weights before training, which adds to them and re-weighs those it sees.
+SEED = {
+    f" {word} ": weight
+    for weight, words in (
+        (4.0, "moron morons scum idiot idiots idiotic loser losers trash clown clowns stupid pathetic worthless disgusting imbecile imbeciles scumbag scumbags dumbass jackass asshole assholes bastard bastards bitch bitches fuck fucking fucker shit shitty bullshit dickhead prick wanker twat whore slut retard retarded"),
+        (3.0, "cretin dimwit nitwit halfwit dunce simpleton blockhead numbskull lowlife vermin parasite degenerate freak weirdo creep coward cowards liar liars hypocrite fraudster crook despicable repulsive revolting vile filthy hideous braindead brainless clueless spineless gutless useless"),
+        (2.0, "dumb fool fools foolish jerk jerks ugly fat lazy crap crappy damn hell hate kill die shut garbage rubbish laughable joke pig pigs rat rats snake"),
+    )
+    for word in words.split()
+}
 # Phrases in which an entry is harmless.
-EXCEPTIONS = (" trash can ", " trash bin ", " clown fish ", " sore loser rule ", " class clown act ")
+EXCEPTIONS = tuple(
+    f" {phrase} "
+    for phrase in (
+        "trash can", "trash cans", "trash bin", "trash bag", "clown fish", "sore loser rule", "class clown act", "circus clown", "birthday clown", "idiot proof", "idiot board", "fool proof", "april fools", "fools gold",
+        "pond scum", "dumb waiter", "dumb terminal", "dumb bell", "pig iron", "pig farm", "guinea pig", "guinea pigs", "rat race", "lab rat", "lab rats", "mole rat", "snake river", "snake bite", "garbage collection", "garbage collector",
+        "garbage bag", "garbage truck", "rubbish bin", "inside joke", "hell or high water", "kill switch", "kill process", "die cast", "tool and die", "shut down", "shut off", "low fat", "full fat", "fat free", "saturated fat", "body fat", "flesh and fat",
+    )
+)
 
 _FOLD = {ord(k): v for k, v in HOMOGLYPHS.items()} | {ord(c): None for c in INVISIBLE} | {0xFF01 + i: chr(0x21 + i) for i in range(94)}
 _SUB = {ord(k): v for k, v in SUBSTITUTES.items()}
@@ -89,14 +105,20 @@ def automaton(model: ToxicityModel):
 def matches(folded: str, auto) -> list[tuple[int, float]]:
     """(start, weight) of each hit word: the heaviest entry at a place, none inside an exception phrase."""
     best: dict[int, float] = {}
-    spared: list[tuple[int, int]] = []
+    spared: list[tuple[int, int]] = []  # hits come in order of their end, so these do as well
     for end, (n, weight) in auto.iter(folded):
         start = end - n + 1
         if weight < 0:
+            while spared and spared[-1][0] >= start:
+                spared.pop()
             spared.append((start, end))
         elif weight > best.get(start, 0):
             best[start] = weight
-    return [(s, w) for s, w in best.items() if not any(a <= s < b for a, b in spared)] if spared else list(best.items())
+    if not spared:
+        return list(best.items())
+    ends = [e for _, e in spared]
+    # the first phrase that ends after a place is the one that could begin before it
+    return [(s, w) for s, w in best.items() if (k := bisect_right(ends, s)) == len(ends) or spared[k][0] > s]
 
 
 def features(folded: str, auto) -> tuple[float, float, float, float, int, int]:
@@ -123,8 +145,9 @@ def train(docs: DataFrame, labelled: DataFrame, min_docs: int = 5, min_weight: f
         return ToxicityModel(dict(SEED), (1.0, 0.0, 1.0, -3.0))
     weight = F.log((F.col("toxic") + 0.5) / (n_toxic + 1.0) / ((F.col("clean") + 0.5) / (n_clean + 1.0)))
     kept = map_slices(rows.select("text", "y"), count, "entry string, clean long, toxic long").groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    kept = kept.where(F.col("toxic") >= min_docs).select("entry", weight.alias("w")).where(F.col("w") >= min_weight)
-    entries = dict(SEED) | {r["entry"]: float(r["w"]) for r in kept.orderBy("entry").collect()}
+    known = F.col("entry").isin(*SEED) & (F.col("clean") + F.col("toxic") >= min_docs)
+    kept = kept.where(known | (F.col("toxic") >= min_docs)).select("entry", weight.alias("w"), known.alias("known")).where(F.col("known") | (F.col("w") >= min_weight))
+    entries = {k: w for k, w in (SEED | {r["entry"]: float(r["w"]) for r in kept.orderBy("entry").collect()}).items() if w > 0}
     model = ToxicityModel(entries, ())
 
     def measure(part: pa.RecordBatch) -> pa.RecordBatch:

@@ -1,7 +1,7 @@
 """URL filters: host and path rules, and gradient-boosted trees on lexical features for the rest.
 
 The longest rule that fits decides.  URLs that a rule decides are the labelled ones: the trees learn from a
-bounded sample of them and judge the urls that no rule fits.
+bounded sample of the distinct ones and judge the urls that no rule fits.
 
 A null url, or one without ``://``, has empty host and path, no rule, and the trees' verdict on the empty
 features; without labelled urls of both kinds the verdict is the kind there is, or else allow; an empty table
@@ -181,7 +181,10 @@ class UrlModel:
 
 
 def train(urls: list[str], y: np.ndarray, smooth: float = 20.0) -> UrlModel:
-    """Trees from urls labelled 1 (block) or 0 (allow); suffix rates are smoothed and leave the url's own label out."""
+    """Trees from urls labelled 1 (block) or 0 (allow); suffix rates are smoothed.
+
+    A rate that left the url's own label out would tell that label, and trees would learn it.
+    """
     if not len(y) or y.min() == y.max():
         return UrlModel({}, 0.0, None, float(y[0]) if len(y) else 0.0)
     base, seen, blocked = float(y.mean()), Counter(), Counter()
@@ -190,7 +193,7 @@ def train(urls: list[str], y: np.ndarray, smooth: float = 20.0) -> UrlModel:
             seen[t] += 1
             blocked[t] += int(v)
     rates = {t: (blocked[t] + smooth * base) / (seen[t] + smooth) for t in seen}
-    x = np.array([features(u, {t: (blocked[t] - v + smooth * base) / (seen[t] - 1 + smooth) for t in tokens(u)}, base) for u, v in zip(urls, y, strict=True)])
+    x = np.array([features(u, rates, base) for u in urls])
     return UrlModel(rates, base, boost(x, y.astype(float)))
 
 
@@ -205,10 +208,12 @@ def url_filter(pages: DataFrame, rules: Rules | None = None, max_train: int = 20
     rows = rows.select("page_id", "url", host.alias("host"), path.alias("path"))
     rows = rows.withColumn("rule", rules.fit(F.col("host"), F.col("path"))).withColumn("ruled", rules.verdict(F.col("rule")))
     labelled = rows.where(F.col("ruled").isNotNull())
+    # a url counts once, however many pages repeat it
+    labelled = labelled.groupBy("url").agg(F.first("ruled").alias("ruled"))
     n = labelled.count()
     if n > max_train:
         labelled = labelled.where(F.pmod(F.xxhash64("url", F.lit(29)), F.lit(1_000_000)) < int(1_000_000 * max_train / n))
-    got = sorted((r["url"], r["ruled"] == "block") for r in labelled.select("url", "ruled").collect())
+    got = sorted((r["url"], r["ruled"] == "block") for r in labelled.collect())
     model = train([u for u, _ in got], np.array([int(v) for _, v in got]))
 
     def judge(part: pa.RecordBatch) -> pa.RecordBatch:
