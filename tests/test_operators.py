@@ -119,6 +119,11 @@ def test_checkpoint_skips_damage(spark, tmp_path):
     good, damaged = checkpoint.read(spark, str(path))
     assert [r.key for r in good.collect()] == ["k1"]
     assert damaged.count() == 1
+    path.write_text('{"key": "k1", "section_index": 1, "generated": "old"}\nnot json\n{"key": "k1", "section_index": 2, "generated": "new"}\n')
+    good, damaged = checkpoint.read(spark, str(path))
+    assert [(r.section_index, r.generated) for r in good.collect()] == [(2, "new")] and [r.damaged for r in damaged.collect()] == ["not json"]
+    checkpoint.append(good, str(tmp_path / "more"))
+    assert checkpoint.read(spark, str(tmp_path / "more"))[0].count() == 1
 
 
 def test_stream_resumes(spark, tmp_path):

@@ -167,8 +167,7 @@ def content_word_count_sql(s: str) -> str:
     return f"len([w FOR w IN regexp_extract_all({s}, {q(WORD)}) IF trim(lower(w), '.''') NOT IN {words_sql(STOPWORDS)}])"
 
 
-def _content_token(w: Column) -> Column:
-    low = F.regexp_replace(F.trim(F.lower(w), F.lit(".'%$-")), "('s)$", "")
+def _content_token(low: Column) -> Column:
     stem = F.when((F.length(low) > 4) & low.endswith("ies"), F.regexp_replace(low, "ies$", "y")).when((F.length(low) > 3) & low.endswith("s") & ~low.endswith("ss"), F.regexp_replace(low, "s$", "")).otherwise(low)
     return F.when(_stop(low), F.lit("")).when(low.rlike("[0-9]"), low).when(F.length(low) < 3, F.lit("")).otherwise(stem)
 
@@ -176,7 +175,9 @@ def _content_token(w: Column) -> Column:
 def content_tokens(s: Column) -> Column:
     """Distinct topic words in order: stop words and short ones go, plurals lose their ending."""
     words = F.regexp_extract_all(strip_speaker_label(s), F.lit(WORD), F.lit(0))
-    return F.array_sort(F.array_distinct(F.filter(F.transform(words, _content_token), lambda w: w != "")))
+    # a step of its own, so that what follows reads each lowered word rather than lowering it again
+    lowered = F.transform(words, lambda w: F.regexp_replace(F.trim(F.lower(w), F.lit(".'%$-")), "('s)$", ""))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(lowered, _content_token), lambda w: w != "")))
 
 
 def content_tokens_sql(s: str) -> str:

@@ -8,13 +8,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pairs import blocked_join, top_per_row
+from .pairs import blocked_join, nearest, top_per_row
 from .storage import checkpointed
 
 
 def knn_graph(rows: DataFrame, k: int) -> DataFrame:
     """(src, dst, weight) in both directions for rows (id, grp, v): the k nearest of each, at least 1e-6 heavy."""
-    near = top_per_row(blocked_join(rows, rows, -1.0, same_group=None), k)
+    near = top_per_row(nearest(rows, rows, k), k)
     weight = F.greatest(F.col("sim"), F.lit(1e-6))
     both = near.select(F.col("a").alias("src"), F.col("b").alias("dst"), weight.alias("weight")).unionByName(near.select(F.col("b").alias("src"), F.col("a").alias("dst"), weight.alias("weight")))
     return both.groupBy("src", "dst").agg(F.max("weight").alias("weight"))
@@ -28,16 +28,36 @@ def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataF
     rank = out.select(F.col("src").alias("node"), F.lit(1.0 / n).alias("rank"))
     for i in range(rounds):
         rank = shares.join(rank, shares["src"] == rank["node"]).groupBy(F.col("dst").alias("node")).agg((F.lit((1 - damping) / n) + damping * F.sum(F.col("rank") * F.col("share"))).alias("rank"))
-        rank = checkpointed(rank) if i % 5 == 4 else rank
+        rank = checkpointed(rank) if i % 5 == 4 or i == rounds - 1 else rank
+    shares.unpersist()
     return rank
 
 
+def dense_graph(rows: DataFrame, floor: float = 0.1) -> DataFrame:
+    """(src, dst, weight) in both directions for all pairs of rows (id, grp, v) at least ``floor`` similar."""
+    near = blocked_join(rows, rows, floor, same_group=None)
+    return near.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("sim").alias("weight"))
+
+
 def hops(edges: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
     """(node, hops): fewest links from any seed (node), up to ``most``."""
-    known = seeds.select("node", F.lit(0).alias("hops"))
+    known = frontier = seeds.select("node", F.lit(0).alias("hops")).distinct()
     for i in range(1, most + 1):
-        reached = edges.join(known.where(F.col("hops") == i - 1), edges["src"] == F.col("node")).select(F.col("dst").alias("node"), F.lit(i).alias("hops"))
-        known = known.unionByName(reached).groupBy("node").agg(F.min("hops").alias("hops"))
+        reached = edges.join(frontier, edges["src"] == frontier["node"]).select(F.col("dst").alias("node"), F.lit(i).alias("hops")).distinct()
+        frontier = checkpointed(reached.join(known.select("node"), "node", "left_anti"))
+        known = known.unionByName(frontier)
+    return known
+
+
+def path_lengths(edges: DataFrame, seeds: DataFrame, rounds: int) -> DataFrame:
+    """(seed, node, length): the shortest weighted path of up to ``rounds`` links from each seed (node); a link is 1 - weight long, 0 at least."""
+    steps = edges.select("src", F.col("dst").alias("to"), F.greatest(F.lit(0.0), 1 - F.col("weight")).alias("step"))
+    known = frontier = seeds.select(F.col("node").alias("seed"), "node", F.lit(0.0).alias("length")).distinct()
+    for _ in range(rounds):
+        reached = frontier.join(steps, frontier["node"] == steps["src"]).select("seed", F.col("to").alias("node"), (F.col("length") + F.col("step")).alias("length")).groupBy("seed", "node").agg(F.min("length").alias("length"))
+        best = reached.join(known.withColumnRenamed("length", "was"), ["seed", "node"], "left").where("was IS NULL OR length < was")
+        frontier = checkpointed(best.select("seed", "node", "length"))
+        known = checkpointed(known.unionByName(frontier).groupBy("seed", "node").agg(F.min("length").alias("length")))
     return known
 
 

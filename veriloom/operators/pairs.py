@@ -6,10 +6,10 @@ task holds one block of each.  Lexical joins are equi-joins on shared words: a s
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +28,21 @@ def blocked_join(left: DataFrame, right: DataFrame, floor: float, same_group: bo
     Rows become blocks, blocks meet blocks, and one matrix product gives a block pair's similarities; the number
     of block pairs is the square of the rows over ``BLOCK``, each of bounded size, dealt over all executors.
     """
+
+    def close(xi, xg, xv, yi, yg, yv):
+        sims = xv @ yv.T
+        keep = sims >= floor
+        if same_group is not None:
+            keep &= (xg[:, None] == yg[None, :]) == same_group
+        keep &= (xi[:, None] < yi[None, :]) if unordered else (xi[:, None] != yi[None, :])
+        i, j = np.nonzero(keep)
+        return xi[i], yi[j], sims[i, j]
+
+    return _block_pairs(left, right, close)
+
+
+def _block_pairs(left: DataFrame, right: DataFrame, work: Callable) -> DataFrame:
+    """(a, b, sim) that ``work`` finds in each pair of blocks of rows (id, grp, v)."""
     n = max(left.count(), right.count())
     blocks = max(1, -(-n // BLOCK))
     pack = lambda df, p: df.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias(f"block_{p}")).agg(F.collect_list(F.struct("id", "grp", "v")).alias(p))
@@ -35,20 +50,36 @@ def blocked_join(left: DataFrame, right: DataFrame, floor: float, same_group: bo
     met = grid.join(pack(left, "x"), "block_x").join(pack(right, "y"), "block_y").select("x", "y")
     key = left.schema["id"].dataType.simpleString()
 
-    def multiply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for xs, ys in zip(frame["x"], frame["y"], strict=True):
-                side = lambda rows: (np.array([r["id"] for r in rows]), np.array([r["grp"] for r in rows]), np.array([r["v"] for r in rows], np.float64))
-                (xi, xg, xv), (yi, yg, yv) = side(xs), side(ys)
-                sims = xv @ yv.T
-                keep = sims >= floor
-                if same_group is not None:
-                    keep &= (xg[:, None] == yg[None, :]) == same_group
-                keep &= (xi[:, None] < yi[None, :]) if unordered else (xi[:, None] != yi[None, :])
-                i, j = np.nonzero(keep)
-                yield pd.DataFrame({"a": xi[i], "b": yi[j], "sim": sims[i, j]})
-
-    return met.mapInPandas(multiply, f"a {key}, b {key}, sim double")
+    def side(rows: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        rows = rows.values
+        v = rows.field("v")
+        return rows.field("id").to_numpy(), rows.field("grp").to_numpy(), v.flatten().to_numpy().astype(np.float64).reshape(len(v), -1)
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for xs, ys in zip(batch.column("x"), batch.column("y"), strict=True):
+                a, b, sims = work(*side(xs), *side(ys))
+                yield pa.record_batch({"a": a, "b": b, "sim": sims})
+
+    return met.mapInArrow(multiply, f"a {key}, b {key}, sim double")
+
+
+def nearest(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
+    """(a, b, sim): at least the ``k`` nearest rows of ``right`` for each row (id, grp, v) of ``left``, other than itself.
+
+    Each block pair gives a row's k nearest in it (ties by id), so a row's candidates are k times the blocks.
+    """
+    return _block_pairs(left, right, lambda xi, xg, xv, yi, yg, yv: _nearest(xi, xv, yi, yv, k))
+
+
+def _nearest(xi: np.ndarray, xv: np.ndarray, yi: np.ndarray, yv: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.argsort(yi, kind="stable")
+    sims = (xv @ yv.T)[:, order]
+    sims[xi[:, None] == yi[order][None, :]] = -np.inf
+    best = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+    rows, found = np.repeat(np.arange(len(xi)), best.shape[1]), best.ravel()
+    real = sims[rows, found] > -np.inf
+    return xi[rows[real]], yi[order][found[real]], sims[rows[real], found[real]]
 
 
 def top_per_row(pairs: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` read back from a checkpoint; a folder is set here only where ``spark.checkpoint.dir`` is unset."""
+    """``df`` read back from a checkpoint in ``spark.checkpoint.dir``.
+
+    Where that is unset, a session on one machine takes a temporary folder; a cluster, whose machines share none, is an error.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/veriloom-checkpoints")
+        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not where and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(where or tempfile.mkdtemp(prefix="veriloom-"))
     return df.checkpoint()

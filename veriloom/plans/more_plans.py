@@ -11,10 +11,10 @@ from ..operators import dialogue as L
 from ..operators.sentences import SENTENCES_SQL, sentences
 from ..sources import checkpoint as C
 from ..sources import ingest as I
-from .registry import query, table
+from .registry import ORACLE_SQL, query, table
 from .structure_plans import planted_flags
 
-_PAGED = f"WITH {SENTENCES_SQL}, p AS (SELECT doc_id, CAST(floor(sentence_id / 6) AS BIGINT) AS page, sentence_id AS s, text FROM sentences), q AS (SELECT doc_id, page, s * 3 + 1 AS i, text AS line FROM p UNION ALL SELECT DISTINCT doc_id, page, page * 18, 'Annual Report 2026 | ' || (page + 1) FROM p UNION ALL SELECT DISTINCT doc_id, page, page * 18 + 17, 'Page ' || (page + 1) FROM p)"
+_PAGED = f"WITH {SENTENCES_SQL}, p AS (SELECT doc_id, CAST(floor(sentence_id / 6) AS BIGINT) AS page, sentence_id AS s, text FROM sentences), q AS (SELECT doc_id, page, s * 3 + 1 AS i, text AS line FROM p UNION ALL SELECT DISTINCT doc_id, page, page * 18, 'Harbour Works Digest No ' || (page + 1) FROM p UNION ALL SELECT DISTINCT doc_id, page, page * 18 + 17, 'Page ' || (page + 1) FROM p)"
 
 
 @query(
@@ -30,7 +30,7 @@ def pdf_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = sentences(table(spark, sf_dir, "documents")).select("doc_id", F.floor(F.col("sentence_id") / 6).cast("long").alias("page"), "sentence_id", "text")
     pages = p.select("doc_id", "page").distinct()
     lines = p.select("doc_id", "page", (F.col("sentence_id") * 3 + 1).alias("i"), F.col("text").alias("line"))
-    lines = lines.unionByName(pages.select("doc_id", "page", (F.col("page") * 18).alias("i"), F.concat(F.lit("Annual Report 2026 | "), (F.col("page") + 1).cast("string")).alias("line")))
+    lines = lines.unionByName(pages.select("doc_id", "page", (F.col("page") * 18).alias("i"), F.concat(F.lit("Harbour Works Digest No "), (F.col("page") + 1).cast("string")).alias("line")))
     lines = lines.unionByName(pages.select("doc_id", "page", (F.col("page") * 18 + 17).alias("i"), F.concat(F.lit("Page "), (F.col("page") + 1).cast("string")).alias("line")))
     return I.clean_pages(lines)
 
@@ -59,12 +59,13 @@ def json_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.json_documents(files).select(F.col("path").cast("long").alias("item_id"), "text")
 
 
-@query("src_label_join", "SELECT CAST(d.doc_id AS VARCHAR) AS id, substr(text, 1, 20) AS a, lang AS b, CAST(quality AS VARCHAR) AS label FROM documents d JOIN labels l ON d.doc_id = l.doc_id UNION ALL SELECT 'c' || item_id, substr(text, 1, 20), 'bench', '1' FROM benchmark")
+@query("src_label_join", "SELECT CAST(d.doc_id AS VARCHAR) AS id, text AS a, lang AS b, CAST(quality AS VARCHAR) AS label FROM documents d JOIN labels l ON d.doc_id = l.doc_id UNION ALL SELECT 'c' || item_id, text, 'bench', '1' FROM benchmark")
 def label_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC10: candidates with their labels, and constructed pairs."""
     d, lab, b = (table(spark, sf_dir, t) for t in ("documents", "labels", "benchmark"))
-    found = d.join(lab, "doc_id").select(F.col("doc_id").cast("string").alias("id"), F.substring("text", 1, 20).alias("a"), F.col("lang").alias("b"), F.col("quality").cast("string").alias("label"))
-    return found.unionByName(b.select(F.concat(F.lit("c"), F.col("item_id").cast("string")).alias("id"), F.substring("text", 1, 20).alias("a"), F.lit("bench").alias("b"), F.lit("1").alias("label")))
+    shown = d.select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("a"), F.col("lang").alias("b"))
+    marks = lab.select(F.col("doc_id").cast("string").alias("id"), F.col("quality").cast("string").alias("label"))
+    return I.with_labels(shown, marks, b.select(F.concat(F.lit("c"), F.col("item_id").cast("string")).alias("id"), F.col("text").alias("a"), F.lit("bench").alias("b"), F.lit("1").alias("label")))
 
 
 @query("src_frozen_hash", "SELECT item_id, sha256(text) AS sha256, sha256(text) = sha256(trim(text)) AS unchanged FROM benchmark")
@@ -183,13 +184,13 @@ def precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.coalesce("lang", F.lit("all")).alias("lang"), "tp", "fp", "fn", ratio(tp, tp + fp).alias("prec"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"))
 
 
-@query("agg_similarity_bands", "WITH v AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id < 300), s AS (SELECT round(list_dot_product(x.v, y.v), 9) AS sim FROM v x JOIN v y ON x.id < y.id) SELECT CAST(floor(sim * 5) AS BIGINT) AS band, count(*) AS pairs, count(*) FILTER (sim >= 0.5) AS flagged, round(median(sim), 6) AS med FROM s WHERE sim >= 0.2 GROUP BY ALL")
+@query("agg_similarity_bands", "WITH v AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT round(list_dot_product(x.v, y.v), 9) AS sim FROM v x JOIN v y ON x.id < y.id) SELECT CAST(floor(sim * 5) AS BIGINT) AS band, count(*) AS pairs, count(*) FILTER (sim >= 0.5) AS flagged, round(median(sim), 6) AS med FROM s WHERE sim >= 0.2 GROUP BY ALL")
 def similarity_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG15: pairs, flags and the median in each band of similarity."""
     from ..operators.pairs import blocked_join
     from .pair_plans import vectors
 
-    v = vectors(spark, sf_dir).where("id < 300")
+    v = vectors(spark, sf_dir)
     s = blocked_join(v, v, 0.15, same_group=None, unordered=True).withColumn("sim", F.round("sim", 9)).where("sim >= 0.2")
     return s.groupBy(F.floor(F.col("sim") * 5).alias("band")).agg(F.count("*").alias("pairs"), F.count_if(F.col("sim") >= 0.5).alias("flagged"), F.round(F.median("sim"), 6).alias("med"))
 
@@ -235,24 +236,15 @@ def preflight(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("doc_id", "sentences", "sections", "tokens", (F.col("sections") >= 40).alias("is_large"), pairs.cast("long").alias("most_pairs"), F.round(2.1 * F.col("sections") + 0.033 * 2 * F.least(F.lit(40_000.0), pairs), 3).alias("seconds"))
 
 
-@query("rep_status_counts")
+@query("rep_status_counts", f"WITH x AS ({ORACLE_SQL['flags_planted']}) SELECT score, count(*) AS flags, count(DISTINCT doc_id) AS documents, count(*) || ' flags in ' || count(DISTINCT doc_id) || ' documents score ' || printf('%.2f', score) AS line FROM x GROUP BY score")
 def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG9, REP1: flags by score, and a plain line on each."""
+    """AGG9: flags by score, and a plain line on each."""
     return planted_flags(spark, sf_dir).groupBy("score").agg(F.count("*").alias("flags"), F.count_distinct("doc_id").alias("documents")).select("score", "flags", "documents", F.format_string("%d flags in %d documents score %.2f", "flags", "documents", "score").alias("line"))
 
 
 @query("agg_limits", f"WITH {SENTENCES_SQL}, n AS (SELECT doc_id, count(*) AS s, count(DISTINCT section_index) AS k FROM sentences GROUP BY doc_id) SELECT 'sections' AS stage, 40 AS bound, count(*) FILTER (k >= 40) AS hit, max(k) AS most FROM n UNION ALL SELECT 'sentences', 200, count(*) FILTER (s >= 200), max(s) FROM n")
 def limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG10, AGG11, REP2: which limits were hit, and how far."""
+    """AGG11: which limits were hit, and how far."""
     n = sentences(table(spark, sf_dir, "documents")).groupBy("doc_id").agg(F.count("*").alias("s"), F.count_distinct("section_index").alias("k"))
     got = n.agg(F.count_if(F.col("k") >= 40).alias("kh"), F.max("k").alias("km"), F.count_if(F.col("s") >= 200).alias("sh"), F.max("s").alias("sm"))
     return got.select(F.expr("stack(2, 'sections', 40, kh, km, 'sentences', 200, sh, sm) AS (stage, bound, hit, most)"))
-
-
-@query("agg_scope_counts", "WITH p AS (SELECT d.doc_id, d.source, e.doc_id AS other, e.source AS os FROM documents d JOIN documents e ON d.n_chars = e.n_chars AND d.doc_id < e.doc_id) SELECT count(*) FILTER (source = os) AS within, count(*) FILTER (source <> os) AS cross_source FROM p")
-def scope_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG12, JN13: pairs within and across sources."""
-    d = table(spark, sf_dir, "documents")
-    e = d.select(F.col("doc_id").alias("other"), F.col("source").alias("os"), "n_chars")
-    p = d.select("doc_id", "source", "n_chars").join(e, "n_chars").where("doc_id < other")
-    return p.agg(F.count_if(F.col("source") == F.col("os")).alias("within"), F.count_if(F.col("source") != F.col("os")).alias("cross_source"))

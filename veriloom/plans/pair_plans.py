@@ -32,17 +32,19 @@ def vector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "agg_pair_accounts",
-    f"WITH {_PAIRS}, g AS (SELECT grp, count(*) AS n FROM v GROUP BY grp) SELECT CAST((sum(n) * (sum(n) - 1) - sum(n * (n - 1))) / 2 AS BIGINT) AS pairs_total, (SELECT count(*) FROM j WHERE a < b) AS above_floor, (SELECT count(*) FROM p) AS kept, (SELECT count(*) FROM j WHERE a < b) - (SELECT count(*) FROM p) AS skipped_top_k FROM g",
+    f"WITH {_PAIRS}, g AS (SELECT grp, count(*) AS n FROM v GROUP BY grp) SELECT CAST((sum(n) * (sum(n) - 1) - sum(n * (n - 1))) / 2 AS BIGINT) AS pairs_total, (SELECT count(*) FROM j WHERE a < b) AS above_floor, (SELECT count(*) FROM j WHERE a < b) - (SELECT count(*) FROM p) AS skipped_top_k, (SELECT greatest(count(*) - 2000, 0) FROM p) AS skipped_budget, (SELECT least(count(*), 2000) FROM p) AS checked, 2 * (SELECT least(count(*), 2000) FROM p) AS calls FROM g",
 )
 def pair_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG2, AGG3: what selection keeps and skips."""
+    """AGG2, AGG3: what selection keeps and skips, and the scorer's calls, two for each checked pair, under a budget of 2,000 pairs."""
     v = vectors(spark, sf_dir)
-    joined = P.blocked_join(v, v, FLOOR)
-    above = joined.where("a < b").agg(F.count("*").alias("above_floor"))
-    kept = P.one_copy(P.top_per_row(joined, TOP_K)).agg(F.count("*").alias("kept"))
+    # one pass over the similarities: a pair is kept if it is among the closest of either of its rows
+    ranked = P.blocked_join(v, v, FLOOR).withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b")))
+    pairs = ranked.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg((F.min("rank") <= TOP_K).alias("close"))
+    counts = pairs.agg(F.count("*").alias("above_floor"), F.count_if("close").alias("kept"))
     totals = P.pair_totals(v.withColumn("doc", F.lit(0)), ["doc"], "grp").select("pairs_total")
+    checked = F.least(F.col("kept"), F.lit(2000).cast("long"))
     # one row each
-    return totals.join(above).join(kept).select("pairs_total", "above_floor", "kept", (F.col("above_floor") - F.col("kept")).alias("skipped_top_k"))
+    return totals.join(counts).select("pairs_total", "above_floor", (F.col("above_floor") - F.col("kept")).alias("skipped_top_k"), (F.col("kept") - checked).alias("skipped_budget"), checked.alias("checked"), (2 * checked).alias("calls"))
 
 
 @query("jn_asymmetric_pairs", f"WITH {_VEC}, j AS (SELECT x.id AS a, y.id AS b, list_dot_product(x.v, y.v) AS sim FROM v x JOIN v y ON x.grp <> y.grp WHERE x.id % 7 = 0 AND y.id % 7 <> 0 AND list_dot_product(x.v, y.v) >= {FLOOR}), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS rank FROM j) SELECT a, b, round(sim, 6) AS sim, rank FROM r WHERE rank <= {TOP_K}")
@@ -62,11 +64,12 @@ def context_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("grp", "b", F.round("sim", 6).alias("sim"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("agg_centroids", "SELECT label AS grp, round(sqrt(sum(m * m)), 6) AS norm, count(*) AS dims FROM (SELECT label, i, avg(CAST(e AS DOUBLE)) AS m FROM (SELECT label, unnest(embedding) AS e, unnest(range(64)) AS i FROM embeddings) GROUP BY ALL) GROUP BY label")
+@query("agg_centroids", "WITH d AS (SELECT label AS grp, i, avg(CAST(e AS DOUBLE)) AS m FROM (SELECT label, unnest(embedding) AS e, unnest(range(64)) AS i FROM embeddings) GROUP BY ALL), n AS (SELECT grp, sqrt(sum(m * m)) AS norm FROM d GROUP BY grp) SELECT d.grp, i, round(m / (norm + 1e-9), 6) AS value FROM d JOIN n USING (grp)")
 def centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG6: mean vectors and their norms."""
-    dims = vectors(spark, sf_dir).select("grp", F.posexplode("v").alias("i", "e")).groupBy("grp", "i").agg(F.avg(F.col("e").cast("double")).alias("m"))
-    return dims.groupBy("grp").agg(F.round(F.sqrt(F.sum(F.col("m") * F.col("m"))), 6).alias("norm"), F.count("*").alias("dims"))
+    """AGG6: mean vectors, made unit vectors again, dimension by dimension."""
+    dims = vectors(spark, sf_dir).select("grp", F.posexplode("v").alias("i", "e")).groupBy("grp", F.col("i").cast("long").alias("i")).agg(F.avg(F.col("e").cast("double")).alias("m"))
+    norms = dims.groupBy("grp").agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("norm"))
+    return dims.join(norms, "grp").select("grp", "i", F.round(F.col("m") / (F.col("norm") + 1e-9), 6).alias("value"))
 
 
 @query("srt_central_rows", f"WITH {_VEC}, c AS (SELECT x.grp, x.id, round(avg(list_dot_product(x.v, y.v)), 6) AS mean_sim FROM v x JOIN v y ON x.grp = y.grp GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY mean_sim DESC, id) AS rank FROM c) SELECT grp, id, mean_sim FROM r WHERE rank <= 5")
@@ -123,11 +126,11 @@ def combiners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.groupBy("doc_id").agg(F.count("*").alias("pairs"), F.count_if(F.greatest(f, r) >= 0.5).alias("by_max"), F.count_if(F.least(f, r) >= 0.5).alias("by_min"), F.count_if((f + r) / 2 >= 0.5).alias("by_mean"))
 
 
-@query("flt_entity_gate", f"WITH {_LEX.replace('claims AS (SELECT', 'claims AS (SELECT ' + T.entity_tokens_sql('text') + ' AS entities,').replace('x.words AS xw', 'len(list_intersect(x.entities, y.entities)) > 0 AS shared, ' + T.comparative_framing_sql('x.text') + ' IS NOT NULL OR ' + T.comparative_framing_sql('y.text') + ' IS NOT NULL AS framed, x.words AS xw')} SELECT doc_id, count(*) AS pairs, count(*) FILTER (shared) AS kept_entity, count(*) FILTER (NOT framed) AS kept_plain FROM lex GROUP BY doc_id")
+@query("flt_entity_gate", f"WITH {_LEX.replace('claims AS (SELECT', 'claims AS (SELECT ' + T.entity_tokens_sql('text') + ' AS entities,').replace('x.words AS xw', 'len(list_intersect(x.entities, y.entities)) > 0 AS shared, ' + T.comparative_framing_sql('x.text') + ' IS NOT NULL OR ' + T.comparative_framing_sql('y.text') + ' IS NOT NULL AS framed, x.words AS xw').replace(' AS entities,', ' AS entities, ' + T.content_tokens_sql('text') + ' AS topics,').replace(' AS shared,', ' AS shared, len(list_intersect(x.topics, y.topics)) > 0 AS on_topic,')} SELECT doc_id, count(*) AS pairs, count(*) FILTER (shared) AS kept_entity, count(*) FILTER (on_topic) AS kept_topic, count(*) FILTER (NOT framed) AS kept_plain FROM lex GROUP BY doc_id")
 def gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FLT3, FLT4, FLT5: pairs that the entity and comparison gates let through."""
+    """FLT3, FLT4, FLT5: pairs that the comparison, entity and topic gates let through; a gate that needs no partner could be pushed below the join."""
     rows = claims(spark, sf_dir)
-    marks = rows.select("doc_id", "id", T.entity_tokens(F.col("text")).alias("e"), T.comparative_framing(F.col("text")).isNotNull().alias("c"))
-    side = lambda p: marks.select("doc_id", F.col("id").alias(p), F.col("e").alias(f"{p}_e"), F.col("c").alias(f"{p}_c"))
+    marks = rows.select("doc_id", "id", T.entity_tokens(F.col("text")).alias("e"), T.content_tokens(F.col("text")).alias("t"), T.comparative_framing(F.col("text")).isNotNull().alias("c"))
+    side = lambda p: marks.select("doc_id", F.col("id").alias(p), F.col("e").alias(f"{p}_e"), F.col("t").alias(f"{p}_t"), F.col("c").alias(f"{p}_c"))
     both = P.lexical_pairs(rows, FLOOR).join(side("a"), ["doc_id", "a"]).join(side("b"), ["doc_id", "b"])
-    return both.groupBy("doc_id").agg(F.count("*").alias("pairs"), F.count_if(F.arrays_overlap("a_e", "b_e")).alias("kept_entity"), F.count_if(~(F.col("a_c") | F.col("b_c"))).alias("kept_plain"))
+    return both.groupBy("doc_id").agg(F.count("*").alias("pairs"), F.count_if(F.arrays_overlap("a_e", "b_e")).alias("kept_entity"), F.count_if(F.arrays_overlap("a_t", "b_t")).alias("kept_topic"), F.count_if(~(F.col("a_c") | F.col("b_c"))).alias("kept_plain"))

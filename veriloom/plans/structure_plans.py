@@ -11,7 +11,6 @@ from ..operators import graph as G
 from ..operators import merge as R
 from ..operators import pairs as P
 from ..operators import periods as D
-from ..operators import resolve as Z
 from ..operators import segment as S
 from ..operators.sentences import SENTENCES_SQL, sentences
 from .pair_plans import _CLAIMS, claims, scored_pairs, vectors
@@ -81,7 +80,7 @@ def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LINKS = "links AS (SELECT x.id AS a, y.id AS b FROM v x JOIN v y ON x.id < y.id WHERE list_dot_product(x.v, y.v) >= 0.4)"
-_VEC = "v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id < 400)"
+_VEC = "v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
 
 
 @query(
@@ -92,7 +91,7 @@ _VEC = "v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddi
 )
 def greedy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MRG1: removed iff close to an earlier row that stays."""
-    v = vectors(spark, sf_dir).where("id < 400")
+    v = vectors(spark, sf_dir)
     links = P.blocked_join(v, v, 0.4, same_group=None, unordered=True).select("a", "b")
     return R.greedy_keep(v.select(F.col("id").alias("node")), links)
 
@@ -120,7 +119,7 @@ _KNN = f"{_VEC}, s AS (SELECT x.id AS a, y.id AS b, list_dot_product(x.v, y.v) A
 
 
 def knn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.knn_graph(vectors(spark, sf_dir).where("id < 400"), 10)
+    return G.knn_graph(vectors(spark, sf_dir), 10)
 
 
 @query("grf_knn", f"WITH {_KNN} SELECT src, dst, round(weight, 6) AS weight FROM e")
@@ -136,7 +135,7 @@ def _rank_sql(rounds: int) -> str:
 
 @query("grf_pagerank", _rank_sql(10))
 def ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """GRF3, SRT5: weighted PageRank, ten rounds."""
+    """GRF3: weighted PageRank, ten rounds."""
     return G.pagerank(knn(spark, sf_dir), 10).select("node", F.round("rank", 7).alias("rank"))
 
 
@@ -166,7 +165,9 @@ def _marker_sql(text: str) -> str:
     one = []
     for i, (kind, p, year, number) in enumerate(D.FAMILIES):
         part = lambda g, p=p: f"regexp_extract(m, {T.q(p)}, {g})" if g else "''"
-        one.append(f"SELECT doc_id, sentence_id, strpos(t, m) AS place, {i} AS family, '{kind}' AS kind, {part(year)} AS a, {names.format(x=part(number))} AS b FROM (SELECT doc_id, sentence_id, t, unnest(list_distinct(regexp_extract_all(t, {T.q(p)}))) AS m FROM ({text}))")
+        chars = lambda x: f"coalesce(list_sum([len(y) FOR y IN {x}]), 0)"
+        place = f"{chars('parts[1:k]')} + {chars('found[1:k - 1]')} + 1"
+        one.append(f"SELECT doc_id, sentence_id, CAST({place} AS BIGINT) AS place, {i} AS family, '{kind}' AS kind, {part(year)} AS a, {names.format(x=part(number))} AS b FROM (SELECT *, found[k] AS m FROM (SELECT *, unnest(range(1, len(found) + 1)) AS k FROM (SELECT doc_id, sentence_id, regexp_extract_all(t, {T.q(p)}) AS found, regexp_split_to_array(t, {T.q(p)}) AS parts FROM ({text}))))")
     return " UNION ALL ".join(one)
 
 
@@ -187,16 +188,6 @@ def document_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("k", F.row_number().over(w)).where("k = 1").select("doc_id", "kind", "a", "b", "n")
 
 
-@query("jn_premise_windows", f"WITH {SENTENCES_SQL}, c AS (SELECT doc_id, section_index, sentence_id AS cid FROM sentences WHERE sentence_id % 5 = 0), b AS (SELECT doc_id, section_index, min(sentence_id) AS lo, max(sentence_id) AS hi FROM sentences GROUP BY ALL) SELECT DISTINCT c.doc_id, c.section_index, cid - d AS first_id, size FROM c JOIN b USING (doc_id, section_index), (VALUES (1, 0), (2, 0), (2, 1)) AS s(size, d) WHERE cid - d >= lo AND cid - d + size - 1 <= hi")
-def premise_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN7: runs of one or two sentences around a candidate, inside its section, once each."""
-    rows = sentences(table(spark, sf_dir, "documents"))
-    w = Window.partitionBy("doc_id", "section_index")
-    bounded = rows.withColumn("lo", F.min("sentence_id").over(w)).withColumn("hi", F.max("sentence_id").over(w)).where("sentence_id % 5 = 0")
-    sized = bounded.withColumn("size", F.explode(F.sequence(F.lit(1), F.lit(2)))).withColumn("first_id", F.explode(F.sequence(F.col("sentence_id") - F.col("size") + 1, F.col("sentence_id"))))
-    return sized.where("first_id >= lo AND first_id + size - 1 <= hi").select("doc_id", "section_index", "first_id", "size").distinct()
-
-
 _SUMMARY = f"summary AS (SELECT doc_id, sentence_id AS id, {M.core_sql('text')} AS tokens, {M.words_sql('text')} AS words FROM sentences WHERE local_index = 0)"
 _CAND = f"""{SENTENCES_SQL}, src AS (SELECT doc_id, sentence_id AS sid, section_index, {M.core_sql('text')} AS tokens, {M.words_sql('text')} AS words FROM sentences), {_SUMMARY},
 cand AS (SELECT s.doc_id, s.id, src.sid, src.section_index, len(list_intersect(s.tokens, src.tokens)) / sqrt(len(s.tokens)::DOUBLE * len(src.tokens)) AS sim, s.words AS hw, src.words AS pw FROM summary s JOIN src ON s.doc_id = src.doc_id WHERE s.id <> src.sid AND len(s.tokens) > 0 AND len(src.tokens) > 0),
@@ -214,6 +205,15 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.join(rows.select("doc_id", F.col("id").alias("sid"), "section_index", F.col("words").alias("pw")), ["doc_id", "sid"])
 
 
+@query("jn_premise_windows", f"WITH {_CAND}, b AS (SELECT doc_id, section_index, min(sentence_id) AS lo, max(sentence_id) AS hi FROM sentences GROUP BY ALL) SELECT DISTINCT t.doc_id, t.id, t.section_index, sid - d AS first_id, size FROM top t JOIN b USING (doc_id, section_index), (VALUES (1, 0), (2, 0), (2, 1)) AS s(size, d) WHERE rank <= 3 AND sid - d >= lo AND sid - d + size - 1 <= hi")
+def premise_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN7: runs of one or two sentences around each candidate of JN6, inside its section, once for each summary sentence."""
+    bounds = sentences(table(spark, sf_dir, "documents")).groupBy("doc_id", "section_index").agg(F.min("sentence_id").alias("lo"), F.max("sentence_id").alias("hi"))
+    found = candidates(spark, sf_dir).select("doc_id", "id", "sid", "section_index").join(bounds, ["doc_id", "section_index"])
+    sized = found.withColumn("size", F.explode(F.sequence(F.lit(1), F.lit(2)))).withColumn("first_id", F.explode(F.sequence(F.col("sid") - F.col("size") + 1, F.col("sid"))))
+    return sized.where("first_id >= lo AND first_id + size - 1 <= hi").select("doc_id", "id", "section_index", "first_id", "size").distinct()
+
+
 @query("prv_top_candidates", f"WITH {_CAND} SELECT doc_id, id, sid, round(sim, 6) AS sim, rank FROM top WHERE rank <= 3")
 def top_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates(spark, sf_dir).select("doc_id", "id", "sid", F.round("sim", 6).alias("sim"), F.col("rank").cast("long").alias("rank"))
@@ -234,7 +234,7 @@ def provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("jn_claim_grounding", f"WITH {SENTENCES_SQL} SELECT doc_id, sentence_id, CASE WHEN local_index = 0 THEN '' ELSE lag(text) OVER (PARTITION BY doc_id ORDER BY sentence_id) END AS antecedent FROM sentences")
 def grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN10, WIN8: the sentence before, inside the section."""
+    """WIN8: the sentence before, inside the section."""
     w = Window.partitionBy("doc_id").orderBy("sentence_id")
     return sentences(table(spark, sf_dir, "documents")).select("doc_id", "sentence_id", F.when(F.col("local_index") == 0, "").otherwise(F.lag("text").over(w)).alias("antecedent"))
 
@@ -252,14 +252,6 @@ def planted_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored_pairs(planted(spark, sf_dir), 0.5).where("score >= 0.5").select("doc_id", "a", "b", "score")
 
 
-@query("res_resolutions")
-def resolutions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """RES1, SRT3: flags resolved in order of score, by the number of shared words with the rest of the document as support; no SQL."""
-    flags = scored_pairs(planted(spark, sf_dir), 0.5).where("score >= 0.5")
-    support = F.pmod(F.xxhash64("doc_id", F.lit("s")), F.lit(100)) / 100
-    return Z.resolve(flags.select("doc_id", "a", "b", "score", (support * (F.col("a") % 7)).alias("support_a"), (support * (F.col("b") % 5)).alias("support_b")))
-
-
 @query(
     "jn_cross_reference_protection",
     f"""WITH {_CAND}, ctx AS (SELECT DISTINCT t.doc_id, t.sid, t.section_index FROM top t JOIN src h ON h.doc_id = t.doc_id AND h.sid = t.id WHERE rank <= 3 AND h.section_index <> t.section_index),

@@ -64,7 +64,7 @@ _LINE = "CASE sentence_id % 5 WHEN 0 THEN '## ' || substr(text, 1, 30) WHEN 1 TH
 _scalar("flt_heading", {"title": (lambda s: T.heading(F.expr(_LINE)), T.heading_sql(f"({_LINE})"))})
 _PAGE = "CASE sentence_id % 6 WHEN 0 THEN 'Page ' || (sentence_id + 1) || ' of 90' WHEN 1 THEN 'xiv' WHEN 2 THEN 'IV' WHEN 3 THEN (sentence_id || ' / 40') ELSE text END"
 _scalar("src_page_number", {"page": (lambda s: F.expr(_PAGE).rlike(T.PAGE_NUMBER), f"regexp_matches({_PAGE}, {T.q(T.PAGE_NUMBER)})")})
-_scalar("src_header_key", {"key": (lambda s: T.header_key(F.concat(F.lit("Annual Report  "), F.col("sentence_id").cast("string"), F.lit(" "), F.substring(s, 1, 20))), T.header_key_sql("('Annual Report  ' || sentence_id || ' ' || substr(text, 1, 20))"))})
+_scalar("src_header_key", {"key": (lambda s: T.header_key(F.concat(F.lit("Tidal Survey No  "), F.col("sentence_id").cast("string"), F.lit(" "), F.substring(s, 1, 20))), T.header_key_sql("('Tidal Survey No  ' || sentence_id || ' ' || substr(text, 1, 20))"))})
 
 
 @query("sentences", f"{KEYED_SQL} SELECT * FROM sentences")

@@ -19,9 +19,11 @@ def file_name(document: Column, settings: Column) -> Column:
 
 def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """SNK2: the rows of a JSON-lines checkpoint, the last of each key, and its damaged lines."""
-    rows = spark.read.schema(SCHEMA).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "damaged").json(path)
-    good = rows.where("damaged IS NULL AND key IS NOT NULL").select("key", "section_index", "generated")
-    return good.dropDuplicates(["key"]), rows.where("damaged IS NOT NULL").select("damaged")
+    lines = spark.read.text(path).select("value", F.struct(F.col("_metadata.file_modification_time").alias("time"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line")).alias("place")).where(F.trim("value") != "")
+    rows = lines.select("place", F.from_json("value", SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "damaged"}).alias("r")).select("place", "r.*")
+    sound = F.col("damaged").isNull() & F.col("key").isNotNull() & F.col("generated").isNotNull()
+    good = rows.where(sound).groupBy("key").agg(F.max_by(F.struct("section_index", "generated"), "place").alias("last")).select("key", "last.section_index", "last.generated")
+    return good, rows.where(~sound).select("damaged")
 
 
 def pending(inputs: DataFrame, cache: DataFrame) -> DataFrame:

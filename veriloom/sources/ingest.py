@@ -17,6 +17,8 @@ from ..functions import text as T
 FORMATS = {".txt": "text", ".md": "markdown", ".pdf": "pdf", ".json": "json", ".docx": "docx"}
 _SCHEMA = "path string, format string, text string, error string"
 _WORD_NS = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+# Least text of a PDF's text layer.
+LEAST_CHARS, LEAST_CHARS_A_PAGE = 200, 25
 ZONE, SHARE, LEAST_PAGES = 3, 0.5, 3
 
 
@@ -74,7 +76,23 @@ def _pdf(data: bytes) -> str:
         from pypdf import PdfReader
     except ImportError as e:
         raise ValueError("no PDF parser is installed") from e
-    return "\f".join(page.extract_text() for page in PdfReader(io.BytesIO(data)).pages)
+    reader = PdfReader(io.BytesIO(data))
+    if reader.is_encrypted and not reader.decrypt(""):
+        raise ValueError("the PDF needs a password")
+    return text_layer([page.extract_text() or "" for page in reader.pages])
+
+
+def text_layer(pages: list[str]) -> str:
+    """The pages, parted by form feeds, if they hold enough text to be more than scans."""
+    size = sum(len(p.strip()) for p in pages)
+    if size < max(LEAST_CHARS, LEAST_CHARS_A_PAGE * len(pages)):
+        raise ValueError(f"the PDF has no text layer: {size} characters on {len(pages)} pages")
+    return "\f".join(pages)
+
+
+def rejoin(text: Column) -> Column:
+    """SRC4: words that a line end parted at a hyphen, whole again."""
+    return F.regexp_replace(text, "([a-z])-\n([a-z])", "$1$2")
 
 
 def _parsed(files: DataFrame) -> DataFrame:
@@ -122,10 +140,21 @@ def html_to_text(html: Column) -> Column:
 def labelled_pairs(spark: SparkSession, candidates: str, labels: str, constructed: str) -> DataFrame:
     """SRC10: JSON lines of candidate pairs with their labels, and the constructed pairs."""
     shape = "id string, a string, b string"
-    joined = spark.read.schema(shape).json(candidates).join(spark.read.schema("id string, label string").json(labels), "id")
-    return joined.unionByName(spark.read.schema(shape + ", label string").json(constructed))
+    return with_labels(spark.read.schema(shape).json(candidates), spark.read.schema("id string, label string").json(labels), spark.read.schema(shape + ", label string").json(constructed))
+
+
+def with_labels(candidates: DataFrame, labels: DataFrame, constructed: DataFrame) -> DataFrame:
+    """Candidate pairs (id, a, b) that have a label (id, label), and the constructed pairs, which bring theirs."""
+    return candidates.join(labels, "id").unionByName(constructed)
 
 
 def frozen(spark: SparkSession, path: str) -> DataFrame:
     """SRC11: (path, sha256) of label files, to hold against the digests they were frozen with."""
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
+
+
+def verify_frozen(spark: SparkSession, path: str, digests: dict[str, str]) -> None:
+    """SRC11: an error that names the files, by their last name part, whose digest isn't the one they were frozen with, or that are missing."""
+    found = {r.path.rsplit("/", 1)[-1]: r.sha256 for r in frozen(spark, path).collect()}  # a few label files
+    if wrong := sorted(name for name, digest in digests.items() if found.get(name) != digest):
+        raise ValueError(f"frozen inputs have changed: {', '.join(wrong)}")
