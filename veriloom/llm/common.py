@@ -82,7 +82,8 @@ def keep_rows(docs: DataFrame, decided: DataFrame, key_of: Callable[[DataFrame],
     kept.  ``key_of`` adds the key to rows (doc_id, text); only ids that repeat need it.
     """
     counts = stash(decided.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows"), F.sum(F.col("kept").cast("int")).alias("_kept")).where("_kept > 0"), "kept-ids")
-    once = docs.join(counts.where("_rows = 1"), docs["doc_id"].cast("long").eqNullSafe(counts["_id"]), "left_semi")
+    # a merge at every size: whether few enough ids stay to be broadcast shall not change how rows move
+    once = docs.join(counts.where("_rows = 1").hint("merge"), docs["doc_id"].cast("long").eqNullSafe(counts["_id"]), "left_semi")
     if not counts.where("_rows > 1").limit(1).count():
         return once
     wrapped = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
