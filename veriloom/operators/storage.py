@@ -1,21 +1,43 @@
-"""Cutting lineage by checkpoints in the folder that the cluster shares."""
+"""Cutting lineage by checkpoints and tables in the folder that the cluster shares."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+_SAVED: dict[tuple, str] = {}
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` read back from a checkpoint in ``spark.checkpoint.dir``.
+
+def folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``.
 
     Where that is unset, a session on one machine takes a temporary folder; a cluster, whose machines share none, is an error.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not where and not context.master.startswith("local"):
+    context = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not where:
+        if not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        context.setCheckpointDir(where or tempfile.mkdtemp(prefix="veriloom-"))
+        where = tempfile.mkdtemp(prefix="veriloom-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(where)
+    return where.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` read back from a checkpoint."""
+    folder(df.sparkSession)
     return df.checkpoint()
+
+
+def saved(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A stage's output that later stages read: written once for each application and input, and read back."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _SAVED:
+        path = f"{folder(spark)}/veriloom/{name}-{uuid.uuid4().hex}"
+        build().write.parquet(path)
+        _SAVED[key] = path
+    return spark.read.parquet(_SAVED[key])

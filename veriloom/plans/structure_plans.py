@@ -13,6 +13,7 @@ from ..operators import pairs as P
 from ..operators import periods as D
 from ..operators import segment as S
 from ..operators.sentences import SENTENCES_SQL, sentences
+from ..operators.storage import saved
 from .pair_plans import _CLAIMS, claims, scored_pairs, vectors
 from .registry import ORACLE_SQL, query, table
 
@@ -241,7 +242,10 @@ def grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Counter-claims planted beside the claims, so that resolution has something to resolve.
 def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = claims(spark, sf_dir)
+    return saved(spark, sf_dir, "planted-claims", lambda: _planted(claims(spark, sf_dir)))
+
+
+def _planted(rows: DataFrame) -> DataFrame:
     against = rows.where("id % 5 = 0").select("doc_id", (F.col("id") + 1_000_000).alias("id"), F.lit(99_999).cast("long").alias("section_index"), F.concat(F.lit("Not "), "text").alias("text"), F.array_sort(F.array_distinct(F.array_append("words", F.lit("not")))).alias("words"), "tokens")
     return rows.unionByName(against)
 
