@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import audit_plans, merge_plans, more_plans, pair_plans, structure_plans, text_plans  # noqa: F401  modules register their queries on import
+from .plans import audit_plans, final_plans, merge_plans, more_plans, pair_plans, structure_plans, text_plans  # noqa: F401  modules register their queries on import
 from .plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
