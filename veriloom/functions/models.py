@@ -33,6 +33,15 @@ def core_sql(s: str) -> str:
     return f"[w FOR w IN {words_sql(s)} IF w NOT IN {T.words_sql(T.NEGATIONS)}]"
 
 
+def embed(s: Column, dimensions: int = 32) -> Column:
+    """A unit vector of a text: how many of its words fall to each hash value."""
+    places = F.transform(words(s), lambda w: F.pmod(F.xxhash64(w), F.lit(dimensions)))
+    counts = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(dimensions - 1).cast("long")), lambda d: F.size(F.filter(places, lambda p: p == d)).cast("double"))
+    # the counts' norm, worked out once
+    norm = F.aggregate(counts, F.lit(0.0), lambda n, x: n + x * x, lambda n: F.sqrt(n) + 1e-9)
+    return F.flatten(F.transform(F.array(norm), lambda n: F.transform(counts, lambda x: x / n)))
+
+
 def infer(premise: Column, hypothesis: Column) -> Column:
     """Struct (contradiction, entailment, neutral) from two word arrays: a subset entails, a lone negation turns it."""
     negations = F.array(*[F.lit(w) for w in T.NEGATIONS])

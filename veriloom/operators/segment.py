@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import models as M
+from ..functions import text as T
+
 
 def gap_similarities(rows: DataFrame, window: int = 3) -> DataFrame:
     """(doc_id, gap, sim) for rows (doc_id, i, v): cosine of the mean vectors on both sides of each gap.
@@ -109,3 +114,38 @@ def fold_headings(lines: DataFrame) -> DataFrame:
     v = Window.partitionBy("doc_id").orderBy("n_head")
     starts = body.withColumn("new", F.when((F.lag("full").over(v) == 0) & (F.lag("title").over(v).isNotNull()), 0).otherwise(1)).withColumn("block", F.sum("new").over(v))
     return starts.groupBy("doc_id", "block").agg(F.array_join(F.array_sort(F.collect_list(F.when(F.col("title").isNotNull(), F.struct("n_head", "title"))))["title"], " > ").alias("title"), F.max_by("body", "n_head").alias("body"))
+
+
+def segment_documents(docs: DataFrame, embed: Callable[[Column], Column] = M.embed, count: Callable[[Column], Column] = T.count_tokens, least_headings: int = 2, most_tokens: int = 900, least: int = 4) -> DataFrame:
+    """SEG1: (doc_id, section_index, title, origin, sentence_offset, sentences) for docs (doc_id, text).
+
+    A document with enough headings is cut at them, any other where neighbouring sentences differ most; ``embed`` makes
+    a vector of a sentence and ``count`` its tokens.  Sections over ``most_tokens`` are cut again at their deepest
+    valleys, their titles numbered.  A text without sentences has no section.
+    """
+    lines = docs.where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).withColumn("title", T.heading(F.col("line")))
+    headed = lines.groupBy("doc_id").agg((F.count("title") >= least_headings).alias("headed"))
+    lines = lines.join(headed, "doc_id")
+    blocks = fold_headings(lines.where("headed").drop("headed")).select("doc_id", "block", F.when(F.col("title") != "", F.col("title")).alias("title"), F.posexplode(T.sentences(F.col("body"))).alias("j", "text"))
+    structured = blocks.select("doc_id", F.col("block").cast("long").alias("part"), "j", "title", F.lit("heading").alias("origin"), "text")
+
+    flat = lines.where("NOT headed").select("doc_id", "i", F.posexplode(T.sentences(F.col("line"))).alias("k", "text"))
+    flat = flat.withColumn("j", F.row_number().over(Window.partitionBy("doc_id").orderBy("i", "k")) - 1).select("doc_id", F.col("j").cast("long").alias("j"), "text")
+    cuts = boundaries(depths(gap_similarities(flat.select("doc_id", F.col("j").alias("i"), embed(F.col("text")).alias("v")))), least)
+    starts = flat.join(cuts.select("doc_id", (F.col("gap") + 1).alias("j"), F.lit(1).alias("cut")), ["doc_id", "j"], "left")
+    w = Window.partitionBy("doc_id")
+    plain = starts.withColumn("part", F.sum(F.coalesce("cut", F.lit(0))).over(w.orderBy("j"))).withColumn("cuts", F.count("cut").over(w))
+    plain = plain.select("doc_id", F.col("part").cast("long").alias("part"), F.col("j").cast("int").alias("j"), F.lit(None).cast("string").alias("title"), F.when(F.col("cuts") > 0, "embedding").otherwise("single").alias("origin"), "text")
+
+    rows = structured.unionByName(plain).withColumn("n", count(F.col("text"))).withColumn("total", F.sum("n").over(Window.partitionBy("doc_id", "part")))
+    named = rows.withColumn("key", F.xxhash64("doc_id", "part"))
+    split = split_oversize(named.where(F.col("total") > most_tokens).select(F.col("key").alias("doc_id"), F.col("j").cast("long").alias("i"), F.col("n").alias("n_tokens"), embed(F.col("text")).alias("v")), most_tokens, least)
+    split = split.select(F.col("doc_id").alias("key"), F.col("i").cast("int").alias("j"), F.col("part").alias("piece"))
+    full = named.join(split, ["key", "j"], "left").withColumn("piece", F.coalesce("piece", F.lit(0).cast("long"))).withColumn("pieces", F.max("piece").over(Window.partitionBy("doc_id", "part")) + 1)
+    sections = full.groupBy("doc_id", "part", "piece", "pieces").agg(F.first("title").alias("title"), F.first("origin").alias("origin"), F.transform(F.array_sort(F.collect_list(F.struct("j", "text"))), lambda x: x["text"]).alias("sentences"))
+    order = Window.partitionBy("doc_id").orderBy("part", "piece")
+    many = F.col("pieces") > 1
+    return sections.select(
+        "doc_id", (F.row_number().over(order) - 1).cast("long").alias("section_index"), F.when(many & F.col("title").isNotNull(), F.concat("title", F.lit(" (part "), (F.col("piece") + 1).cast("string"), F.lit(")"))).otherwise(F.col("title")).alias("title"),
+        F.when(many, F.concat("origin", F.lit("+split"))).otherwise(F.col("origin")).alias("origin"), F.coalesce(F.sum(F.size("sentences")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long").alias("sentence_offset"), "sentences",
+    )

@@ -61,6 +61,15 @@ def oversize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.split_oversize(label_rows(spark, sf_dir).withColumn("n_tokens", F.lit(100)), 900)
 
 
+@query("seg_documents")
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SEG1 over all documents, every other one with headings put in; greedy and recursive, so tests hold it against loops."""
+    d = table(spark, sf_dir, "documents")
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 4 == 0, F.concat(F.lit("## Part "), i.cast("string"), F.lit("\n"), x)).otherwise(x))
+    given = d.select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.array_join(lines, "\n")).otherwise(F.col("text")).alias("text"))
+    return S.segment_documents(given).select("doc_id", "section_index", "title", "origin", "sentence_offset", F.size("sentences").alias("n"))
+
+
 _HEADED = "CASE WHEN section_index % 4 = 0 THEN '## Part ' || section_index WHEN section_index % 8 = 1 THEN '# Topic ' || section_index ELSE text END"
 
 
