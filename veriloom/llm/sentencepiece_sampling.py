@@ -63,8 +63,8 @@ class Vocabulary:
         for i in range(sp.get_piece_size()):
             piece = sp.id_to_piece(i)
             special = sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)
-            # pieces of several spaces, or with one inside, would tie neighbouring words together
-            pieces.append(None if special or "▁" in piece[1:] else piece.encode())
+            # a piece with a space mark after a letter would tie neighbouring words together; public vocabularies have none
+            pieces.append(None if special or "▁" in piece.lstrip("▁") else piece.encode())
         base = next(i for i in range(sp.get_piece_size()) if sp.is_byte(i))
         return cls(tuple(pieces), base)
 
@@ -313,9 +313,9 @@ class _Search:
 def units(rows: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Distinct units, the unit at each place of all texts, and where each text's units start.
 
-    A unit is a space mark and a word, or a line feed, or what follows one: no piece reaches beyond it.
+    A unit is a run of space marks and the word after it, or a line feed, or what follows one: no piece reaches beyond it.
     """
-    marked = [b" " + _SPACE + t.replace(_SPACE, _LITERAL).replace(b" ", b" " + _SPACE).replace(b"\n", b" \n ") if t else b"" for t in rows]
+    marked = [(b" " + _SPACE + t.replace(_SPACE, _LITERAL).replace(b" ", b" " + _SPACE)).replace(_SPACE + b" ", _SPACE).replace(b"\n", b" \n ") if t else b"" for t in rows]
     lists = pc.split_pattern(pa.array(marked, pa.large_binary()), pattern=" ")
     full = pc.greater(pc.binary_length(lists.flatten()), 0)
     starts = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])[lists.offsets.to_numpy() - lists.offsets[0].as_py()].astype(np.int64)
