@@ -274,3 +274,36 @@ def check_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     side = lambda p: said.select("doc_id", F.col("id").alias(p), F.col("text").alias(f"text_{p}"))
     full = flag_table(spark, sf_dir).join(side("a"), ["doc_id", "a"]).join(side("b"), ["doc_id", "b"]).join(fed, "doc_id")
     return full.where(~F.col("fed").contains(F.col("text_a")) & ~F.col("fed").contains(F.col("text_b"))).select("doc_id", "a", "b", "score")
+
+
+_MERGED = 6
+
+
+def _rounds_sql() -> str:
+    made = M.lead_sql("text", 40)
+    steps = [f"{_SECTION}, b1 AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY section_index) - 1 AS i, text FROM s)"]
+    for k in range(1, _MERGED + 1):
+        steps.append(f"g{k} AS (SELECT doc_id, CAST(floor(i / 5) AS BIGINT) AS group_id, string_agg(text, ' ' ORDER BY i) AS text, count(*) AS n_blocks FROM b{k} GROUP BY ALL)")
+        steps.append(f"o{k} AS MATERIALIZED (SELECT doc_id, {k} AS round, group_id, n_blocks, {made} AS output, count(*) OVER (PARTITION BY doc_id) AS n FROM g{k})")
+        steps.append(f"b{k + 1} AS (SELECT doc_id, group_id AS i, output AS text FROM o{k} WHERE n > 1)")
+    return ", ".join(steps) + " " + " UNION ALL ".join(f"SELECT doc_id, round, group_id, n_blocks, output FROM o{k}" for k in range(1, _MERGED + 1))
+
+
+@query("mrg_rounds", _rounds_sql())
+def rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MRG3 abstractive with the leading-words summariser: sections merge five by five, round after round, until one block is left."""
+    w = Window.partitionBy("doc_id").orderBy("section_index")
+    blocks = section_texts(spark, sf_dir).select("doc_id", (F.row_number().over(w) - 1).cast("long").alias("i"), "text")
+    return R.merge_rounds(blocks, lambda c: M.lead(c, 40), 5, _MERGED)
+
+
+_FLAT = """SELECT event_id, event_id || '.' || k AS path, json_extract_string(props, '$."' || k || '"') AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)"""
+
+
+@query("snk_flat_diff", f"WITH f AS ({_FLAT}), x AS (SELECT path, value AS a FROM f WHERE event_id % 7 <> 0), y AS (SELECT path, CASE WHEN event_id % 3 = 0 THEN value || '!' ELSE value END AS b FROM f WHERE event_id % 5 <> 0) SELECT coalesce(x.path, y.path) AS path, a, b FROM x FULL JOIN y ON x.path = y.path WHERE a IS DISTINCT FROM b")
+def flat_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK5: JSON flattened to path and value, and two runs of it compared from both sides: some values changed, some paths in one run only."""
+    flat = table(spark, sf_dir, "events").select("event_id", F.explode(F.from_json("props", "map<string, string>")).alias("k", "value")).withColumn("path", F.concat_ws(".", F.col("event_id").cast("string"), "k"))
+    one = flat.where("event_id % 7 <> 0").select("path", F.col("value").alias("a"))
+    other = flat.where("event_id % 5 <> 0").select("path", F.when(F.col("event_id") % 3 == 0, F.concat("value", F.lit("!"))).otherwise(F.col("value")).alias("b"))
+    return one.join(other, "path", "full").where(~F.col("a").eqNullSafe(F.col("b")))
