@@ -4,7 +4,7 @@ Two texts are near-duplicates if banded alignment of their words needs at most a
 edits: an edit similarity of ``SIMILARITY``.  Candidates come from Order MinHash: a text's five-word shingles are
 labelled with their occurrence number; each of ``SKETCHES`` hash orders picks the smallest few and keeps them in text
 order; texts that agree on one such pick share a bucket.  Texts of up to ``SHORT`` words have few shingles, all of
-which a single edit can change, so they get sketches of word pairs, too.
+which a single edit can change, so they get sketches of word pairs, too, and those of up to ``SHORTEST`` of single words.
 
 In a bucket, every member is first held against the most central one.  Buckets whose members are then all joined by
 chains of links are closed.  What other buckets leave open is settled pair by pair, inside tasks that each hold two
@@ -14,7 +14,7 @@ similar: no candidate is left open.  Only links leave the tasks; the work of a b
 that the central one doesn't join with the rest.
 
 Texts with the same words are one class and are compared once.  Words are folded: ASCII letters in lower
-case, and only letters, digits and characters beyond ASCII count.  A text of one to four words has no partner but
+case, and only letters, digits and characters beyond ASCII count.  A text of one to three words has no partner but
 those of equal words; texts without words (null ones too) are one class.  Classes are told apart by 128 bits and named by
 64 of them.  A null id counts as the smallest.  Rows that share id and words are one document and share one answer;
 ``keep_one`` keeps one of them.  Texts are read whole; an empty table gives no rows; other columns are ignored.
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import discard, docs_of, folded, join_groups, keep_rows, map_slices, mix, stash, table, word_hashes
 from .graph import components
 
-SHINGLE, SIMILARITY, SHORT = 5, 0.8, 48
+SHINGLE, SIMILARITY, SHORT, SHORTEST = 5, 0.8, 48, 12
 SKETCHES = 32
 #: Bits that tell which words a text has.
 WORD_BITS = 512
@@ -57,7 +57,7 @@ class Family:
 
 
 #: One of 32 picks of three agrees with 0.986 where half of the shingles do, as after edits of a tenth of the words in runs.
-FAMILIES = (Family(SHINGLE, 3, SHINGLE, 2**62), Family(2, 2, SHINGLE, SHORT))
+FAMILIES = (Family(SHINGLE, 3, SHINGLE, 2**62), Family(2, 2, 4, SHORT), Family(1, 3, 4, SHORTEST))
 
 
 def shingles(words: np.ndarray, starts: np.ndarray, length: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
