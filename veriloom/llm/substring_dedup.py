@@ -117,6 +117,8 @@ def anchors(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
             own = np.flatnonzero((high - low <= WINDOW) & (low >= 0) & (high <= n))
             name, low, high = name[own], low[own], high[own]
             stretch = (sums[high] - sums[low]) * inverse[low]
+            if not len(own):  # one word over and over: a run is wider than any window
+                continue
             value = (mix(name * _STEP + stretch) >> np.uint64(2)) | np.uint64(level << 62)
             if level == len(levels) - 1:
                 reach = np.minimum(WINDOW - (high - low), low)
