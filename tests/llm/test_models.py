@@ -1,6 +1,7 @@
 import random
 import re
 import time
+import zlib
 
 import numpy as np
 import pytest
@@ -120,6 +121,64 @@ def test_quality_held_out_and_edges(spark):
     assert quality.score(spark.createDataFrame([], "doc_id long, text string"), model).count() == 0
 
 
+def labelled_texts(n):
+    """(text, y) of good and bad texts that no weights tell apart wholly."""
+    rng = random.Random(11)
+    words = ["some", "Word", "of", "a", "TEXT.", "here", "there.", "$$", "!!", "|", "12"]
+    for _ in range(n):
+        y = int(rng.random() < 0.7)
+        yield " ".join(rng.choice(words[: 8 if y and rng.random() < 0.8 else 11]) for _ in range(rng.randrange(1, 9))), y
+
+
+def plain_pair_weights(x, y):
+    """Weights by Newton's method over every pair of a good and a bad row, one difference each."""
+    z = (x - x.mean(axis=0)) / np.maximum(x.std(axis=0), 1e-6)
+    good, bad = z[y == 1], z[y == 0]
+    diff = (good[:, None] - bad[None]).reshape(-1, z.shape[1])
+    weight, w = 24 * min(len(good), len(bad)) / len(diff), np.zeros(z.shape[1])
+    for _ in range(30):
+        q = 1 / (1 + np.exp(diff @ w))
+        w -= np.linalg.solve(weight * (diff.T * (q * (1 - q))) @ diff + np.eye(len(w)), w - weight * diff.T @ q)
+    return z, w
+
+
+def test_quality_weights_are_those_of_all_pairs(spark):
+    texts, y = zip(*labelled_texts(400), strict=True)
+    model = quality.train(docs(spark, *texts), spark.createDataFrame(list(enumerate(y)), "doc_id long, y int"))
+    y = np.array(y)
+    z, w = plain_pair_weights(np.array([quality.features(t.encode()) for t in texts]), y)
+    assert np.abs(np.array(model.weights) - w).max() < 1e-3 * np.abs(w).max()
+    assert model.cut == pytest.approx(np.quantile(z @ w, (y == 0).mean()), abs=1e-3)
+
+
+def test_quality_learns_from_every_labelled_row(spark, tmp_path):
+    # more than 20,000 of them in the training folds
+    texts, y = zip(*labelled_texts(27_000), strict=True)
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, v) for i, v in enumerate(y)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    model = quality.fitted(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    own = np.array([zlib.crc32(str(i).encode()) % 5 != 0 for i in range(len(y))])
+    x, y = np.array([quality.features(t.encode()) for t in texts])[own], np.array(y)[own]
+    assert len(y) > 20_000
+    assert np.allclose(model.mean, x.mean(axis=0), rtol=1e-9) and np.allclose(model.scale, np.maximum(x.std(axis=0), 1e-6), rtol=1e-9)
+    s = quality.strengths(x, np.array(model.mean), np.array(model.scale), np.array(model.weights))
+    assert model.cut == pytest.approx(np.quantile(s, (y == 0).mean()), abs=1e-12)
+
+
+@pytest.mark.parametrize("q", [0.0, 0.25, 0.5, 0.93, 1.0])
+def test_quality_quantile_equals_numpy(spark, q):
+    rng = random.Random(5)
+    values = [rng.choice([0.0, -0.0, 1e-300, -3.5, rng.gauss(0, 1), rng.gauss(0, 1e6)]) for _ in range(301)]
+    x = spark.createDataFrame([([v, *[0.0] * (quality.N_FEATURES - 1)], 1) for v in values], "x array<double>, y int").repartition(3)
+    assert quality.quantile(x, lambda x: x[:, 0], len(values), q) == pytest.approx(np.quantile(values, q), rel=1e-12)
+
+
+def test_quality_of_equal_texts_with_both_labels(spark):
+    d = docs(spark, *["the same text"] * 6)
+    model = quality.train(d, spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, y int"))
+    assert {round(r.score, 6) for r in quality.score(d, model).collect()} == {0.3}
+
+
 # -- language
 
 

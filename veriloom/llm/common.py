@@ -218,9 +218,14 @@ def _byte_table() -> np.ndarray:
     return mix(np.arange(64 * 256))
 
 
+def labels_of(labels: DataFrame, label: str, id_col: str, usable: Column) -> DataFrame:
+    """(doc_id, y): every labelled document of the training folds."""
+    return labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).where(usable).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("y"))
+
+
 def bounded_labels(labels: DataFrame, label: str, id_col: str, usable: Column, most: int) -> DataFrame:
     """(doc_id, y): at most about ``most`` labelled documents of the training folds, picked by a hash of the id."""
-    rows = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).where(usable).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("y"))
+    rows = labels_of(labels, label, id_col, usable)
     n = rows.count()
     if n > most:
         rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) < int(1_000_000 * most / n))
