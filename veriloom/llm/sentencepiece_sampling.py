@@ -93,6 +93,8 @@ class Trie:
         for n in inner:
             for b, m in children[n].items():
                 self.next[row[n], b] = m
+        # where a node's 256 followers stand
+        self.next, row = self.next.ravel(), row.astype(np.int64) * 256
         self.row, self.ends, self.base = row, np.array(ends, np.int32), vocabulary.byte_base
         n = len(vocabulary.pieces)
         rank = np.full(n, n, float)
@@ -104,10 +106,7 @@ class Trie:
         spelled[self.base : self.base + 256] = [bytes([b]) for b in range(256)]
         # decoding: the space mark becomes a space; bytes of a literal mark are byte pieces and stay
         spelled = [p.replace(_SPACE, b" ") for p in spelled]
-        self.spell = spelled
-        self.length = np.array([len(p) for p in spelled], np.int64)
-        self.offset = np.concatenate([[0], np.cumsum(self.length)[:-1]])
-        self.flat = np.frombuffer(b"".join(spelled), np.uint8)
+        self.spell = np.array(spelled, object)
 
 
 @lru_cache(maxsize=2)
@@ -139,18 +138,20 @@ class Lattice:
         node_of = (base[end - places] + np.repeat(rank, size + 1)).astype(np.int32)
         place = np.flatnonzero(((text & 0xC0) != 0x80) & (text < 0xF8))
         batches = []
-        node, at, start = np.zeros(len(place), np.int32), place, place
+        node, start = np.zeros(len(place), np.int32), place
         single = np.zeros(len(text), bool)
         width = _WIDTH[text]
-        while len(at):
-            node = trie.next[trie.row[node], text[at]]
+        depth = 0
+        while len(start):
+            node = trie.next[trie.row[node] + text[start + depth]]
             keep = np.flatnonzero(node >= 0)
-            node, at, start = node[keep], at[keep] + 1, start[keep]
+            node, start, depth = node[keep], start[keep], depth + 1
             piece = trie.ends[node]
             done = np.flatnonzero(piece >= 0)
-            whole, to = start[done], at[done]
-            batches.append((node_of[whole], node_of[to], piece[done]))
-            single[whole[to - whole == width[whole]]] = True
+            whole = start[done]
+            batches.append((node_of[whole], node_of[whole + depth], piece[done]))
+            if depth <= 4:
+                single[whole[width[whole] == depth]] = True
         # spelled out: all bytes of a character without a piece, bytes of no character, and those of a literal mark
         lead = np.zeros(len(text), np.int64)
         lead[place] = place
@@ -163,12 +164,13 @@ class Lattice:
         for own, _, _ in batches:
             held[own] += 1
         self.first_arc = np.concatenate([[0], np.cumsum(held)]).astype(np.int32)
+        self.last_arc = self.first_arc[1:] - np.int32(1)
         n, filled = int(self.first_arc[-1]), self.first_arc[:-1].copy()
         self.stop, self.piece = np.empty(n, np.int32), np.empty(n, np.int32)
         for own, to, piece in batches:
             slot = filled[own]
             self.stop[slot], self.piece[slot] = to, piece
-            filled[own] += 1
+            filled[own] = slot + 1
         # backward sums, all units at once by distance from their end
         beta = np.full(len(text), -np.inf)
         beta[: self.n_units] = 0
@@ -184,8 +186,8 @@ class Lattice:
             beta[nodes] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, counts)), new))
             self.logp[a:b] = value - np.repeat(beta[nodes], counts)
         sums = np.concatenate([[0.0], np.cumsum(np.exp(self.logp))])
-        self.upto = sums[1:] - np.repeat(sums[self.first_arc[:-1]], held)
-        self.upto[self.first_arc[1:][held > 0] - 1] = 2.0  # rounding never runs past the last arc
+        # probability of a node's arcs before each: 0 for the first one
+        self.before = sums[:-1] - np.repeat(sums[self.first_arc[:-1]], held)
 
     def node(self, arc: int) -> int:
         """The node that an arc starts from."""
@@ -196,23 +198,26 @@ class Lattice:
         count = np.zeros(len(nodes), np.int32)
         live = np.flatnonzero(nodes >= self.n_units).astype(np.int32)
         at, seed = nodes[live], seeds[live]
-        steps, step = [], np.uint64(0)
+        steps = []
         while len(live):
-            with np.errstate(over="ignore"):
-                z = (seed + step * np.uint64(0xD1342543DE82EF95)) ^ (seed >> np.uint64(32))
-                z = (z ^ (z >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            u = (z >> np.uint64(11)) * 2.0**-53
-            arc = self.first_arc[at]
-            more = np.flatnonzero(u >= self.upto[arc])
+            z = seed + np.uint64(len(steps) * 0xD1342543DE82EF95 & _ALL)
+            z ^= seed >> np.uint64(32)
+            z ^= z >> np.uint64(29)
+            z *= np.uint64(0xBF58476D1CE4E5B9)
+            z >>= np.uint64(11)
+            u = z.view(np.int64) * 2.0**-53
+            # from the last arc down: longer pieces, which stand last, are drawn most
+            arc = self.last_arc[at]
+            more = np.flatnonzero(u < self.before[arc])
             while len(more):
-                arc[more] += 1
-                more = more[u[more] >= self.upto[arc[more]]]
+                arc[more] -= 1
+                more = more[u[more] < self.before[arc[more]]]
             steps.append((live, arc))
-            count[live] += 1
             at = self.stop[arc]
-            on = np.flatnonzero(at >= self.n_units)
+            on = at >= self.n_units
+            count[live[np.flatnonzero(~on)]] = len(steps)
+            on = np.flatnonzero(on)
             live, at, seed = live[on], at[on], seed[on]
-            step += np.uint64(1)
         offset = np.concatenate([[0], np.cumsum(count)])
         arcs = np.empty(offset[-1], np.int32)
         for k, (who, arc) in enumerate(steps):
@@ -221,7 +226,7 @@ class Lattice:
 
 
 #: Bytes of the character that a byte begins.
-_WIDTH = np.array([1 if b < 0x80 else 2 if b < 0xE0 else 3 if b < 0xF0 else 4 for b in range(256)], np.int64)
+_WIDTH = np.array([1 if b < 0x80 else 2 if b < 0xE0 else 3 if b < 0xF0 else 4 for b in range(256)], np.int8)
 
 
 def _mix(z: int) -> int:
@@ -320,7 +325,9 @@ def units(rows: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     full = pc.greater(pc.binary_length(lists.flatten()), 0)
     starts = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])[lists.offsets.to_numpy() - lists.offsets[0].as_py()].astype(np.int64)
     coded = lists.flatten().filter(full).dictionary_encode()
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), starts
+    _, where, data = coded.dictionary.buffers()
+    cuts, held = np.frombuffer(where, np.int64)[: len(coded.dictionary) + 1].tolist(), data.to_pybytes() if data is not None else b""
+    return [held[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), starts
 
 
 def sample(rows: list[bytes], keys: np.ndarray, trie: Trie, k: int) -> tuple[Lattice | None, list[_Search]]:
@@ -361,7 +368,7 @@ def sample(rows: list[bytes], keys: np.ndarray, trie: Trie, k: int) -> tuple[Lat
 
 def decode(ids: np.ndarray, trie: Trie) -> bytes:
     """The text of a sequence of piece ids."""
-    return b"".join([trie.spell[i] for i in ids.tolist()])[1:]
+    return b"".join(trie.spell[ids].tolist())[1:]
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, k: int = SAMPLES, alpha: float = ALPHA, seed: int = SEED, with_ids: bool = False, slice_bytes: int = 3_000_000) -> DataFrame:
@@ -394,9 +401,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, k: int = SAMPL
                 out["perturbed"].append(value)
                 out["log_inclusion"].append(x if x < -30 else float(np.log(-np.expm1(-np.exp(x)))))
                 out["ids_sha256"].append(hashlib.sha256(pieces.astype("<i4").tobytes()).hexdigest())
-                lengths = trie.length[pieces]
-                place = np.repeat(trie.offset[pieces] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(int(lengths.sum())) if len(pieces) else np.zeros(0, np.int64)
-                out["round_trip"].append(trie.flat[place][1:].tobytes() == text)
+                out["round_trip"].append(decode(pieces, trie) == text)
                 if with_ids:
                     out["ids"].append(pieces)
         kinds = {"doc_id": pa.int64(), "rank": pa.int32(), "n_pieces": pa.int64(), "log_prob": pa.float64(), "perturbed": pa.float64(), "log_inclusion": pa.float64(), "ids_sha256": pa.string(), "round_trip": pa.bool_(), "ids": pa.list_(pa.int32())}
