@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, substring_dedup
+from . import exact_dedup, fill_in_middle, substring_dedup
 from .decontamination import op9_decontamination
 from .exact_dedup import op2_exact_dedup
+from .fill_in_middle import op11_fill_in_middle
 from .language import op8_language
 from .licenses import op10_licenses
 from .near_dedup import op7_near_dedup
@@ -25,9 +26,11 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_decontamination": op9_decontamination,
     "op10_licenses": op10_licenses,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_dedup": exact_dedup.SQL,
     "op6_substring_dedup": substring_dedup.SQL,
+    "op11_fill_in_middle": fill_in_middle.SQL,
 }
