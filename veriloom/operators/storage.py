@@ -33,6 +33,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a table of its own in the shared folder and read back."""
+    path = f"{folder(df.sparkSession)}/veriloom/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def saved(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """A stage's output that later stages read: written once for each application and input, and read back."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
