@@ -1,7 +1,7 @@
 """Similarity joins and what follows them: floor, top-k for each row, one copy of each pair, budget, accounts.
 
 Vector joins run blocked: the left side is dealt out in blocks of rows, the right side comes in blocks too, so a
-task holds one block of each.  Lexical joins are equi-joins on shared words: a similarity above 0 needs one.
+task holds one block of each; large ones go through a metric index first.  Lexical joins are equi-joins on shared words: a similarity above 0 needs one.
 """
 
 from __future__ import annotations
@@ -13,6 +13,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import metric
+from .storage import stored
+
 #: Rows of a block: 4096 x 4096 similarities are 64 MB as float32.
 BLOCK = 4096
 
@@ -22,11 +25,13 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def blocked_join(left: DataFrame, right: DataFrame, floor: float, same_group: bool | None = False, unordered: bool = False) -> DataFrame:
+def blocked_join(left: DataFrame, right: DataFrame, floor: float, same_group: bool | None = False, unordered: bool = False, index: bool | None = None) -> DataFrame:
     """(a, b, sim) for rows (id, grp, v): similarity at least ``floor``; ``same_group`` False keeps pairs across groups only.
 
-    Rows become blocks, blocks meet blocks, and one matrix product gives a block pair's similarities; the number
-    of block pairs is the square of the rows over ``BLOCK``, each of bounded size, dealt over all executors.
+    Rows become blocks, blocks meet blocks, and one matrix product gives a block pair's similarities.  From
+    ``INDEXED`` block pairs on (or where ``index`` asks for it) rows of the left side meet only the rings of a metric
+    index that can hold a partner (see ``metric``), if those are at most half of the work that all block pairs are.
+    Rows without a vector, or with a null in it, have no partners; vectors of different lengths are an error.
     """
 
     def close(xi, xg, xv, yi, yg, yv):
@@ -38,40 +43,82 @@ def blocked_join(left: DataFrame, right: DataFrame, floor: float, same_group: bo
         i, j = np.nonzero(keep)
         return xi[i], yi[j], sims[i, j]
 
-    return _block_pairs(left, right, close)
+    left, right = with_vectors(left), with_vectors(right)
+    n, m = left.count(), right.count()
+    if n and m and (index if index is not None else _block_count(n, m) >= INDEXED):
+        rings = metric.fit(right, m)
+        probes = left.withColumn("floor", F.lit(float(floor)))
+        if index or metric.work(rings, probes)["pairs"] <= n * m / 2:
+            return _block_pairs(metric.copies(rings, probes), metric.placed(rings, right), close)
+    return _block_pairs(_one_bucket(left), _one_bucket(right), close)
+
+
+def nearest(left: DataFrame, right: DataFrame, k: int, index: bool | None = None) -> DataFrame:
+    """(a, b, sim): at least the ``k`` nearest rows of ``right`` for each row (id, grp, v) of ``left``, other than itself.
+
+    Each block pair gives a row's k nearest in it (ties by id).  With the metric index a row first meets its own cell; its k-th
+    best there bounds which other rings can hold anything nearer.
+    """
+    left, right = with_vectors(left), with_vectors(right)
+    find = lambda x, y: _block_pairs(x, y, lambda xi, xg, xv, yi, yg, yv: _nearest(xi, xv, yi, yv, k))
+    n, m = left.count(), right.count()
+    if n and m and (index if index is not None else _block_count(n, m) >= INDEXED):
+        rings = metric.fit(right, m)
+        first = stored(find(metric.own_cells(rings, left), metric.placed(rings, right, by_cell=True)), "nearest-own")
+        bound = top_per_row(first, k).groupBy("a").agg(F.count("*").alias("found"), F.min("sim").alias("worst")).where(F.col("found") >= k)
+        probes = left.join(bound.select(F.col("a").alias("id"), "worst"), "id", "left").withColumn("floor", F.coalesce("worst", F.lit(float("-inf")))).drop("worst")
+        if index or metric.work(rings, probes, others=True)["pairs"] <= n * m / 2:
+            return first.unionByName(find(metric.copies(rings, probes, others=True), metric.placed(rings, right)))
+    return find(_one_bucket(left), _one_bucket(right))
+
+
+#: Block pairs from which on the metric index is tried.
+INDEXED = 64
+
+
+def _block_count(n: int, m: int) -> int:
+    return -(-n // BLOCK) * -(-m // BLOCK)
+
+
+def with_vectors(rows: DataFrame) -> DataFrame:
+    """The rows (id, grp, v) that have a vector."""
+    return rows.select("id", "grp", "v").where(F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull()))
+
+
+def _one_bucket(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("bucket", F.lit(0))
 
 
 def _block_pairs(left: DataFrame, right: DataFrame, work: Callable) -> DataFrame:
-    """(a, b, sim) that ``work`` finds in each pair of blocks of rows (id, grp, v)."""
-    n = max(left.count(), right.count())
-    blocks = max(1, -(-n // BLOCK))
-    pack = lambda df, p: df.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias(f"block_{p}")).agg(F.collect_list(F.struct("id", "grp", "v")).alias(p))
-    grid = left.sparkSession.range(blocks * blocks).select((F.col("id") / blocks).cast("int").alias("block_x"), (F.col("id") % blocks).cast("int").alias("block_y"))
-    met = grid.join(pack(left, "x"), "block_x").join(pack(right, "y"), "block_y").select("x", "y")
+    """(a, b, sim) that ``work`` finds in each pair of blocks of one bucket, of rows (bucket, id, grp, v); there are ``metric.RINGS`` buckets at most."""
+
+    def pack(rows: DataFrame, p: str) -> tuple[DataFrame, DataFrame]:
+        sizes = F.broadcast(rows.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(f"blocks_{p}")))
+        block = F.pmod(F.xxhash64("id"), F.col(f"blocks_{p}")).cast("int").alias(f"block_{p}")
+        return sizes, rows.join(sizes, "bucket").groupBy("bucket", block).agg(F.collect_list(F.struct("id", "grp", "v")).alias(p))
+
+    (x_sizes, xs), (y_sizes, ys) = pack(left, "x"), pack(right, "y")
+    grid = x_sizes.join(y_sizes, "bucket").select("bucket", "blocks_y", F.explode(F.sequence(F.lit(0), F.col("blocks_x") - 1)).alias("block_x"))
+    grid = grid.select("bucket", "block_x", F.explode(F.sequence(F.lit(0), F.col("blocks_y") - 1)).alias("block_y"))
+    met = grid.join(xs, ["bucket", "block_x"]).join(ys, ["bucket", "block_y"]).select("x", "y")
     key = left.schema["id"].dataType.simpleString()
 
     def side(rows: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         rows = rows.values
-        v = rows.field("v")
-        return rows.field("id").to_numpy(), rows.field("grp").to_numpy(), v.flatten().to_numpy().astype(np.float64).reshape(len(v), -1)
+        return rows.field("id").to_numpy(), rows.field("grp").to_numpy(zero_copy_only=False), metric.matrix(rows.field("v"))
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for xs, ys in zip(batch.column("x"), batch.column("y"), strict=True):
-                a, b, sims = work(*side(xs), *side(ys))
+                (xi, xg, xv), (yi, yg, yv) = side(xs), side(ys)
+                if xv.shape[1] != yv.shape[1]:
+                    raise ValueError(f"vectors of {xv.shape[1]} and {yv.shape[1]} dimensions")
+                a, b, sims = work(xi, xg, xv, yi, yg, yv)
                 yield pa.record_batch({"a": a, "b": b, "sim": sims})
 
     return met.mapInArrow(multiply, f"a {key}, b {key}, sim double")
 
 
-def nearest(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
-    """(a, b, sim): at least the ``k`` nearest rows of ``right`` for each row (id, grp, v) of ``left``, other than itself.
-
-    Each block pair gives a row's k nearest in it (ties by id), so a row's candidates are k times the blocks.
-    """
-    return _block_pairs(left, right, lambda xi, xg, xv, yi, yg, yv: _nearest(xi, xv, yi, yv, k))
-
-
 def _nearest(xi: np.ndarray, xv: np.ndarray, yi: np.ndarray, yv: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     order = np.argsort(yi, kind="stable")
     sims = (xv @ yv.T)[:, order]
