@@ -5,6 +5,8 @@ A function takes and returns Spark columns; its twin ``*_sql`` takes and returns
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,7 +51,17 @@ REPORTING = (
 )
 COMPLETE = r"[.!?][\"'”)\]]*$"
 BULLET = r"^\s*(?:[-*•]|\(?[A-Za-z0-9]{1,2}\))\s+"
-SENTENCE = r"[^.!?\n]+[.!?]*"
+# The end of a possible sentence with the whitespace after it; the word before its full stop; the word after it.
+CLOSING, OPENING, BLANK = r"[\"'”’)\]]", r"[\"'“‘(\[]", r"[ \t\f\r]"
+SENTENCE_END = rf"([.!?]+{CLOSING}*{BLANK}+)"
+LAST_WORD, FIRST_WORD = rf"([^ \t\f\r\"'“‘(\[]+)\.{CLOSING}*{BLANK}+$", rf"^{BLANK}*{OPENING}*([^ \t\f\r.,;:!?\"'”’)\]]*)"
+FULL_STOP, SMALL_START, INITIAL, SAYS_SOMETHING = rf"\.{CLOSING}*{BLANK}+$", rf"^{BLANK}*{OPENING}*\p{{Ll}}", r"^\p{L}$", rf"[^.!?]"
+#: Abbreviations known without learning, and words that start a sentence even after one.
+ABBREVIATIONS = """
+mr mrs ms dr prof rev hon gen col capt lt sgt sen rep gov st jr sr messrs e.g i.e etc vs cf viz al ca approx resp fig figs eq sec ch vol no nos pp ed eds
+inc ltd co corp llc plc bros dept univ assn est ext min max avg jan feb mar apr jun jul aug sep sept oct nov dec mon tue wed thu fri sat sun u.s u.k u.n a.m p.m ph.d
+""".split()
+SENTENCE_STARTERS = "the this that these those he she it they we you there then however but and if when while after before in as although because meanwhile moreover".split()
 SPACE_BEFORE, SPACE_AFTER = r"\s+([.,;:!?%)])", r"([($])\s+"
 SPEECH_VERB = r"(?:says|said|adds|added|notes|noted|insists|insisted|warns|warned|explains|explained)"
 PERSON = r"(?:he|she|they|He|She|They|(?:[A-Z][a-z.]+(?:\s+[A-Z][a-z.]+){0,2})(?:\s+(?:chairman|chairwoman|chair|president|governor|official|spokesman|spokeswoman))?)"
@@ -79,13 +91,47 @@ def words_sql(words) -> str:
     return "(" + ", ".join(q(w) for w in words) + ")"
 
 
-def sentences(text: Column) -> Column:
-    """Sentences of a text, by its punctuation and line ends."""
-    return F.filter(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(SENTENCE), F.lit(0)), lambda x: F.trim(x)), lambda x: x != "")
+def known_abbreviation(word: Column) -> Column:
+    return word.isin(*ABBREVIATIONS)
+
+
+def known_starter(word: Column) -> Column:
+    return word.isin(*SENTENCE_STARTERS)
+
+
+def sentences(text: Column, abbreviation: Callable[[Column], Column] = known_abbreviation, starter: Callable[[Column], Column] = known_starter) -> Column:
+    """Sentences of a text: they end at line ends and at ``.``, ``!`` or ``?`` before whitespace.
+
+    A full stop ends none before a small letter, nor after an abbreviation or an initial unless a word follows that starts
+    sentences; both functions get a word in small letters.
+    """
+
+    def goes_on(piece: Column, following: Column) -> Column:
+        last, first = F.lower(F.regexp_extract(piece, LAST_WORD, 1)), F.lower(F.regexp_extract(following, FIRST_WORD, 1))
+        short = abbreviation(last) | (last.rlike(INITIAL) & (last != "i"))
+        return piece.rlike(FULL_STOP) & (following != "") & (following.rlike(SMALL_START) | (short & ~starter(first)))
+
+    pieces = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), SENTENCE_END, "$1\n"), "\n")
+    # pieces are bound once, as the element of an array, since each looks at the one after it
+    whole = F.transform(F.array(pieces), lambda ps: F.array_join(F.transform(ps, lambda p, i: F.concat(p, F.when(goes_on(p, F.get(ps, i + 1)), F.lit("")).otherwise(F.lit("\n")))), ""))
+    return F.filter(F.transform(F.split(F.get(whole, F.lit(0)), "\n"), lambda x: F.trim(x)), lambda x: F.trim(x).rlike(SAYS_SOMETHING))
+
+
+def known_abbreviation_sql(word: str) -> str:
+    return f"{word} IN {words_sql(ABBREVIATIONS)}"
+
+
+def known_starter_sql(word: str) -> str:
+    return f"{word} IN {words_sql(SENTENCE_STARTERS)}"
 
 
-def sentences_sql(text: str) -> str:
-    return f"[trim(x) FOR x IN regexp_extract_all(coalesce({text}, ''), {q(SENTENCE)}) IF trim(x) <> '']"
+def sentences_sql(text: str, abbreviation: Callable[[str], str] = known_abbreviation_sql, starter: Callable[[str], str] = known_starter_sql) -> str:
+    last, first = f"lower(regexp_extract(p, {q(LAST_WORD)}, 1))", f"lower(regexp_extract(ps[i + 1], {q(FIRST_WORD)}, 1))"
+    short = f"({abbreviation(last)} OR (regexp_matches({last}, {q(INITIAL)}) AND {last} <> 'i'))"
+    goes_on = f"regexp_matches(p, {q(FULL_STOP)}) AND ps[i + 1] <> '' AND (regexp_matches(ps[i + 1], {q(SMALL_START)}) OR ({short} AND NOT ({starter(first)})))"
+    pieces = rf"string_split(regexp_replace(coalesce({text}, ''), {q(SENTENCE_END)}, '\1' || chr(10), 'g'), chr(10))"
+    whole = f"list_transform([{pieces}], lambda ps: array_to_string(list_transform(ps, lambda p, i: p || CASE WHEN {goes_on} THEN '' ELSE chr(10) END), ''))[1]"
+    return f"list_filter(list_transform(string_split({whole}, chr(10)), lambda x: trim(x)), lambda x: regexp_matches(x, {q(SAYS_SOMETHING)}))"
 
 
 def normalize_ws(text: Column) -> Column:

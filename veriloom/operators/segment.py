@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import models as M
 from ..functions import text as T
+from . import boundaries as B
 
 
 def gap_similarities(rows: DataFrame, window: int = 3) -> DataFrame:
@@ -116,20 +117,26 @@ def fold_headings(lines: DataFrame) -> DataFrame:
     return starts.groupBy("doc_id", "block").agg(F.array_join(F.array_sort(F.collect_list(F.when(F.col("title").isNotNull(), F.struct("n_head", "title"))))["title"], " > ").alias("title"), F.max_by("body", "n_head").alias("body"))
 
 
-def segment_documents(docs: DataFrame, embed: Callable[[Column], Column] = M.embed, count: Callable[[Column], Column] = T.count_tokens, least_headings: int = 2, most_tokens: int = 900, least: int = 4) -> DataFrame:
+def segment_documents(docs: DataFrame, embed: Callable[[Column], Column] = M.embed, count: Callable[[Column], Column] = T.count_tokens, least_headings: int = 2, most_tokens: int = 900, least: int = 4, learned: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """SEG1: (doc_id, section_index, title, origin, sentence_offset, sentences) for docs (doc_id, text).
 
     A document with enough headings is cut at them, any other where neighbouring sentences differ most; ``embed`` makes
     a vector of a sentence and ``count`` its tokens.  Sections over ``most_tokens`` are cut again at their deepest
-    valleys, their titles numbered.  A text without sentences has no section.
+    valleys, their titles numbered.  A text without sentences has no section.  ``learned`` is as in ``sentences``.
     """
-    lines = docs.where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).withColumn("title", T.heading(F.col("line")))
+    docs = docs.select("doc_id", "text")
+    split = T.sentences if learned is None else lambda text: T.sentences(text, B.learned_abbreviation, B.learned_starter)
+    own = [] if learned is None else ["own_short", "own_starts"]
+    docs = docs if learned is None else B.with_own_words(docs, *learned)
+    lines = docs.where("text IS NOT NULL").select("doc_id", *own, F.posexplode(F.split("text", "\n")).alias("i", "line")).withColumn("title", T.heading(F.col("line")))
     headed = lines.groupBy("doc_id").agg((F.count("title") >= least_headings).alias("headed"))
     lines = lines.join(headed, "doc_id")
-    blocks = fold_headings(lines.where("headed").drop("headed")).select("doc_id", "block", F.when(F.col("title") != "", F.col("title")).alias("title"), F.posexplode(T.sentences(F.col("body"))).alias("j", "text"))
+    folded = fold_headings(lines.where("headed").drop("headed", *own))
+    folded = folded if learned is None else folded.join(docs.drop("text"), "doc_id")
+    blocks = folded.select("doc_id", "block", F.when(F.col("title") != "", F.col("title")).alias("title"), F.posexplode(split(F.col("body"))).alias("j", "text"))
     structured = blocks.select("doc_id", F.col("block").cast("long").alias("part"), "j", "title", F.lit("heading").alias("origin"), "text")
 
-    flat = lines.where("NOT headed").select("doc_id", "i", F.posexplode(T.sentences(F.col("line"))).alias("k", "text"))
+    flat = lines.where("NOT headed").select("doc_id", "i", F.posexplode(split(F.col("line"))).alias("k", "text"))
     flat = flat.withColumn("j", F.row_number().over(Window.partitionBy("doc_id").orderBy("i", "k")) - 1).select("doc_id", F.col("j").cast("long").alias("j"), "text")
     cuts = boundaries(depths(gap_similarities(flat.select("doc_id", F.col("j").alias("i"), embed(F.col("text")).alias("v")))), least)
     starts = flat.join(cuts.select("doc_id", (F.col("gap") + 1).alias("j"), F.lit(1).alias("cut")), ["doc_id", "j"], "left")

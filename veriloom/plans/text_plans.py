@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import boundaries as B
 from ..operators.sentences import SENTENCES_SQL, sentences
 from .registry import query, table
 
@@ -126,3 +127,31 @@ def prefix_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = lines.withColumn("n", F.size(F.filter(F.split("line", " "), lambda x: x != "")).cast("long"))
     w = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     return lines.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).where("before < 100").groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum("n").alias("n_words"))
+
+
+# Documents in which some words are shortened, so that there is something to learn.
+_SHORTENED = r"regexp_replace(regexp_replace(text, '(^|[ \n])(?:the|the|de|la|un|und|die)( [a-zA-Z])', '{0}1Qv.{0}2'{1}), '(^|[ \n])(?:and|et|der)( [a-zA-Z])', '{0}1k.w.{0}2'{1})"
+_LEARNED = B.learned_sql(f"SELECT doc_id, {_SHORTENED.format(chr(92), ", 'g'")} AS text FROM documents")
+
+
+def shortened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.expr(_SHORTENED.format("$", "")).alias("text"))
+
+
+@query("txt_abbreviations", f"WITH {_LEARNED} SELECT 'abbreviation' AS kind, word, with_stop AS n, with_stop + without AS everywhere, round(score, 6) AS score FROM abbr UNION ALL SELECT 'starter', word, after_end, everywhere, round(score, 6) FROM starter")
+def learned_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TXT3: abbreviations and sentence starters that the corpus itself shows."""
+    short, starting = B.learn(shortened(spark, sf_dir))
+    first = short.select(F.lit("abbreviation").alias("kind"), "word", F.col("with_stop").alias("n"), (F.col("with_stop") + F.col("without")).alias("everywhere"), F.round("score", 6).alias("score"))
+    return first.unionByName(starting.select(F.lit("starter").alias("kind"), "word", F.col("after_end").alias("n"), "everywhere", F.round("score", 6).alias("score")))
+
+
+_CUT = T.sentences_sql("line", lambda w: f"({T.known_abbreviation_sql(w)} OR list_contains(ab, {w}))", lambda w: f"({T.known_starter_sql(w)} OR list_contains(st, {w}))")
+
+
+@query("txt_learned_sentences", f"WITH {_LEARNED}, l AS (SELECT doc_id, unnest(string_split({_SHORTENED.format(chr(92), ", 'g'")}, chr(10))) AS line, unnest(range(len(string_split({_SHORTENED.format(chr(92), ", 'g'")}, chr(10))))) AS section_index FROM documents), x AS (SELECT doc_id, section_index, {_CUT} AS x FROM l, learned) SELECT doc_id, section_index, len(x)::BIGINT AS sentences, md5(array_to_string(x, '|')) AS digest FROM x WHERE len(x) > 0")
+def learned_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TXT3, TXT2: sentences by the learned words."""
+    docs = shortened(spark, sf_dir)
+    cut = sentences(docs, B.learn(docs)).groupBy("doc_id", "section_index").agg(F.count("*").alias("sentences"), F.array_sort(F.collect_list(F.struct("local_index", "text"))).alias("x"))
+    return cut.select("doc_id", "section_index", "sentences", F.md5(F.array_join(F.col("x.text"), "|").cast("binary")).alias("digest"))
