@@ -272,10 +272,10 @@ def has_verb_or_number_sql(s: str) -> str:
     return f"(regexp_matches({s}, '[0-9]') OR len([w FOR w IN regexp_extract_all({s}, '[A-Za-z]+') IF lower(w) IN {words_sql([*NUMBER_WORDS, *VERBS])} OR regexp_matches(lower(w), {q(VERB_ENDING)})]) > 0)"
 
 
-def is_claim(s: Column, min_words: int = 4, short: int = 10) -> Column:
-    """Enough content words, and a verb or a number if the sentence is short."""
+def is_claim(s: Column, min_words: int = 4, short: int = 10, verb: Callable[[Column], Column] = has_verb_or_number) -> Column:
+    """Enough content words, and a verb or a number if the sentence is short; ``verb`` finds them (by word list, or by a tagger)."""
     s = strip_speaker_label(s)
-    return (content_word_count(s) >= min_words) & ((F.size(F.split(F.trim(s), r"\s+")) >= short) | has_verb_or_number(s))
+    return (content_word_count(s) >= min_words) & ((F.size(F.split(F.trim(s), r"\s+")) >= short) | verb(s))
 
 
 def is_claim_sql(s: str, min_words: int = 4, short: int = 10) -> str:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import boundaries as B
+from ..operators import tagger
 from ..operators.sentences import SENTENCES_SQL, sentences
 from .registry import query, table
 
@@ -155,3 +156,10 @@ def learned_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shortened(spark, sf_dir)
     cut = sentences(docs, B.learn(docs)).groupBy("doc_id", "section_index").agg(F.count("*").alias("sentences"), F.array_sort(F.collect_list(F.struct("local_index", "text"))).alias("x"))
     return cut.select("doc_id", "section_index", "sentences", F.md5(F.array_join(F.col("x.text"), "|").cast("binary")).alias("digest"))
+
+
+@query("txt_asserting")
+def asserting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TXT16: sentences of each document, and how many have a verb, a modal or a number by the tagger; a decoder has no SQL."""
+    rows = sentences(table(spark, sf_dir, "documents")).select("doc_id", tagger.asserts(tagger.train(tagger.labelled(spark)))(F.col("text")).alias("asserts"))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("sentences"), F.count_if("asserts").alias("asserting"))
