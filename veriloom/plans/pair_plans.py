@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import models as M
 from ..functions import text as T
 from ..operators import pairs as P
+from ..operators.matching import sample_pairs
 from ..operators.sentences import SENTENCES_SQL, sentences
 from .registry import query, table
 
@@ -148,3 +149,34 @@ def gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     side = lambda p: marks.select("doc_id", F.col("id").alias(p), F.col("e").alias(f"{p}_e"), F.col("t").alias(f"{p}_t"), F.col("c").alias(f"{p}_c"))
     both = P.lexical_pairs(rows, FLOOR).join(side("a"), ["doc_id", "a"]).join(side("b"), ["doc_id", "b"])
     return both.groupBy("doc_id").agg(F.count("*").alias("pairs"), F.count_if(F.arrays_overlap("a_e", "b_e")).alias("kept_entity"), F.count_if(F.arrays_overlap("a_t", "b_t")).alias("kept_topic"), F.count_if(~(F.col("a_c") | F.col("b_c"))).alias("kept_plain"))
+
+
+_SAMPLE = f"""
+{_VEC}, e AS (SELECT floor(x.id / 100)::BIGINT AS grp, x.id AS a, y.id AS b, list_dot_product(x.v, y.v) AS sim FROM v x JOIN v y ON x.id // 100 = y.id // 100 AND x.id < y.id AND x.grp <> y.grp WHERE list_dot_product(x.v, y.v) >= {FLOOR}),
+s AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY sim DESC, a, b) AS n FROM e),
+f AS (
+  SELECT DISTINCT grp, 0::BIGINT AS n, []::BIGINT[] AS used, 0 AS chosen, false AS took FROM s
+  UNION ALL SELECT grp, n, CASE WHEN take THEN used || [a, b] ELSE used END, chosen + take::INT, take
+  FROM (SELECT f.grp, s.n, used, chosen, a, b, len(list_filter(used, lambda x: x = a)) < 2 AND len(list_filter(used, lambda x: x = b)) < 2 AS take FROM f JOIN s ON s.grp = f.grp AND s.n = f.n + 1 WHERE chosen < 12)
+),
+first AS (SELECT s.* FROM s JOIN f USING (grp, n) WHERE took),
+had AS (SELECT grp, count(*) AS had, flatten(list([a, b])) AS used FROM first GROUP BY grp),
+t AS (SELECT grp, a, b, sim, row_number() OVER (PARTITION BY grp ORDER BY md5('7|' || a || '|' || b), a, b) AS n FROM s WHERE NOT EXISTS (FROM first WHERE first.grp = s.grp AND first.n = s.n)),
+r AS (
+  SELECT grp, 0::BIGINT AS n, used, had AS chosen, false AS took FROM had
+  UNION ALL SELECT grp, n, CASE WHEN take THEN used || [a, b] ELSE used END, chosen + take::INT, take
+  FROM (SELECT r.grp, t.n, used, chosen, a, b, len(list_filter(used, lambda x: x = a)) < 2 AND len(list_filter(used, lambda x: x = b)) < 2 AS take FROM r JOIN t ON t.grp = r.grp AND t.n = r.n + 1 WHERE chosen < 20)
+)
+SELECT grp, a, b, round(sim, 6) AS sim, 'top_similarity' AS sampled_as FROM first UNION ALL SELECT t.grp, a, b, round(sim, 6), 'random_eligible' FROM t JOIN r USING (grp, n) WHERE took"""
+
+
+@query("srt_pair_sample", f"WITH RECURSIVE {_SAMPLE}")
+def pair_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRT8: pairs of each hundred rows to label, the 12 most similar and others up to 20, no row in more than two."""
+    v = vectors(spark, sf_dir)
+    rows = v.select("id", F.floor(F.col("id") / 100).cast("long").alias("grp"), "v")
+    groups = v.select("id", F.col("grp").alias("label"))
+    near = P.blocked_join(rows, rows, FLOOR, same_group=True, unordered=True)
+    near = near.join(groups.select(F.col("id").alias("a"), F.col("label").alias("x")), "a").join(groups.select(F.col("id").alias("b"), F.col("label").alias("y")), "b").where("x <> y")
+    chosen = sample_pairs(near.select(F.floor(F.col("a") / 100).cast("long").alias("grp"), "a", "b", "sim"), 12, 20)
+    return chosen.select("grp", "a", "b", F.round("sim", 6).alias("sim"), "sampled_as")
