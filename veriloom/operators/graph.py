@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import deque
+from heapq import heappop, heappush
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -68,33 +68,62 @@ def neighbour_jaccard(edges: DataFrame) -> DataFrame:
     return both.select(F.col("src").alias("a"), F.col("dst").alias("b"), (F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y"))).alias("jaccard"))
 
 
-def betweenness(edges: DataFrame, graph: str = "graph_id") -> DataFrame:
-    """(graph_id, node, betweenness) of each small graph (unweighted): shortest-path counts, one graph at a time."""
+#: Source nodes that one task finds shortest paths from, each with the edges of the whole graph.
+SOURCES = 256
+
+
+def betweenness(edges: DataFrame, graph: str = "graph_id", length: str | None = None, normalized: bool = False) -> DataFrame:
+    """(graph_id, node, betweenness) of undirected graphs (graph_id, src, dst[, length]): the share of shortest paths that pass a node.
+
+    A graph's source nodes are dealt out in blocks, each with a copy of the graph's edges, and Spark adds up what
+    the blocks find, so a large graph is many tasks.  Without ``length`` every edge is one step; lengths of 0 and less count as 1e-12, and the
+    shortest of repeated edges counts.  ``normalized`` divides by the pairs of other nodes, where there are any.
+    """
+    links = edges.select(graph, F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), (F.greatest(F.col(length).cast("double"), F.lit(1e-12)) if length else F.lit(1.0)).alias("length"))
+    links = links.where("src <> dst").groupBy(graph, "src", "dst").agg(F.min("length").alias("length"))
+    nodes = links.select(graph, F.explode(F.array("src", "dst")).alias("node")).distinct()
+    sizes = nodes.groupBy(graph).agg(F.count("*").alias("nodes"))
+    dealt = sizes.withColumn("blocks", F.ceil(F.col("nodes") / SOURCES).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    kind = edges.schema[graph].dataType.simpleString()
 
     def measure(frame: pd.DataFrame) -> pd.DataFrame:
         near: dict = {}
-        for a, b in zip(frame["src"], frame["dst"], strict=True):
-            near.setdefault(a, set()).add(b)
-            near.setdefault(b, set()).add(a)
+        for a, b, step in zip(frame["src"].tolist(), frame["dst"].tolist(), frame["length"].tolist(), strict=True):
+            near.setdefault(a, []).append((b, step))
+            near.setdefault(b, []).append((a, step))
         score = dict.fromkeys(near, 0.0)
-        for s in near:
-            paths, dist, order, queue = {s: 1}, {s: 0}, [], deque([s])
-            while queue:
-                x = queue.popleft()
-                order.append(x)
-                for y in near[x]:
-                    if y not in dist:
-                        dist[y] = dist[x] + 1
-                        queue.append(y)
-                    if dist[y] == dist[x] + 1:
-                        paths[y] = paths.get(y, 0) + paths[x]
+        for s in sorted(near)[frame["block"].iloc[0] :: frame["blocks"].iloc[0]]:
+            order, paths, before = _shortest(near, s)
             carried = dict.fromkeys(order, 0.0)
             for y in reversed(order):
-                for x in near[y]:
-                    if dist[x] == dist[y] - 1:
-                        carried[x] += paths[x] / paths[y] * (1 + carried[y])
+                for x in before[y]:
+                    carried[x] += paths[x] / paths[y] * (1 + carried[y])
                 if y != s:
-                    score[y] += carried[y] / 2
-        return pd.DataFrame({graph: frame[graph].iloc[0], "node": list(score), "betweenness": list(score.values())})
-
-    return edges.groupBy(graph).applyInPandas(measure, f"{graph} long, node long, betweenness double")
+                    score[y] += carried[y]
+        return pd.DataFrame({graph: frame[graph].iloc[0], "node": list(score), "part": list(score.values())})
+
+    parts = links.join(dealt.drop("nodes"), graph).groupBy(graph, "block").applyInPandas(measure, f"{graph} {kind}, node long, part double")
+    n = F.col("nodes")
+    others = F.when(n > 2, (n - 1) * (n - 2)).otherwise(2) if normalized else F.lit(2)
+    return parts.groupBy(graph, "node").agg(F.sum("part").alias("part")).join(sizes, graph).select(graph, "node", (F.col("part") / others).alias("betweenness"))
+
+
+def _shortest(near: dict, source) -> tuple[list, dict, dict]:
+    """Nodes by their distance from a source, how many shortest paths lead to each, and the nodes before it on those."""
+    settled, order, paths, before, best = set(), [], {source: 1}, {source: []}, {source: 0.0}
+    queue = [(0.0, source)]
+    while queue:
+        d, x = heappop(queue)
+        if x in settled:
+            continue
+        settled.add(x)
+        order.append(x)
+        for y, step in near[x]:
+            there = d + step
+            if y not in best or there < best[y]:
+                best[y], paths[y], before[y] = there, paths[x], [x]
+                heappush(queue, (there, y))
+            elif there == best[y] and y not in settled:
+                paths[y] += paths[x]
+                before[y].append(x)
+    return order, paths, before

@@ -85,15 +85,28 @@ def with_vectors(rows: DataFrame) -> DataFrame:
     return rows.select("id", "grp", "v").where(F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull()))
 
 
+def group_pairs(rows: DataFrame, floor: float) -> DataFrame:
+    """(a, b, sim), a < b, of all pairs of rows (id, grp, v) in one group that are at least ``floor`` similar; groups don't meet."""
+
+    def close(xi, xg, xv, yi, yg, yv):
+        sims = xv @ yv.T
+        i, j = np.nonzero((sims >= floor) & (xi[:, None] < yi[None, :]))
+        return xi[i], yi[j], sims[i, j]
+
+    rows = with_vectors(rows).withColumn("bucket", F.col("grp"))
+    return _block_pairs(rows, rows, close, few=False)
+
+
 def _one_bucket(rows: DataFrame) -> DataFrame:
     return rows.withColumn("bucket", F.lit(0))
 
 
-def _block_pairs(left: DataFrame, right: DataFrame, work: Callable) -> DataFrame:
-    """(a, b, sim) that ``work`` finds in each pair of blocks of one bucket, of rows (bucket, id, grp, v); there are ``metric.RINGS`` buckets at most."""
+def _block_pairs(left: DataFrame, right: DataFrame, work: Callable, few: bool = True) -> DataFrame:
+    """(a, b, sim) that ``work`` finds in each pair of blocks of one bucket, of rows (bucket, id, grp, v); ``few`` buckets are ``metric.RINGS`` at most."""
 
     def pack(rows: DataFrame, p: str) -> tuple[DataFrame, DataFrame]:
-        sizes = F.broadcast(rows.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(f"blocks_{p}")))
+        sizes = rows.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(f"blocks_{p}"))
+        sizes = F.broadcast(sizes) if few else sizes
         block = F.pmod(F.xxhash64("id"), F.col(f"blocks_{p}")).cast("int").alias(f"block_{p}")
         return sizes, rows.join(sizes, "bucket").groupBy("bucket", block).agg(F.collect_list(F.struct("id", "grp", "v")).alias(p))
 

@@ -161,10 +161,12 @@ def hop_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("grf_betweenness")
 def between(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """GRF3: betweenness of each small graph, one for 50 rows; no SQL."""
-    v = vectors(spark, sf_dir)
-    near = P.one_copy(P.top_per_row(P.blocked_join(v.withColumn("grp", F.floor(F.col("id") / 50)), v.withColumn("grp", F.floor(F.col("id") / 50)), -1.0, same_group=True), 3))
-    return G.betweenness(near.select(F.floor(F.col("a") / 50).cast("long").alias("graph_id"), F.col("a").cast("long").alias("src"), F.col("b").cast("long").alias("dst")))
+    """GRF3: betweenness, by lengths of 1 - similarity, in the graph of each 50 rows and their three nearest; no SQL."""
+    rows = vectors(spark, sf_dir).withColumn("grp", F.floor(F.col("id") / 50).cast("long"))
+    near = P.group_pairs(rows, -1.0)
+    both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
+    kept = P.one_copy(P.top_per_row(both, 3)).select(F.floor(F.col("a") / 50).cast("long").alias("graph_id"), F.col("a").cast("long").alias("src"), F.col("b").cast("long").alias("dst"), (1 - F.greatest("sim", F.lit(1e-6))).alias("length"))
+    return G.betweenness(kept, length="length", normalized=True)
 
 
 _DATED = "CASE sentence_id % 6 WHEN 0 THEN 'In Q2 2026 ' || text WHEN 1 THEN text || ' as of March 31, 2026' WHEN 2 THEN 'The second quarter of fiscal 2025: ' || text WHEN 3 THEN 'FY 2024 and version 2.1, ' || text WHEN 4 THEN '2023 Q4 - Amendment No. 3 ' || text ELSE text END"
