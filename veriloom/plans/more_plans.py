@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import models as M
 from ..functions import text as T
 from ..operators import dialogue as L
+from ..operators import ranks as R
+from ..operators.storage import stored
 from ..operators.sentences import SENTENCES_SQL, sentences
 from ..sources import checkpoint as C
 from ..sources import ingest as I
@@ -191,22 +193,22 @@ def similarity_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pair_plans import vectors
 
     v = vectors(spark, sf_dir)
-    s = blocked_join(v, v, 0.15, same_group=None, unordered=True).withColumn("sim", F.round("sim", 9)).where("sim >= 0.2")
-    return s.groupBy(F.floor(F.col("sim") * 5).alias("band")).agg(F.count("*").alias("pairs"), F.count_if(F.col("sim") >= 0.5).alias("flagged"), F.round(F.median("sim"), 6).alias("med"))
+    s = stored(blocked_join(v, v, 0.15, same_group=None, unordered=True).withColumn("sim", F.round("sim", 9)).where("sim >= 0.2").select(F.floor(F.col("sim") * 5).alias("band"), "sim"), "bands")
+    counts = s.groupBy("band").agg(F.count("*").alias("pairs"), F.count_if(F.col("sim") >= 0.5).alias("flagged"))
+    return counts.join(R.quantiles(s, ["band"], "sim", {"med": 0.5}), "band").select("band", "pairs", "flagged", F.round("med", 6).alias("med"))
 
 
 @query("agg_quantiles", "SELECT lang, min(n) AS lo, quantile_cont(n, 0.25) AS q25, median(n) AS med, quantile_cont(n, 0.75) AS q75, max(n) AS hi FROM (SELECT lang, CAST(n_chars AS DOUBLE) AS n FROM documents) GROUP BY lang")
 def quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG17."""
-    n = F.col("n_chars").cast("double")
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.min(n).alias("lo"), F.percentile(n, F.lit(0.25)).alias("q25"), F.median(n).alias("med"), F.percentile(n, F.lit(0.75)).alias("q75"), F.max(n).alias("hi"))
+    rows = table(spark, sf_dir, "documents").select("lang", F.col("n_chars").cast("double").alias("n"))
+    return R.quantiles(rows, ["lang"], "n", {"lo": 0.0, "q25": 0.25, "med": 0.5, "q75": 0.75, "hi": 1.0})
 
 
 @query("agg_percentile_rank", "SELECT doc_id, round(100.0 * (rank() OVER (PARTITION BY lang ORDER BY n_chars) - 1) / count(*) OVER (PARTITION BY lang), 6) AS pct FROM documents")
 def percentile_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG16: the share that is strictly less."""
-    w = Window.partitionBy("lang")
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(100.0 * (F.rank().over(w.orderBy("n_chars")) - 1) / F.count("*").over(w), 6).alias("pct"))
+    return R.share_below(table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), "lang", "n_chars").select("doc_id", F.round(100.0 * F.col("share"), 6).alias("pct"))
 
 
 @query("txt_jaccard", f"WITH {SENTENCES_SQL}, t AS (SELECT doc_id, sentence_id, {T.content_tokens_sql('text')} AS x FROM sentences) SELECT a.doc_id, a.sentence_id, round(len(list_intersect(a.x, b.x)) / greatest(len(list_distinct(list_concat(a.x, b.x))), 1), 6) AS jac FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.sentence_id = a.sentence_id + 1")
