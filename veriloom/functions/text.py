@@ -102,14 +102,15 @@ def known_starter(word: Column) -> Column:
 def sentences(text: Column, abbreviation: Callable[[Column], Column] = known_abbreviation, starter: Callable[[Column], Column] = known_starter) -> Column:
     """Sentences of a text: they end at line ends and at ``.``, ``!`` or ``?`` before whitespace.
 
-    A full stop ends none before a small letter, nor after an abbreviation or an initial unless a word follows that starts
-    sentences; both functions get a word in small letters.
+    A full stop ends none after an abbreviation or an initial, unless a capital word follows that starts sentences, and dots end
+    none before a small letter; both functions get a word in small letters.
     """
 
     def goes_on(piece: Column, following: Column) -> Column:
         last, first = F.lower(F.regexp_extract(piece, LAST_WORD, 1)), F.lower(F.regexp_extract(following, FIRST_WORD, 1))
         short = abbreviation(last) | (last.rlike(INITIAL) & (last != "i"))
-        return piece.rlike(FULL_STOP) & (following != "") & (following.rlike(SMALL_START) | (short & ~starter(first)))
+        small = following.rlike(SMALL_START)
+        return piece.rlike(FULL_STOP) & (following != "") & ((short & (small | ~starter(first))) | (last.endswith(".") & small))
 
     pieces = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), SENTENCE_END, "$1\n"), "\n")
     # pieces are bound once, as the element of an array, since each looks at the one after it
@@ -128,7 +129,8 @@ def known_starter_sql(word: str) -> str:
 def sentences_sql(text: str, abbreviation: Callable[[str], str] = known_abbreviation_sql, starter: Callable[[str], str] = known_starter_sql) -> str:
     last, first = f"lower(regexp_extract(p, {q(LAST_WORD)}, 1))", f"lower(regexp_extract(ps[i + 1], {q(FIRST_WORD)}, 1))"
     short = f"({abbreviation(last)} OR (regexp_matches({last}, {q(INITIAL)}) AND {last} <> 'i'))"
-    goes_on = f"regexp_matches(p, {q(FULL_STOP)}) AND ps[i + 1] <> '' AND (regexp_matches(ps[i + 1], {q(SMALL_START)}) OR ({short} AND NOT ({starter(first)})))"
+    small = f"regexp_matches(ps[i + 1], {q(SMALL_START)})"
+    goes_on = f"regexp_matches(p, {q(FULL_STOP)}) AND ps[i + 1] <> '' AND (({short} AND ({small} OR NOT ({starter(first)}))) OR (ends_with({last}, '.') AND {small}))"
     pieces = rf"string_split(regexp_replace(coalesce({text}, ''), {q(SENTENCE_END)}, '\1' || chr(10), 'g'), chr(10))"
     whole = f"list_transform([{pieces}], lambda ps: array_to_string(list_transform(ps, lambda p, i: p || CASE WHEN {goes_on} THEN '' ELSE chr(10) END), ''))[1]"
     return f"list_filter(list_transform(string_split({whole}, chr(10)), lambda x: trim(x)), lambda x: regexp_matches(x, {q(SAYS_SOMETHING)}))"

@@ -17,10 +17,10 @@ from ..operators.sentences import SENTENCES_SQL, sentences
 from ..operators.storage import saved
 from .pair_plans import scored_pairs
 from .registry import ORACLE_SQL, query, table
-from .structure_plans import _DATED, _marker_sql, planted, planted_flags
+from .structure_plans import _DATED, PLANTED, _marker_sql, planted, planted_flags
 
 #: The queries' resolution budget: flags of a document that get support scores.
-BUDGET, MARGIN, PLANTED, PLANTED_SECTION = 6, 0.15, 1_000_000, 99_999
+BUDGET, MARGIN = 6, 0.15
 
 _PAIRED = ORACLE_SQL["flags_planted"].rsplit(" SELECT doc_id, a, b,", 1)[0]
 _FLAGS = f"""{_PAIRED}, fl AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, a, b) AS rank FROM (SELECT doc_id, a, b, (f + r) / 2 AS score FROM p WHERE (f + r) / 2 >= 0.5)),

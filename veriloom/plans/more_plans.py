@@ -77,7 +77,7 @@ def frozen_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", sha(F.col("text")).alias("sha256"), (sha(F.col("text")) == sha(F.trim("text"))).alias("unchanged"))
 
 
-@query("src_plant", f"WITH {SENTENCES_SQL}, e AS (SELECT doc_id, section_index, len(string_split(string_agg(text, ' ' ORDER BY local_index), ' ')) AS n FROM sentences GROUP BY ALL), c AS (SELECT doc_id, count(*) AS k FROM e GROUP BY doc_id), r AS (SELECT e.doc_id, section_index, k, row_number() OVER (PARTITION BY e.doc_id ORDER BY section_index) - 1 AS i, n FROM e JOIN c USING (doc_id)) SELECT doc_id, min(((i - CAST(floor(k / 2) AS BIGINT)) % k + k) % k * 1000000 + section_index) % 1000000 AS section_index FROM r WHERE n >= 15 GROUP BY doc_id")
+@query("src_plant", f"WITH {SENTENCES_SQL}, e AS (SELECT doc_id, section_index, len(string_split(string_agg(text, ' ' ORDER BY local_index), ' ')) AS n FROM sentences GROUP BY ALL), c AS (SELECT doc_id, count(*) AS k FROM e GROUP BY doc_id), r AS (SELECT e.doc_id, section_index, k, row_number() OVER (PARTITION BY e.doc_id ORDER BY section_index) - 1 AS i, n FROM e JOIN c USING (doc_id)) SELECT doc_id, min_by(section_index, ((i - CAST(floor(k / 2) AS BIGINT)) % k + k) % k) AS section_index FROM r WHERE n >= 15 GROUP BY doc_id")
 def plant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC14: the first long enough paragraph from halfway round the document on."""
     paragraphs = sentences(table(spark, sf_dir, "documents")).groupBy("doc_id", "section_index").agg(F.size(F.split(F.array_join(F.array_sort(F.collect_list(F.struct("local_index", "text")))["text"], " "), " ")).alias("n"))

@@ -169,6 +169,8 @@ def between(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.betweenness(kept, length="length", normalized=True)
 
 
+#: Added to the ids of planted rows: a text has fewer sentences and lines than this, since a string has under 2^31 bytes.
+PLANTED = 1 << 32
 _DATED = "CASE sentence_id % 6 WHEN 0 THEN 'In Q2 2026 ' || text WHEN 1 THEN text || ' as of March 31, 2026' WHEN 2 THEN 'The second quarter of fiscal 2025: ' || text WHEN 3 THEN 'FY 2024 and version 2.1, ' || text WHEN 4 THEN '2023 Q4 - Amendment No. 3 ' || text ELSE text END"
 
 
@@ -257,11 +259,11 @@ def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _planted(rows: DataFrame) -> DataFrame:
-    against = rows.where("id % 5 = 0").select("doc_id", (F.col("id") + 1_000_000).alias("id"), F.lit(99_999).cast("long").alias("section_index"), F.concat(F.lit("Not "), "text").alias("text"), F.array_sort(F.array_distinct(F.array_append("words", F.lit("not")))).alias("words"), "tokens")
+    against = rows.where("id % 5 = 0").select("doc_id", (F.col("id") + PLANTED).alias("id"), F.lit(PLANTED).cast("long").alias("section_index"), F.concat(F.lit("Not "), "text").alias("text"), F.array_sort(F.array_distinct(F.array_append("words", F.lit("not")))).alias("words"), "tokens")
     return rows.unionByName(against)
 
 
-@query("flags_planted", f"WITH {_CLAIMS.replace('claims AS (', 'claims0 AS (')}, claims AS (SELECT * FROM claims0 UNION ALL SELECT doc_id, id + 1000000, 99999, 'Not ' || text, list_sort(list_distinct(list_append(words, 'not'))), tokens FROM claims0 WHERE id % 5 = 0), p AS (SELECT x.doc_id, x.id AS a, y.id AS b, {M.infer_sql('x.words', 'y.words', 'contradiction')} AS f, {M.infer_sql('y.words', 'x.words', 'contradiction')} AS r FROM claims x JOIN claims y ON x.doc_id = y.doc_id AND x.id < y.id AND x.section_index <> y.section_index WHERE len(list_intersect(x.tokens, y.tokens)) / sqrt(len(x.tokens)::DOUBLE * len(y.tokens)) >= 0.5) SELECT doc_id, a, b, (f + r) / 2 AS score FROM p WHERE (f + r) / 2 >= 0.5")
+@query("flags_planted", f"WITH {_CLAIMS.replace('claims AS (', 'claims0 AS (')}, claims AS (SELECT * FROM claims0 UNION ALL SELECT doc_id, id + {PLANTED}, {PLANTED}, 'Not ' || text, list_sort(list_distinct(list_append(words, 'not'))), tokens FROM claims0 WHERE id % 5 = 0), p AS (SELECT x.doc_id, x.id AS a, y.id AS b, {M.infer_sql('x.words', 'y.words', 'contradiction')} AS f, {M.infer_sql('y.words', 'x.words', 'contradiction')} AS r FROM claims x JOIN claims y ON x.doc_id = y.doc_id AND x.id < y.id AND x.section_index <> y.section_index WHERE len(list_intersect(x.tokens, y.tokens)) / sqrt(len(x.tokens)::DOUBLE * len(y.tokens)) >= 0.5) SELECT doc_id, a, b, (f + r) / 2 AS score FROM p WHERE (f + r) / 2 >= 0.5")
 def planted_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC14, JN1, NLI1: planted counter-claims are found."""
     return scored_pairs(planted(spark, sf_dir), 0.5).where("score >= 0.5").select("doc_id", "a", "b", "score")
