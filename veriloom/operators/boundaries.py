@@ -31,9 +31,14 @@ def _tokens(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", word.alias("word"), stop.alias("stop"), F.col("t").rlike(r"^\p{Lu}").alias("capital"), "before").where(F.col("word").rlike(r"\p{L}") & ~F.col("word").rlike(r"[0-9]"))
 
 
-def abbreviations(docs: DataFrame, least: float = ABBREVIATION) -> DataFrame:
+def _stops(docs: DataFrame) -> DataFrame:
+    """word, with_stop, without: how often each word comes with a full stop, and without."""
+    return stored(_tokens(docs).groupBy("word").agg(F.count_if("stop").alias("with_stop"), F.count_if(~F.col("stop")).alias("without")), "word-stops")
+
+
+def abbreviations(docs: DataFrame, least: float = ABBREVIATION, counts: DataFrame | None = None) -> DataFrame:
     """word, with_stop, without, score of each word of docs (doc_id, text) that scores ``least`` or more."""
-    counts = stored(_tokens(docs).groupBy("word").agg(F.count_if("stop").alias("with_stop"), F.count_if(~F.col("stop")).alias("without")), "word-stops")
+    counts = _stops(docs) if counts is None else counts
     stops, n = counts.agg(F.sum("with_stop"), F.sum(F.col("with_stop") + F.col("without"))).first()
     share = min(max((stops or 0) / max(n or 0, 1), 1e-9), 1 - 1e-9)
     by_chance = F.col("with_stop") * F.log(F.lit(share)) + F.col("without") * F.log(F.lit(1 - share))
@@ -43,37 +48,39 @@ def abbreviations(docs: DataFrame, least: float = ABBREVIATION) -> DataFrame:
     return counts.where("with_stop > 0").withColumn("score", score).where(F.col("score") >= least)
 
 
-def starters(docs: DataFrame, short: DataFrame, least: float = STARTER) -> DataFrame:
+def starters(docs: DataFrame, short: DataFrame, least: float = STARTER, counts: DataFrame | None = None) -> DataFrame:
     """word, after_end, everywhere, score of each word that comes after ends of sentences (``short`` are the abbreviations) significantly often."""
-    ends = F.col("before").rlike(r"[.!?]$")
-    rows = _tokens(docs).withColumn("prior", F.when(F.col("before").endswith("."), F.expr("substr(before, 1, length(before) - 1)")))
-    rows = rows.join(short.select(F.col("word").alias("prior"), F.lit(True).alias("is_short")), "prior", "left")
-    rows = rows.withColumn("after", ends & F.col("is_short").isNull())
-    counts = stored(rows.groupBy("word").agg(F.count_if(F.col("after") & F.col("capital")).alias("after_end"), F.count("*").alias("everywhere"), F.count_if("after").alias("after")), "word-starts")
-    breaks, n = counts.agg(F.sum("after"), F.sum("everywhere")).first()
-    breaks, n = breaks or 0, n or 0
+    everywhere = (_stops(docs) if counts is None else counts).select("word", (F.col("with_stop") + F.col("without")).alias("everywhere"))
+    # only words after an end can count, which leaves few of a text's words to be joined
+    rows = _tokens(docs).where(F.col("before").rlike(r"[.!?]$")).withColumn("prior", F.when(F.col("before").endswith("."), F.expr("substr(before, 1, length(before) - 1)")))
+    rows = rows.join(short.select(F.col("word").alias("prior"), F.lit(True).alias("is_short")), "prior", "left").where("is_short IS NULL")
+    after = stored(rows.groupBy("word").agg(F.count_if("capital").alias("after_end"), F.count("*").alias("after")), "word-starts")
+    breaks, n = after.agg(F.sum("after")).first()[0] or 0, everywhere.agg(F.sum("everywhere")).first()[0] or 0
+    after = after.where("after_end > 0").join(everywhere, "word")
     if not 0 < breaks < n:
-        return counts.select("word", "after_end", "everywhere", F.lit(0.0).alias("score")).where("false")
+        return after.select("word", "after_end", "everywhere", F.lit(0.0).alias("score")).where("false")
     held = lambda k, m, p: k * F.log(F.greatest(p, F.lit(1e-12))) + (m - k) * F.log(F.greatest(1 - p, F.lit(1e-12)))
     k, c = F.col("after_end").cast("double"), F.col("everywhere").cast("double")
     p, inside, outside = c / n, k / breaks, (c - k) / (n - breaks)
     score = 2 * (held(k, F.lit(float(breaks)), inside) + held(c - k, F.lit(float(n - breaks)), outside) - held(k, F.lit(float(breaks)), p) - held(c - k, F.lit(float(n - breaks)), p))
-    return counts.where("after_end > 0").withColumn("score", score).where((F.col("score") >= least) & (inside > p)).select("word", "after_end", "everywhere", "score")
+    return after.withColumn("score", score).where((F.col("score") >= least) & (inside > p)).select("word", "after_end", "everywhere", "score")
 
 
 def with_own_words(docs: DataFrame, short: DataFrame, starting: DataFrame) -> DataFrame:
     """``docs`` with the learned words that each of them holds, as arrays own_short and own_starts: no table is held whole anywhere."""
-    words = _tokens(docs).select("doc_id", "word").distinct()
-    marked = words.join(short.select("word", F.lit(True).alias("s")), "word", "left").join(starting.select("word", F.lit(True).alias("b")), "word", "left").where("s OR b")
-    own = marked.groupBy("doc_id").agg(F.collect_set(F.when(F.col("s"), F.col("word"))).alias("own_short"), F.collect_set(F.when(F.col("b"), F.col("word"))).alias("own_starts"))
+    # only words with a full stop can be abbreviations, and only words after one can matter as starters
+    words = _tokens(docs).withColumn("follows", F.col("before").endswith(".")).where("stop OR follows")
+    marked = words.join(short.select("word", F.lit(True).alias("s")), "word", "left").join(starting.select("word", F.lit(True).alias("b")), "word", "left").where("(s AND stop) OR (b AND follows)")
+    own = marked.groupBy("doc_id").agg(F.collect_set(F.when(F.col("s") & F.col("stop"), F.col("word"))).alias("own_short"), F.collect_set(F.when(F.col("b"), F.col("word"))).alias("own_starts"))
     none = F.array().cast("array<string>")
     return docs.join(own, "doc_id", "left").withColumns({c: F.coalesce(c, none) for c in ("own_short", "own_starts")})
 
 
 def learn(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Abbreviations and sentence starters of docs (doc_id, text)."""
-    short = abbreviations(docs)
-    return short, starters(docs, short)
+    """Abbreviations and sentence starters of docs (doc_id, text), as tables of their own: small ones are broadcast where they are joined."""
+    counts = _stops(docs)
+    short = stored(abbreviations(docs, counts=counts), "abbreviations")
+    return short, stored(starters(docs, short, counts=counts), "starters")
 
 
 def learned_abbreviation(word):
