@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import models as M
 from ..functions import text as T
 from ..operators import dialogue as L
+from ..operators import generation as G
 from ..operators import ranks as R
-from ..operators.storage import stored
 from ..operators.sentences import SENTENCES_SQL, sentences
+from ..operators.storage import folder, stored
 from ..sources import checkpoint as C
 from ..sources import ingest as I
 from .registry import ORACLE_SQL, query, table
@@ -150,9 +153,7 @@ def section_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def summary_bounds(n: Column) -> tuple[Column, Column, Column]:
     """SUM3: sections of up to 45 tokens pass through; others get a shortest and a longest summary."""
-    part = F.floor(n * F.lit(0.6).cast("decimal(2,1)")).cast("long")
-    least = F.least(F.lit(20), F.floor(F.least(F.lit(110), part) / 2)).cast("long")
-    return n <= 45, least, F.greatest(least + 5, F.least(F.lit(110), part))
+    return n <= G.VERBATIM, *G.bounds(n)
 
 
 @query("sum_lengths", f"{_SECTION} SELECT doc_id, section_index, {_N} <= 45 AS passes, least(20, CAST(floor(least(110, floor(0.6 * {_N})) / 2) AS BIGINT)) AS least_new, {_MOST} AS most_new FROM s")
@@ -175,6 +176,18 @@ def model_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     return section_texts(spark, sf_dir).select("doc_id", "section_index", F.concat(T.truncate(F.col("text"), 100), F.when((n < 100) & (F.col("section_index") > 0), " CONTEXT").otherwise("")).alias("input"), (n > 100).alias("truncated"))
 
 
+_GENERATED = M.lead_sql("text", _MOST)
+
+
+@query("sum_generated", f"{_SECTION} SELECT doc_id, section_index, CASE WHEN {_N} <= 45 THEN text ELSE {_GENERATED} END AS summary, CASE WHEN {_N} <= 45 THEN 'verbatim' WHEN EXISTS (FROM s AS o WHERE o.text = s.text AND o.doc_id % 3 = 0) THEN 'restored' ELSE 'generated' END AS origin FROM s")
+def generated_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SUM1, SNK2: sections generated in batches; a run over every third document came first and left its checkpoint."""
+    texts = section_texts(spark, sf_dir)
+    path = f"{folder(spark)}/veriloom/generation-{uuid.uuid4().hex}"
+    G.summarize_sections(texts.where("doc_id % 3 = 0"), path, waves=1)
+    return G.summarize_sections(texts, path)
+
+
 @query("agg_precision_recall", "WITH p AS (SELECT lang, source, quality = 0 AS truth, len(string_split(text, ' ')) % 3 = 0 OR contains(text, '!!') AS guess FROM documents JOIN labels USING (doc_id)), g AS (SELECT lang, count(*) FILTER (truth AND guess) AS tp, count(*) FILTER (NOT truth AND guess) AS fp, count(*) FILTER (truth AND NOT guess) AS fn FROM p GROUP BY GROUPING SETS ((lang), ())) SELECT coalesce(lang, 'all') AS lang, tp, fp, fn, round(CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END, 6) AS prec, round(CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END, 6) AS recall, round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2.0 * tp / (2 * tp + fp + fn) END, 6) AS f1 FROM g")
 def precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG13."""

@@ -31,5 +31,19 @@ def pending(inputs: DataFrame, cache: DataFrame) -> DataFrame:
     return inputs.join(cache.select("key"), "key", "left_anti")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def known(spark: SparkSession, path: str) -> DataFrame:
+    """(key, section_index, generated) of a checkpoint that may not be there yet."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], "key string, section_index long, generated string")
+    return read(spark, path)[0]
+
+
 def append(rows: DataFrame, path: str) -> None:
-    rows.select("key", "section_index", "generated").write.mode("append").json(path)
+    """Add the rows whose key the checkpoint doesn't have, one of each key: doing it again, or again after half of it, leaves no second row."""
+    rows = rows.select("key", F.col("section_index").cast("long").alias("section_index"), "generated").dropDuplicates(["key"])
+    pending(rows, known(rows.sparkSession, path)).write.mode("append").json(path)
