@@ -25,6 +25,22 @@ def test_viterbi_equals_enumeration():
     assert tagger.viterbi(np.zeros(3), np.zeros((3, 3)), np.zeros((4, 3))) == [0, 0, 0, 0]
 
 
+def test_many_sentences_equal_one_by_one(monkeypatch):
+    rng = np.random.default_rng(2)
+    first, follow, gives = np.log(rng.random(5)), np.log(rng.random((5, 5))), np.log(rng.random((30, 5)))
+    lengths = rng.integers(1, 9, size=40)
+    words = rng.integers(0, 30, size=(40, 8))
+    got = tagger.viterbi_many(first, follow, gives, words, lengths)
+    assert [list(got[i, :n]) for i, n in enumerate(lengths)] == [tagger.viterbi(first, follow, gives[words[i, :n]]) for i, n in enumerate(lengths)]
+
+
+def test_steps_of_any_size_tag_alike(model, monkeypatch):
+    texts = ["The ferry left.", None, "", "SHE WILL SIGN THE LEASE", "word " * 300, "Odo Marsh with Harbour News", *[f"Crew {i} sailed for {i} hours" for i in range(50)]]
+    whole = tagger.tags_of_many(model, texts)
+    monkeypatch.setattr(tagger, "STEP_WORDS", 20)
+    assert tagger.tags_of_many(model, texts) == whole == [tagger.tags_of(model, t) for t in texts] and [len(t) for t in whole[:6]] == [3, 0, 0, 5, 300, 5]
+
+
 def test_decoding_is_the_likeliest_of_all_taggings(model):
     for words in (["The", "crew", "sailed"], ["Odd", "zuppings", "4"], ["they", "may"]):
         tags = [tagger.TAGS.index(t) for t in tagger.tags_of(model, " ".join(words))]

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -138,14 +139,67 @@ def viterbi(first: np.ndarray, follow: np.ndarray, gives: np.ndarray) -> list[in
     return path[::-1]
 
 
-def tags_of(model: Model, text: str | None) -> str:
-    """A letter for each word of a text."""
+def viterbi_many(first: np.ndarray, follow: np.ndarray, gives: np.ndarray, words: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """``viterbi`` for many sentences at once: ``words`` (sentences x places) are rows of ``gives``; places from a sentence's length on don't count."""
+    n, most = words.shape
+    every = np.arange(n)
+    score, came = first + gives[words[:, 0]], np.zeros((most, n, len(first)), np.int8)
+    came[:] = np.arange(len(first))
+    for at in range(1, most):
+        goes_on = lengths > at
+        through = score[:, :, None] + follow
+        back = through.argmax(axis=1)
+        came[at] = np.where(goes_on[:, None], back, came[at])
+        score = np.where(goes_on[:, None], np.take_along_axis(through, back[:, None, :], axis=1)[:, 0] + gives[words[:, at]], score)
+    out = np.zeros((n, most), np.int8)
+    tag = score.argmax(axis=1)
+    for at in range(most - 1, -1, -1):
+        out[:, at] = tag
+        tag = came[at, every, tag]
+    return out
+
+
+#: Words of sentences, padding included, that are decoded together, and different words of a step whose probabilities are held.
+STEP_WORDS, HELD = 100_000, 100_000
+
+
+def words_of(text: str | None) -> list[str]:
+    """The words of a text; one that is mostly in capitals is read in small letters."""
     text = (text or "").replace("’", "'")
-    letters = [c for c in text if c.isalpha()]
-    if letters and sum(c.isupper() for c in letters) > 0.8 * len(letters):
+    capitals = sum(map(str.isupper, text))
+    if capitals and capitals > 0.8 * sum(map(str.isalpha, text)):
         text = text.lower()
-    words = re.findall(WORD, text)
-    return "".join(TAGS[i] for i in viterbi(model.first, model.follow, np.stack([model.gives(w, i) for i, w in enumerate(words)]))) if words else ""
+    return re.findall(WORD, text)
+
+
+def tags_of_many(model: Model, texts: list[str | None]) -> list[str]:
+    """A letter for each word of each text."""
+    letters = np.array(list(TAGS))
+    out, start = [""] * len(texts), 0
+    split = [words_of(t) for t in texts]
+    order = sorted((i for i, w in enumerate(split) if w), key=lambda i: len(split[i]))
+    while start < len(order):
+        # sentences of like lengths, as many as a step takes
+        part, start_words, numbers = [], len(split[order[start]]), {}
+        while start < len(order) and (not part or (len(part) + 1) * len(split[order[start]]) <= STEP_WORDS and len(split[order[start]]) <= 2 * start_words + 4 and len(numbers) < HELD):
+            part.append(order[start])
+            for at, w in enumerate(split[order[start]]):
+                numbers.setdefault((w, at > 0), len(numbers))
+            start += 1
+        gives = np.stack([model.gives(w, at) for w, at in numbers])
+        lengths = np.array([len(split[i]) for i in part])
+        words = np.zeros((len(part), lengths.max()), np.int64)
+        for row, i in enumerate(part):
+            words[row, : lengths[row]] = [numbers[w, at > 0] for at, w in enumerate(split[i])]
+        found = letters[viterbi_many(model.first, model.follow, gives, words, lengths)]
+        for row, i in enumerate(part):
+            out[i] = "".join(found[row, : lengths[row]])
+    return out
+
+
+def tags_of(model: Model, text: str | None) -> str:
+    """A letter for each word of a text."""
+    return tags_of_many(model, [text])[0]
 
 
 def tagged(rows: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -155,7 +209,7 @@ def tagged(rows: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = pa.array([tags_of(model, t) for t in batch.column(text).to_pylist()], pa.string())
+            found = pa.array(tags_of_many(model, batch.column(text).to_pylist()), pa.string())
             yield pa.record_batch([*batch.columns, found], names=[*names, "tags"])
 
     return rows.mapInArrow(run, f"{kinds}, tags string")
@@ -166,7 +220,7 @@ def asserts(model: Model):
 
     @pandas_udf("boolean")
     def found(texts):
-        return texts.map(lambda t: any(x in ASSERTS for x in tags_of(model, t)))
+        return pd.Series([any(x in ASSERTS for x in tags) for tags in tags_of_many(model, texts.tolist())], dtype=bool)
 
     def check(text: Column) -> Column:
         low = F.transform(F.regexp_extract_all(text, F.lit("[A-Za-z]+"), F.lit(0)), lambda w: F.lower(w))
