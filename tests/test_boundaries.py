@@ -25,9 +25,16 @@ from veriloom.operators.sentences import sentences
 )
 def test_sentences(spark, text, want):
     df = spark.createDataFrame([(text,)], "t string")
-    assert df.select(T.sentences(df.t)).first()[0] == want
+    assert df.select(T.sentences(df.t)).first()[0] == df.select(T.sentences_by(df.t)).first()[0] == want
 
 
+def test_both_ways_of_splitting_agree(spark):
+    rng = random.Random(11)
+    parts = ["Dr.", "e.g.", "U.S.", "etc.", "J.", "I.", "i.", "x", "The", "the", "Marsh", "é", "É", "'The", '"marsh', "(the", "...", "a..", "b...'", "?", "!", "no.", "No.)", "end.", "end.'", "\n", "\t", "", "3.", "St.\r", "\x0b"]
+    texts = [" ".join(rng.choice(parts) for _ in range(rng.randrange(1, 12))) for _ in range(6_000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r for r in df.select("t", T.sentences(df.t).alias("x"), T.sentences_by(df.t).alias("y")).collect() if r.x != r.y] == []
+
 SHORT = ("capt", "dist", "n.b", "brig")
 STARTS = ("Harbours", "Nobody", "Ships")
 
