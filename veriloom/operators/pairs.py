@@ -25,12 +25,12 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def blocked_join(left: DataFrame, right: DataFrame, floor: float, same_group: bool | None = False, unordered: bool = False, index: bool | None = None) -> DataFrame:
+def blocked_join(left: DataFrame, right: DataFrame, floor: float, same_group: bool | None = False, unordered: bool = False, index: bool | str | None = None) -> DataFrame:
     """(a, b, sim) for rows (id, grp, v): similarity at least ``floor``; ``same_group`` False keeps pairs across groups only.
 
     Rows become blocks, blocks meet blocks, and one matrix product gives a block pair's similarities.  From
-    ``INDEXED`` block pairs on (or where ``index`` asks for it) rows of the left side meet only the rings of a metric
-    index that can hold a partner (see ``metric``), if those are at most half of the work that all block pairs are.
+    ``INDEXED`` block pairs on (at any size where ``index`` is "try") rows of the left side meet only the rings of a metric
+    index that can hold a partner (see ``metric``), if that pays; ``index`` True takes it in any case.
     Rows without a vector, or with a null in it, have no partners; vectors of different lengths are an error.
     """
 
@@ -48,12 +48,12 @@ def blocked_join(left: DataFrame, right: DataFrame, floor: float, same_group: bo
     if n and m and (index if index is not None else _block_count(n, m) >= INDEXED):
         rings = metric.fit(right, m)
         probes = left.withColumn("floor", F.lit(float(floor)))
-        if index or metric.work(rings, probes)["pairs"] <= n * m / 2:
+        if index is True or _pays(metric.work(rings, probes), n, m):
             return _block_pairs(metric.copies(rings, probes), metric.placed(rings, right), close)
     return _block_pairs(_one_bucket(left), _one_bucket(right), close)
 
 
-def nearest(left: DataFrame, right: DataFrame, k: int, index: bool | None = None) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, k: int, index: bool | str | None = None) -> DataFrame:
     """(a, b, sim): at least the ``k`` nearest rows of ``right`` for each row (id, grp, v) of ``left``, other than itself.
 
     Each block pair gives a row's k nearest in it (ties by id).  With the metric index a row first meets its own cell; its k-th
@@ -67,7 +67,7 @@ def nearest(left: DataFrame, right: DataFrame, k: int, index: bool | None = None
         first = stored(find(metric.own_cells(rings, left), metric.placed(rings, right, by_cell=True)), "nearest-own")
         bound = top_per_row(first, k).groupBy("a").agg(F.count("*").alias("found"), F.min("sim").alias("worst")).where(F.col("found") >= k)
         probes = left.join(bound.select(F.col("a").alias("id"), "worst"), "id", "left").withColumn("floor", F.coalesce("worst", F.lit(float("-inf")))).drop("worst")
-        if index or metric.work(rings, probes, others=True)["pairs"] <= n * m / 2:
+        if index is True or _pays(metric.work(rings, probes, others=True), n, m):
             return first.unionByName(find(metric.copies(rings, probes, others=True), metric.placed(rings, right)))
     return find(_one_bucket(left), _one_bucket(right))
 
@@ -76,6 +76,11 @@ def nearest(left: DataFrame, right: DataFrame, k: int, index: bool | None = None
 INDEXED = 64
 
 
+def _pays(done: dict[str, int], n: int, m: int) -> bool:
+    """Whether the index compares at most half of all pairs and doesn't move more rows than blocks would, or four times the tables."""
+    return done["pairs"] <= n * m / 2 and done["copies"] <= max(2 * n * m / BLOCK, 4 * (n + m))
+
+
 def _block_count(n: int, m: int) -> int:
     return -(-n // BLOCK) * -(-m // BLOCK)
 
