@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pandas as pd
@@ -46,60 +46,79 @@ def least_size(n, least: int = 4, most_sections: int = 2000):
     return F.greatest(F.lit(least), F.ceil(n / F.lit(most_sections))).cast("long")
 
 
+def _taken(gaps: Iterable[int], least: int) -> list[int]:
+    """The gaps that no gap taken before lies closer than ``least`` to; a cell of ``least`` gaps holds one taken at most, so three cells are looked at."""
+    cells: dict[int, int] = {}
+    for g in gaps:
+        near = (cells.get(g // least + d) for d in (-1, 0, 1))
+        if all(t is None or abs(t - g) >= least for t in near):
+            cells[g // least] = g
+    return sorted(cells.values())
+
+
 def boundaries(deep: DataFrame, least: int = 4, floor: float = 0.05, factor: float = 0.5) -> DataFrame:
-    """(doc_id, gap): cuts taken deepest first while every segment keeps its least size; one document's gaps at a time."""
-
-    def choose(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("gap")
-        gap, depth, n = frame["gap"].to_numpy(), frame["depth"].to_numpy(), len(frame) + 1
-        cutoff = max(floor, float(depth.mean() + factor * depth.std()))
-        cuts: list[int] = []
-        if n >= 2 * least:
-            for k in np.argsort(-depth, kind="stable"):
-                if depth[k] < cutoff:
-                    break
-                edges = np.sort([-1, n - 1, *cuts, k])
-                if np.diff(edges).min() >= least:
-                    cuts.append(int(k))
-        return pd.DataFrame({"doc_id": frame["doc_id"].iloc[0], "gap": gap[sorted(cuts)]})
-
-    return deep.groupBy("doc_id").applyInPandas(choose, "doc_id long, gap long")
-
-
-def split_oversize(rows: DataFrame, most: int, least: int = 4) -> DataFrame:
-    """(doc_id, i, part): sections cut at their deepest valley until each has ``most`` tokens at most; rows (doc_id, i, n_tokens, v)."""
-
-    def curve(v: np.ndarray, window: int = 3) -> np.ndarray:
-        out = []
-        for g in range(len(v) - 1):
-            a, b = v[max(0, g - window + 1) : g + 1].mean(axis=0), v[g + 1 : g + 1 + window].mean(axis=0)
-            out.append(a @ b / (np.linalg.norm(a) * np.linalg.norm(b) + 1e-9))
-        return np.array(out)
-
-    def climb(s: np.ndarray) -> np.ndarray:
-        peak = s.copy()
-        for i in range(1, len(s)):
-            peak[i] = peak[i - 1] if s[i - 1] >= s[i] else s[i]
-        return peak
+    """(doc_id, gap): cuts taken deepest first while every segment keeps its least size; gaps count from 0 in each document.
+
+    Cuts hinder each other only when closer than ``least``.  So the gaps that are deep enough and far enough from both
+    ends fall into stretches at least ``least`` apart, which are cut independently, in time linear in their gaps once sorted.
+    Equally deep gaps go in order; a document under twice the least size has no cut.
+    """
+    whole = deep.groupBy("doc_id").agg(F.greatest(F.lit(floor), F.avg("depth") + factor * F.stddev_pop("depth")).alias("cutoff"), (F.count("*") + 1).alias("n"))
+    open_gaps = deep.join(whole, "doc_id").where((F.col("depth") >= F.col("cutoff")) & (F.col("gap") + 1 >= least) & (F.col("n") - 1 - F.col("gap") >= least))
+    w = Window.partitionBy("doc_id").orderBy("gap")
+    apart = F.when(F.col("gap") - F.lag("gap").over(w) < least, 0).otherwise(1)
+    stretches = open_gaps.select("doc_id", "gap", "depth", apart.alias("apart")).withColumn("stretch", F.sum("apart").over(w)).groupBy("doc_id", "stretch")
+    ordered = stretches.agg(F.array_sort(F.collect_list(F.struct((-F.col("depth")).alias("height"), F.col("gap").cast("long").alias("gap"))))["gap"].alias("gaps"))
+
+    @F.pandas_udf("array<long>")
+    def take(many: pd.Series) -> pd.Series:
+        return many.map(lambda gaps: _taken(gaps.tolist(), least))
+
+    return ordered.select("doc_id", F.explode(F.when(F.size("gaps") == 1, F.col("gaps")).otherwise(take("gaps"))).alias("gap"))
+
+
+def _curve(v: np.ndarray, a: int, b: int, gaps: Iterable[int], window: int = 3) -> list[float]:
+    """The similarity at each of ``gaps`` within rows a to b."""
+    out = []
+    for g in gaps:
+        x, y = v[max(a, g - window + 1) : g + 1].mean(axis=0), v[g + 1 : min(b, g + 1 + window)].mean(axis=0)
+        out.append(float(x @ y / (np.linalg.norm(x) * np.linalg.norm(y) + 1e-9)))
+    return out
+
+
+def _peaks(s: np.ndarray) -> np.ndarray:
+    """The value that climbing left from each place ends at: the first of its run without a rise to the right."""
+    first = np.concatenate([[True], s[:-1] < s[1:]])
+    return s[np.maximum.accumulate(np.where(first, np.arange(len(s)), 0))]
+
+
+def split_oversize(rows: DataFrame, most: int, least: int = 4, window: int = 3) -> DataFrame:
+    """(doc_id, i, part): sections cut at their deepest valley until each has ``most`` tokens at most; rows (doc_id, i, n_tokens, v).
+
+    A cut changes the similarity only of gaps less than ``window`` away from it, so only these are worked out again.
+    """
 
     def cut(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("i")
-        v, n = np.array(frame["v"].tolist(), float), frame["n_tokens"].to_numpy()
-        part, todo, done = np.zeros(len(frame), np.int64), [(0, len(frame))], []
+        v, before = np.array(frame["v"].tolist(), float), np.concatenate([[0], np.cumsum(frame["n_tokens"].to_numpy())])
+        part, todo, starts = np.zeros(len(frame), np.int64), [(0, len(frame))], []
+        sims = np.array(_curve(v, 0, len(frame), range(len(frame) - 1), window))
         while todo:
             a, b = todo.pop()
-            if b - a < 2 or n[a:b].sum() <= most:
-                done.append((a, b))
+            if b - a < 2 or before[b] - before[a] <= most:
+                starts.append(a)
                 continue
-            s = curve(v[a:b])
-            depth = climb(s) - s + climb(s[::-1])[::-1] - s
+            s = sims[a : b - 1]
+            depth = _peaks(s) - s + _peaks(s[::-1])[::-1] - s
             small = max(1, min(least, (b - a) // 2))
-            allowed = [g for g in range(len(s)) if g + 1 >= small and b - a - g - 1 >= small]
-            g = max(allowed, key=lambda k: (depth[k], -s[k]))
-            todo += [(a + g + 1, b), (a, a + g + 1)]
-        for k, (a, b) in enumerate(sorted(done)):
-            part[a:b] = k
-        return pd.DataFrame({"doc_id": frame["doc_id"], "i": frame["i"], "part": part})
+            inner = slice(small - 1, b - a - small)
+            g = a + small - 1 + int(np.lexsort((s[inner], -depth[inner]))[0])
+            for x, y in ((a, g + 1), (g + 1, b)):
+                touched = sorted({*range(x, min(x + window - 1, y - 1)), *range(max(x, y - window), y - 1)})
+                sims[touched] = _curve(v, x, y, touched, window)
+                todo.append((x, y))
+        part[sorted(starts)[1:]] = 1
+        return pd.DataFrame({"doc_id": frame["doc_id"], "i": frame["i"], "part": part.cumsum()})
 
     return rows.groupBy("doc_id").applyInPandas(cut, "doc_id long, i long, part long")
 

@@ -49,9 +49,17 @@ def cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deep.groupBy("doc_id").agg(F.round(F.greatest(F.lit(0.05), F.avg("depth") + 0.5 * F.stddev_pop("depth")), 6).alias("cutoff"), S.least_size(F.count("*") + 1).alias("least"))
 
 
-@query("seg_boundaries")
+_CUTS = f"""{_DEPTHS}, least AS (SELECT doc_id, greatest(0.05, avg(depth) + 0.5 * stddev_pop(depth)) AS cutoff, count(*) + 1 AS n FROM depths GROUP BY doc_id),
+deep AS MATERIALIZED (SELECT doc_id, gap, row_number() OVER (PARTITION BY doc_id ORDER BY depth DESC, gap) AS k FROM depths JOIN least USING (doc_id) WHERE depth >= cutoff AND gap + 1 >= 4 AND n - 1 - gap >= 4),
+cuts AS (
+  SELECT DISTINCT doc_id, 0::BIGINT AS k, []::BIGINT[] AS gaps FROM deep
+  UNION ALL SELECT c.doc_id, d.k, CASE WHEN len(list_filter(gaps, lambda x: abs(x - gap) < 4)) = 0 THEN gaps || [gap] ELSE gaps END FROM cuts c JOIN deep d ON d.doc_id = c.doc_id AND d.k = c.k + 1
+)"""
+
+
+@query("seg_boundaries", f"WITH RECURSIVE {_CUTS} SELECT doc_id, unnest(arg_max(gaps, k)) AS gap FROM cuts GROUP BY doc_id")
 def boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SEG2: greedy, so there is no SQL; tests compare it with a loop."""
+    """SEG2."""
     return S.boundaries(S.depths(S.gap_similarities(label_rows(spark, sf_dir))))
 
 
