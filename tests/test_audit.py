@@ -7,8 +7,7 @@ from tests.helpers import rows
 from veriloom import report
 from veriloom.config import Config
 from veriloom.functions import text as T
-from veriloom.operators import monitor, resolve, segment
-from veriloom.plans.merge_plans import entailed_by_any
+from veriloom.operators import monitor, pairs, resolve, segment
 from veriloom.sources import generate, ingest
 
 
@@ -84,7 +83,7 @@ def test_entailed_by_any(spark):
     schema = "doc_id long, id long, words array<string>, tokens array<string>"
     h = spark.createDataFrame([(0, 1, ["a", "b"], ["a", "b"]), (0, 2, ["x"], ["x"])], schema)
     p = spark.createDataFrame([(0, 7, ["a", "b", "c"], ["a", "b", "c"]), (1, 8, ["x"], ["x"])], schema)
-    assert [(r.id, r.pid) for r in entailed_by_any(h, p, 0.75, 0.5).collect()] == [(1, 7)]
+    assert [(r.id, r.pid) for r in pairs.entailed_by_any(h, p, 0.75, 0.5).collect()] == [(1, 7)]
 
 
 def test_report():

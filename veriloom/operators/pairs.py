@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import models as M
 from . import metric
 from .storage import stored
 
@@ -184,6 +185,40 @@ def lexical_pairs(rows: DataFrame, floor: float, across: str | None = "section_i
     return out.where(F.col("sim") >= floor - 1e-12).select("doc_id", F.col("id").alias("a"), F.col("other").alias("b"), "common", "sim")
 
 
+def lexical_matches(left: DataFrame, right: DataFrame, floor: float, by: list[str] = ["doc_id"]) -> DataFrame:  # noqa: B006
+    """(*by, id, other, sim) of a row of ``left`` and one of ``right`` (*by, id, tokens): cosine of the token sets, from ``floor`` (above 0) up.
+
+    Rows meet within ``by``, on one of their rarest tokens as in ``lexical_pairs``.
+    """
+    right = right.select(*by, F.col("id").alias("other"), "tokens")
+    words = lambda rows, name: rows.select(*by, name, F.size("tokens").alias("n"), F.explode("tokens").alias("t"))
+    both = words(left, "id").unionByName(words(right, "other"), allowMissingColumns=True)
+    ranked = both.join(both.groupBy(*by, "t").agg(F.count("*").alias("df")), [*by, "t"])
+    w = Window.partitionBy(*by, "id", "other").orderBy("df", "t")
+    prefix = ranked.withColumn("r", F.row_number().over(w)).where(F.col("r") <= F.col("n") - F.ceil(F.lit(floor * floor) * F.col("n") - 1e-9) + 1)
+    side = lambda name: prefix.where(F.col(name).isNotNull()).select(*by, "t", name)
+    met = side("id").join(side("other"), [*by, "t"]).select(*by, "id", "other").distinct()
+    full = met.join(left.select(*by, "id", F.col("tokens").alias("x")), [*by, "id"]).join(right.select(*by, "other", F.col("tokens").alias("y")), [*by, "other"])
+    sim = F.size(F.array_intersect("x", "y")) / F.sqrt(F.size("x").cast("double") * F.size("y"))
+    return full.withColumn("sim", sim).where(F.col("sim") >= floor - 1e-12).select(*by, "id", "other", "sim")
+
+
+def scored_pairs(rows: DataFrame, floor: float) -> DataFrame:
+    """NLI1: both directions of each lexical pair of rows (doc_id, id, section_index, words, tokens), and their mean."""
+    found = lexical_pairs(rows, floor)
+    side = lambda p: rows.select("doc_id", F.col("id").alias(p), F.col("words").alias(f"{p}_words"))
+    both = found.join(side("a"), ["doc_id", "a"]).join(side("b"), ["doc_id", "b"])
+    scored = both.select("doc_id", "a", "b", "common", "sim", M.infer(F.col("a_words"), F.col("b_words"))["contradiction"].alias("score_ab"), M.infer(F.col("b_words"), F.col("a_words"))["contradiction"].alias("score_ba"))
+    return scored.withColumn("score", (F.col("score_ab") + F.col("score_ba")) / 2)
+
+
+def entailed_by_any(hypotheses: DataFrame, premises: DataFrame, sim: float, ent: float) -> DataFrame:
+    """JN8: (doc_id, id, pid, ent) for hypotheses and premises (doc_id, id, words, tokens) of one document, similar and entailed enough."""
+    near = lexical_matches(hypotheses, premises, sim).drop("sim").withColumnRenamed("other", "pid")
+    near = near.join(hypotheses.select("doc_id", "id", F.col("words").alias("hw")), ["doc_id", "id"]).join(premises.select("doc_id", F.col("id").alias("pid"), F.col("words").alias("pw")), ["doc_id", "pid"])
+    return near.withColumn("ent", M.infer(F.col("pw"), F.col("hw"))["entailment"]).where(F.col("ent") >= ent).select("doc_id", "id", "pid", "ent")
+
+
 def pair_totals(rows: DataFrame, by: list[str], part: str) -> DataFrame:
     """Unordered pairs across parts for each document, in closed form: C(n, 2) less those within a part."""
     sizes = rows.groupBy(*by, part).agg(F.count("*").alias("n"))

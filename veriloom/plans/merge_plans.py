@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import models as M
 from ..functions import text as T
+from ..operators import abstractive as A
 from ..operators import graph as G
 from ..operators import merge as R
 from ..operators import pairs as P
@@ -113,20 +114,13 @@ _BY_FIVE = f"{_SECTION}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id
 _MOST_NEW = "least(220, greatest(50, CAST(floor(n * 0.5) AS BIGINT)))"
 
 
-def merge_bounds(n: Column, shortest: int = 40, longest: int = 220, most: str = "0.5", least: str = "0.2") -> tuple[Column, Column]:
-    """MRG4: the least and the most tokens of a merged block of ``n`` tokens; the shares are decimals."""
-    part = lambda share: F.floor(n * F.lit(share).cast("decimal(3,2)")).cast("long")
-    most_new = F.least(F.lit(longest), F.greatest(F.lit(shortest + 10), part(most)))
-    return F.greatest(F.lit(1), F.least(most_new - 10, F.greatest(F.lit(shortest), part(least)))), most_new
-
-
 @query("mrg_inputs", f"{_BY_FIVE} SELECT doc_id, group_id, blocks, greatest(1, least({_MOST_NEW} - 10, greatest(40, CAST(floor(n * 0.2) AS BIGINT)))) AS least_new, {_MOST_NEW} AS most_new, sha256(CASE WHEN group_id % 2 = 0 THEN text ELSE 'Merge these summaries into one.' || chr(10) || chr(10) || 'SUMMARIES: ' || text END) AS input_sha256 FROM n")
 def merge_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MRG4, WIN9: consecutive sections in groups of five, the merged text's bounds, and the merger's input, plain or with an instruction."""
     w = Window.partitionBy("doc_id").orderBy("section_index")
     packed = R.pack(section_texts(spark, sf_dir).withColumn("i", F.row_number().over(w) - 1), 5)
     groups = packed.groupBy("doc_id", "group_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("i", "text")))["text"], " ").alias("text"), F.count("*").alias("blocks"))
-    least, most = merge_bounds(T.count_tokens(F.col("text")))
+    least, most = R.merge_bounds(T.count_tokens(F.col("text")))
     told = F.when(F.col("group_id") % 2 == 0, F.col("text")).otherwise(F.concat(F.lit("Merge these summaries into one.\n\nSUMMARIES: "), "text"))
     return groups.select("doc_id", "group_id", "blocks", least.alias("least_new"), most.alias("most_new"), F.sha2(told.cast("binary"), 256).alias("input_sha256"))
 
@@ -233,18 +227,6 @@ def true_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(cuts, "lang").groupBy("lang", "cut").agg(F.count_if(false).alias("others"), F.count_if(false & (F.col("n_chars") < F.col("cut"))).alias("removed"))
 
 
-def entailed_by_any(hypotheses: DataFrame, premises: DataFrame, sim: float, ent: float) -> DataFrame:
-    """JN8: (doc_id, id, pid, ent) for hypotheses and premises (doc_id, id, words, tokens) of one document, similar and entailed enough.
-
-    Pairs meet on a shared word; a similarity above 0 needs one.
-    """
-    words = lambda rows, p: rows.select("doc_id", F.col("id").alias(p), F.explode("tokens").alias("t"))
-    met = words(hypotheses, "id").join(words(premises, "pid"), ["doc_id", "t"]).groupBy("doc_id", "id", "pid").agg(F.count("*").alias("common"))
-    h, p = hypotheses.select("doc_id", "id", F.col("words").alias("hw"), F.size("tokens").alias("hn")), premises.select("doc_id", F.col("id").alias("pid"), F.col("words").alias("pw"), F.size("tokens").alias("pn"))
-    near = met.join(h, ["doc_id", "id"]).join(p, ["doc_id", "pid"]).where(F.col("common") / F.sqrt(F.col("hn").cast("double") * F.col("pn")) >= sim - 1e-12)
-    return near.withColumn("ent", M.infer(F.col("pw"), F.col("hw"))["entailment"]).where(F.col("ent") >= ent).select("doc_id", "id", "pid", "ent")
-
-
 _SIM = "len(list_intersect({x}.tokens, {y}.tokens)) / nullif(sqrt(len({x}.tokens)::DOUBLE * len({y}.tokens)), 0) >= 0.75 - 1e-12"
 
 
@@ -257,8 +239,8 @@ def resurrected(spark: SparkSession, sf_dir: str) -> DataFrame:
     claims = planted(spark, sf_dir).select("doc_id", "id", "words", "tokens")
     gone = Z.notes(resolved_flags(spark, sf_dir), planted(spark, sf_dir)).where("rejected").select("doc_id", "id")
     lost, alive = claims.join(gone, ["doc_id", "id"], "left_semi"), claims.join(gone, ["doc_id", "id"], "left_anti")
-    lost = lost.join(entailed_by_any(lost, alive, 0.75, 0.5).select("doc_id", "id").distinct(), ["doc_id", "id"], "left_anti")
-    return entailed_by_any(claims.where("id % 2 = 0"), lost, 0.75, 0.5).select("doc_id", "id", F.col("pid").alias("rejected"), "ent")
+    lost = lost.join(P.entailed_by_any(lost, alive, 0.75, 0.5).select("doc_id", "id").distinct(), ["doc_id", "id"], "left_anti")
+    return P.entailed_by_any(claims.where("id % 2 = 0"), lost, 0.75, 0.5).select("doc_id", "id", F.col("pid").alias("rejected"), "ent")
 
 
 _ROUND = f"{ORACLE_SQL['flags_planted'].rsplit(' SELECT doc_id, a, b,', 1)[0]}, said AS (SELECT doc_id, id, CASE WHEN id % 2 = 0 THEN 'In all, ' || text ELSE text END AS text FROM claims), input AS (SELECT doc_id, string_agg(text, ' ' ORDER BY sentence_id) AS text FROM sentences GROUP BY doc_id)"
@@ -307,3 +289,25 @@ def flat_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = flat.where("event_id % 7 <> 0").select("path", F.col("value").alias("a"))
     other = flat.where("event_id % 5 <> 0").select("path", F.when(F.col("event_id") % 3 == 0, F.concat("value", F.lit("!"))).otherwise(F.col("value")).alias("b"))
     return one.join(other, "path", "full").where(~F.col("a").eqNullSafe(F.col("b")))
+
+
+#: One sentence in so many is taken for rejected by ``mrg_abstractive``.
+_REJECTED = 9
+
+
+@query("mrg_abstractive")
+def abstractive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MRG3 in one call, with context, coverage guard, check and resurrection; it loops over rounds, so tests hold it against a loop.
+
+    Every ninth sentence of a document counts as rejected and has left its section; the whole document is the context's source.
+    A row is one output of a round; the counts of its document stand on each.
+    """
+    rows = sentences(table(spark, sf_dir, "documents")).select("doc_id", F.col("sentence_id").alias("sid"), "section_index", "local_index", "text")
+    out = (F.col("sid") % _REJECTED) == _REJECTED // 2
+    got = A.merge_documents(rows.where(~out), rows.where(out).select("doc_id", F.col("sid").alias("id"), "text"), rows.select("doc_id", "sid", "text"), A.Rules(context_each=2))
+    count = lambda t, name: t.groupBy("doc_id").agg(F.count("*").alias(name))
+    full = got.rounds
+    for t, name in ((got.removed, "removed"), (got.introduced, "introduced"), (got.resurrected, "resurrected")):
+        full = full.join(count(t, name), "doc_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    context = F.array_join(F.transform("context", lambda x: x.cast("string")), ",")
+    return full.select("doc_id", "round", "group_id", "n_blocks", context.alias("context"), F.size("added").alias("n_added"), "output", "removed", "introduced", "resurrected")

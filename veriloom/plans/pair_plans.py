@@ -113,12 +113,7 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored_pairs(rows: DataFrame, floor: float = FLOOR) -> DataFrame:
-    """NLI1: both directions of each lexical pair and their mean."""
-    found = P.lexical_pairs(rows, floor)
-    side = lambda p: rows.select("doc_id", F.col("id").alias(p), F.col("words").alias(f"{p}_words"))
-    both = found.join(side("a"), ["doc_id", "a"]).join(side("b"), ["doc_id", "b"])
-    scored = both.select("doc_id", "a", "b", "common", "sim", M.infer(F.col("a_words"), F.col("b_words"))["contradiction"].alias("score_ab"), M.infer(F.col("b_words"), F.col("a_words"))["contradiction"].alias("score_ba"))
-    return scored.withColumn("score", (F.col("score_ab") + F.col("score_ba")) / 2)
+    return P.scored_pairs(rows, floor)
 
 
 @query("jn_lexical_pairs", f"WITH {_LEX} SELECT doc_id, a, b, common, round(sim, 6) AS sim FROM lex")
