@@ -16,6 +16,7 @@ from ..operators.sentences import SENTENCES_SQL, sentences
 from ..operators.storage import folder, stored
 from ..sources import checkpoint as C
 from ..sources import ingest as I
+from ..sources import layouts as Y
 from .registry import ORACLE_SQL, query, table
 from .structure_plans import planted_flags
 
@@ -53,6 +54,14 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", I.html_to_text(F.col("html")).alias("text"))
 
 
+@query("src_page_layout", f"SELECT page_id, len(x) AS n_blocks, len(list_filter(x, lambda b: starts_with(b.kind, 'h'))) AS n_headings, text FROM (SELECT page_id, {Y.blocks_sql('html')} AS x, {Y.research_sql('html')} AS text FROM pages)")
+def page_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC9: pages as blocks, and as text with headings and longer paragraphs."""
+    x, html = F.col("x"), F.col("html")
+    rows = table(spark, sf_dir, "pages").select("page_id", Y.blocks(html).alias("x"), Y.research(html, ends=()).alias("text"))
+    return rows.select("page_id", F.size(x).cast("long").alias("n_blocks"), F.size(F.filter(x, lambda b: b["kind"].startswith("h"))).cast("long").alias("n_headings"), "text")
+
+
 @query("src_json_shapes", "SELECT item_id, CASE item_id % 3 WHEN 0 THEN text WHEN 1 THEN '# Item ' || item_id || chr(10) || chr(10) || text ELSE '# Item ' || item_id || chr(10) || chr(10) || '## One' || chr(10) || chr(10) || text || chr(10) || chr(10) || text END AS text FROM benchmark")
 def json_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC7: documents saved in three JSON shapes read back."""
