@@ -198,3 +198,21 @@ def test_lexical_nearest_equals_brute_force(spark, monkeypatch, block):
             near = sorted(n for n in near if n[0] <= -0.3)[:most]
             want |= {(d, i, j, s, t) for _, j, t in near if head or not asking}
         assert {tuple(r) for r in got.collect()} == want
+
+
+def test_what_joins_keep_equals_brute_force(spark, monkeypatch):
+    v, df = vectors(spark, 60, 5)
+    monkeypatch.setattr(pairs, "BLOCK", 16)
+    monkeypatch.setattr(pairs, "BATCHES", (8, 16))
+    sims = v @ v.T
+    near = {i: sorted((-sims[i, j], j) for j in range(60) if i % 3 != j % 3 and sims[i, j] >= 0.1)[:3] for i in range(60)}
+    found = pairs.blocked_join(df, df, 0.1, most=3)
+    # three of each of at most eight blocks, not all
+    assert found.groupBy("a").count().agg(F.max("count")).first()[0] <= 24
+    assert {(r.a, r.b) for r in pairs.top_per_row(found, 3).collect()} == {(i, j) for i, x in near.items() for _, j in x}
+    assert {r.id: r.links for r in pairs.link_totals(df, 0.1).collect()} == {i: n for i in range(60) if (n := sum(sims[i, j] >= 0.1 for j in range(60) if j != i))}
+    kept = []
+    for i in range(60):
+        if all(sims[i, j] < 0.4 for j in kept):
+            kept.append(i)
+    assert sorted(r.id for r in pairs.first_kept(df, 0.4).collect()) == kept

@@ -91,11 +91,14 @@ class Rings:
 STEP = 512
 
 
-def _map(df: DataFrame, fn, schema: str) -> DataFrame:
+def _map(df: DataFrame, fn, schema: str, rings: int = 1) -> DataFrame:
+    """``fn`` of steps of rows, so few that a step with all of ``rings`` is about a million pairs at most."""
+    step = max(1, min(STEP, (1 << 20) // max(1, rings)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, STEP):
-                yield fn(batch.slice(i, STEP))
+            for i in range(0, batch.num_rows, step):
+                yield fn(batch.slice(i, step))
 
     return df.mapInArrow(run, schema)
 
@@ -147,7 +150,7 @@ def copies(rings: Rings, left: DataFrame, others: bool = False) -> DataFrame:
         part = batch.take(pa.array(row))
         return pa.record_batch({"bucket": rings.ring[at]} | {c: part.column(c) for c in ("id", "grp", "v")})
 
-    return _map(left.select("id", "grp", "v", "floor"), fn, f"bucket long, id {rings.key}, grp {left.schema['grp'].dataType.simpleString()}, v {left.schema['v'].dataType.simpleString()}")
+    return _map(left.select("id", "grp", "v", "floor"), fn, f"bucket long, id {rings.key}, grp {left.schema['grp'].dataType.simpleString()}, v {left.schema['v'].dataType.simpleString()}", len(rings.ring))
 
 
 def work(rings: Rings, left: DataFrame, others: bool = False) -> dict[str, int]:
@@ -157,5 +160,5 @@ def work(rings: Rings, left: DataFrame, others: bool = False) -> dict[str, int]:
         _, at = rings.reach(matrix(batch.column("v")), batch.column("floor").to_numpy(), others)
         return pa.record_batch({"copies": [len(at)], "pairs": [int(rings.rows[at].sum())]})
 
-    row = _map(left.select("v", "floor"), fn, "copies long, pairs long").agg(F.sum("copies"), F.sum("pairs")).first()
+    row = _map(left.select("v", "floor"), fn, "copies long, pairs long", len(rings.ring)).agg(F.sum("copies"), F.sum("pairs")).first()
     return {"copies": row[0] or 0, "pairs": row[1] or 0}
