@@ -32,18 +32,18 @@ def rewrite(s: Column, speaker: Column, organisation: str) -> Column:
     """DLG2: first person to third, word by word; a plain verb right after the new subject agrees with it."""
     for pattern, to in CONTRACTIONS:
         s = F.regexp_replace(s, pattern, to)
-    words = F.split(s, " ")
     bare = lambda w: F.lower(F.regexp_replace(w, "[^A-Za-z]", ""))
 
-    def one(w: Column, i: Column) -> Column:
+    def one(words: Column, w: Column, i: Column) -> Column:
         before = F.when(i > 0, F.get(words, i - 1)).otherwise("")
         subject = (F.lower(before) == "we") | (before == "I")
         verb = bare(w).isin(*IRREGULAR) | bare(w).isin("see", "expect", "believe", "think", "plan", "want", "need", "know", "continue", "remain", "make")
         end = F.regexp_extract(w, "([^A-Za-z]*)$", 1)
         return F.when(subject & verb, F.concat(third_person(F.regexp_replace(w, "[^A-Za-z]*$", "")), end)).when((bare(w) == "we") | (bare(w) == "us"), F.concat(F.lit(organisation), end)).when(F.regexp_replace(w, "[^A-Za-z]*$", "") == "I", F.concat(speaker, end)).when(bare(w).isin("our", "ours"), F.concat(F.lit(f"{organisation}'s"), end)).when(bare(w) == "me", F.concat(speaker, end)).when(bare(w) == "my", F.concat(speaker, F.lit("'s"), end)).otherwise(w)
 
-    out = F.array_join(F.transform(words, one), " ")
-    return F.concat(F.upper(F.substring(out, 1, 1)), F.substr(out, F.lit(2)))
+    # words are bound once, as the element of an array: each looks at the one before it, and would split the text again
+    out = F.transform(F.array(F.split(s, " ")), lambda words: F.array_join(F.transform(words, lambda w, i: one(words, w, i)), " "))
+    return F.get(F.transform(out, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substr(x, F.lit(2)))), F.lit(0))
 
 
 def describe(turns: DataFrame, organisation: str = "the company") -> DataFrame:
@@ -52,7 +52,8 @@ def describe(turns: DataFrame, organisation: str = "the company") -> DataFrame:
     marked = said.withColumn("act", F.coalesce(T.speech_act(F.col("s")), F.when(T.is_pleasantry(F.col("s")), "pleasantry"))).withColumn("asks", T.is_question(F.col("s")))
     w = Window.partitionBy("conv_id", "turn").orderBy("i")
     kept = marked.where("act IS NULL").withColumn("nth", F.sum(F.when(~F.col("asks"), 1).otherwise(0)).over(w))
-    plain = rewrite(F.col("s"), F.col("speaker"), organisation)
+    kept = kept.withColumn("plain", F.when(~F.col("asks"), rewrite(F.col("s"), F.col("speaker"), organisation)))
+    plain = F.col("plain")
     lower = F.when(F.col("s").rlike("^[A-Z]{2,}|^I "), plain).otherwise(F.concat(F.lower(F.substring(plain, 1, 1)), F.substr(plain, F.lit(2))))
     text = F.when(F.col("asks"), F.concat("speaker", F.lit(" asked: "), "s")).when(F.col("nth") == 1, F.concat("speaker", F.lit(" said that "), lower)).otherwise(plain)
     rendered = kept.groupBy("conv_id", "turn").agg(F.array_join(F.array_sort(F.collect_list(F.struct("i", text.alias("t"))))["t"], " ").alias("text"), F.count("*").alias("kept"))
