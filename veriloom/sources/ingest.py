@@ -118,14 +118,22 @@ def clean_pages(lines: DataFrame) -> DataFrame:
     stands on half of the pages and on three at least.
     """
     full = F.trim("line") != ""
-    up, down = Window.partitionBy("doc_id", "page").orderBy("i"), Window.partitionBy("doc_id", "page").orderBy(F.desc("i"))
-    ranked = lines.withColumn("full", full.cast("int")).withColumn("from_top", F.sum("full").over(up)).withColumn("from_end", F.sum("full").over(down))
+    # lines move once, to their document; places, pages and keys are counted there, a page by its first line
+    doc, page = Window.partitionBy("doc_id"), Window.partitionBy("doc_id", "page")
+    lines = lines.repartition("doc_id").withColumn("full", full.cast("int"))
+    ranked = lines.withColumn("from_top", F.sum("full").over(page.orderBy("i"))).withColumn("all_full", F.sum("full").over(page))
+    # lines that share a place count together from either end, as in a running sum
+    ranked = ranked.withColumn("own_place", F.sum("full").over(Window.partitionBy("doc_id", "page", "i"))).withColumn("from_end", F.col("all_full") - F.col("from_top") + F.col("own_place"))
     numbered = F.col("line").rlike(T.PAGE_NUMBER) & full
-    zoned = ranked.withColumn("zone", full & ((F.col("from_top") <= ZONE) | (F.col("from_end") <= ZONE))).withColumn("key", T.header_key(F.col("line"))).withColumn("number", numbered)
-    pages = lines.groupBy("doc_id").agg(F.count_distinct("page").alias("pages"))
-    keys = zoned.where(F.col("zone") & ~F.col("number")).groupBy("doc_id", "key").agg(F.count_distinct("page").alias("n")).join(pages, "doc_id")
-    keys = keys.where((F.col("n") >= F.greatest(F.lit(float(LEAST_PAGES)), SHARE * F.col("pages"))) & (F.col("key") != "")).select("doc_id", "key", F.lit(True).alias("runs"))
-    return zoned.where(~F.col("number")).join(keys, ["doc_id", "key"], "left").where(~(F.col("zone") & F.col("runs").eqNullSafe(True))).select("doc_id", "page", "i", "line")
+    zoned = ranked.withColumn("zone", full & ((F.col("from_top") <= ZONE) | (F.col("from_end") <= ZONE))).withColumn("number", numbered)
+    # keys are needed in the zones alone
+    zoned = zoned.withColumn("key", F.when(F.col("zone"), T.header_key(F.col("line"))))
+    zoned = zoned.withColumn("starts", (F.row_number().over(page.orderBy("i")) == 1).cast("int")).withColumn("pages", F.sum("starts").over(doc))
+    zoned = zoned.withColumn("held", F.col("zone") & ~F.col("number"))
+    zoned = zoned.withColumn("stands", (F.col("held") & (F.row_number().over(Window.partitionBy("doc_id", "key", "held", "page").orderBy("i")) == 1)).cast("int"))
+    standing = F.sum("stands").over(Window.partitionBy("doc_id", "key"))
+    runs = (standing >= F.greatest(F.lit(float(LEAST_PAGES)), SHARE * F.col("pages"))) & (F.col("key") != "") & F.col("doc_id").isNotNull()
+    return zoned.withColumn("runs", F.coalesce(F.col("zone") & runs, F.lit(False))).where(~F.col("number") & ~F.col("runs")).select("doc_id", "page", "i", "line")
 
 
 def html_to_text(html: Column) -> Column:
