@@ -17,13 +17,17 @@ from . import boundaries as B
 def gap_similarities(rows: DataFrame, window: int = 3) -> DataFrame:
     """(doc_id, gap, sim) for rows (doc_id, i, v): cosine of the mean vectors on both sides of each gap.
 
-    Dimensions become rows, so that sliding frames give the means.
+    Sliding frames hold the few vectors on either side, whose means are arrays: a row stays one row, whatever its dimensions.
     """
-    dims = rows.select("doc_id", "i", F.posexplode("v").alias("d", "x"))
-    w = Window.partitionBy("doc_id", "d").orderBy("i")
-    x = F.col("x").cast("double")
-    sides = dims.select("doc_id", "i", "d", F.avg(x).over(w.rowsBetween(1 - window, 0)).alias("l"), F.avg(x).over(w.rowsBetween(1, window)).alias("r")).where("r IS NOT NULL")
-    sums = sides.groupBy("doc_id", F.col("i").alias("gap")).agg(F.sum(F.col("l") * F.col("r")).alias("lr"), F.sum(F.col("l") * F.col("l")).alias("ll"), F.sum(F.col("r") * F.col("r")).alias("rr"))
+    w = Window.partitionBy("doc_id").orderBy("i")
+    near = lambda first, last: F.collect_list("v").over(w.rowsBetween(first, last))
+    sides = rows.where(F.col("v").isNotNull()).select("doc_id", "i", near(1 - window, 0).alias("l"), near(1, window).alias("r")).where(F.size("r") > 0)
+    total = lambda vs: F.aggregate(F.slice(vs, 2, window), F.transform(F.get(vs, F.lit(0)), lambda x: x.cast("double")), lambda s, v: F.zip_with(s, v, lambda a, b: a + b.cast("double")))
+    sums = sides.select("doc_id", "i", *[total(F.col(c)).alias(f"sum_{c}") for c in "lr"], *[F.size(c).alias(f"n_{c}") for c in "lr"])
+    mean = lambda c: F.transform(f"sum_{c}", lambda x: x / F.col(f"n_{c}")).alias(c)
+    means = sums.select("doc_id", "i", mean("l"), mean("r"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    sums = means.select("doc_id", F.col("i").alias("gap"), dot("l", "r").alias("lr"), dot("l", "l").alias("ll"), dot("r", "r").alias("rr"))
     return sums.select("doc_id", "gap", (F.col("lr") / (F.sqrt("ll") * F.sqrt("rr") + 1e-9)).alias("sim"))
 
 
