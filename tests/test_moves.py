@@ -76,3 +76,12 @@ def test_turns_are_split_once(spark):
     assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") <= 1
     long = spark.range(1).select(F.repeat(F.lit("we expect rain, I see our ship "), 3000).alias("s")).select(dialogue.rewrite(F.col("s"), F.lit("Ann"), "Acme").alias("t"))
     assert long.first()[0].startswith("Acme expects rain, Ann sees Acme's ship Acme expects")
+
+
+def test_a_sentence_is_embedded_once(spark):
+    from veriloom.functions import models
+
+    df = spark.createDataFrame([("rain fell and rain rose",), ("",)], "s string").select(models.embed(F.col("s"), 4).alias("v"))
+    assert df._jdf.queryExecution().analyzed().toString().count("regexp_extract_all(") == 1
+    got = [r["v"] for r in df.collect()]
+    assert abs(sum(x * x for x in got[0]) - 1) < 1e-6 and got[1] == [0.0] * 4
