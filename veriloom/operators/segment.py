@@ -148,7 +148,7 @@ def segment_documents(docs: DataFrame, embed: Callable[[Column], Column] = M.emb
     valleys, their titles numbered.  A text without sentences has no section.  ``learned`` is as in ``sentences``.
     """
     docs = docs.select("doc_id", "text")
-    split = T.sentences if learned is None else lambda text: T.sentences_by(text, B.learned_abbreviation, B.learned_starter)
+    split = T.sentences if learned is None else B.learned_sentences
     own = [] if learned is None else ["own_short", "own_starts"]
     docs = docs if learned is None else B.with_own_words(docs, *learned)
     lines = docs.where("text IS NOT NULL").select("doc_id", *own, F.posexplode(F.split("text", "\n")).alias("i", "line")).withColumn("title", T.heading(F.col("line")))
