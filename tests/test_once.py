@@ -35,3 +35,9 @@ def test_learned_words_are_looked_for_where_sentences_end(spark):
     for r in rows(sentences(new, learned), "doc_id", "sentence_id"):
         got.setdefault(r["doc_id"], []).append(r["text"])
     assert got == {1: ['The so-called"capt. Marsh sailed.', "He left."], 2: ["The CAPT. Marsh sailed.", "He left."], 3: ["The capt.", "Ships sank."]}
+
+
+def test_sections_are_made_once(spark, tmp_path):
+    made, calls = counting(spark)
+    texts = spark.createDataFrame([(i, 0, f"w{i} " * 60) for i in range(20)], "doc_id long, section_index long, text string").select("doc_id", "section_index", made("text").alias("text"))
+    assert len(generation.summarize_sections(texts, str(tmp_path / "c")).collect()) == 20 and calls.value == 20

@@ -79,6 +79,8 @@ def summarize_sections(sections: DataFrame, path: str, generator: Generator = le
     n = T.count_tokens(text)
     least, most = bounds(n)
     keyed = sections.select("doc_id", "section_index", text.alias("text"), (n <= verbatim).alias("passes"), least.alias("least"), most.alias("most")).withColumn("key", C.generation_key(F.col("least"), F.col("most"), F.col("text")))
+    # written once: each wave reads its own part, and texts and keys aren't made again for it
+    keyed = stored(keyed, "keyed-sections")
     open_ = keyed.where("NOT passes").groupBy("key").agg(F.min("section_index").alias("section_index"), F.first("text").alias("input"), F.first("least").alias("least"), F.first("most").alias("most"))
     restored = stored(C.known(spark, path).select("key", F.lit(True).alias("was")), "restored-keys")
     for wave in range(waves):
