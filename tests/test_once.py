@@ -56,3 +56,12 @@ def test_new_tokens_in_place_equal_those_by_shuffle(spark):
     assert moved_schemas(here) == []
     found = rows(here, "doc_id", "sentence_id")
     assert found and found == rows(text_plans._new_by_shuffle(sentences(docs)), "doc_id", "sentence_id")
+
+
+def test_asserting_is_asked_as_the_tags_say(spark, monkeypatch):
+    model = tagger.train(tagger.labelled(spark))
+    texts = ["The ferry left.", None, "", "SHE WILL SIGN THE LEASE", "Odo Marsh with Harbour News", *[f"Crew {'anchor ' * (i % 7)}sailed for {i} hours" for i in range(40)]]
+    for step, held in ((100_000, 100_000), (20, 3)):
+        monkeypatch.setattr(tagger, "STEP_WORDS", step)
+        monkeypatch.setattr(tagger, "HELD", held)
+        assert list(tagger.any_of_many(model, texts)) == [any(x in tagger.ASSERTS for x in t) for t in tagger.tags_of_many(model, texts)]

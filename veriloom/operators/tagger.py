@@ -172,31 +172,84 @@ def words_of(text: str | None) -> list[str]:
     return re.findall(WORD, text)
 
 
-def tags_of_many(model: Model, texts: list[str | None]) -> list[str]:
-    """A letter for each word of each text."""
-    letters = np.array(list(TAGS))
-    out, start = [""] * len(texts), 0
+class _Given:
+    """``Model.gives`` of words as row numbers of a table: each word is looked up once."""
+
+    def __init__(self, model: Model):
+        self.words = {w: i for i, w in enumerate(model.words)}
+        self.ends = {e: len(self.words) + i for i, e in enumerate(model.ends)}
+        self.rows = np.stack([*model.words.values(), *model.ends.values()])
+        self.shapes, self.looks = {s: i + 1 for i, s in enumerate(model.shapes)}, np.stack([np.zeros(len(TAGS)), *model.shapes.values()])
+        self.numbers: dict[tuple[str, bool], int] = {}
+        self.row: list[int] = []
+        self.look: list[int] = []
+
+    def number(self, key: tuple[str, bool]) -> int:
+        word, later = key
+        low = word.lower()
+        row, look = self.words.get(low), 0
+        if row is None:
+            kind = shape(word)
+            look = self.shapes[kind] if later or kind == "digit" else 0
+            row = next(self.ends[low[len(low) - n :]] for n in (4, 3, 2, 1, 0) if n <= len(low) and low[len(low) - n :] in self.ends)
+        self.row.append(row)
+        self.look.append(look)
+        self.numbers[key] = len(self.numbers)
+        return self.numbers[key]
+
+    def table(self) -> np.ndarray:
+        return self.looks[self.look] + self.rows[self.row]
+
+
+def _steps(model: Model, texts: list[str | None]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray]]:
+    """(places of the texts, gives, words, lengths) for ``viterbi_many``: texts of like lengths, as many as a step takes; texts without words are in none."""
     split = [words_of(t) for t in texts]
     order = sorted((i for i, w in enumerate(split) if w), key=lambda i: len(split[i]))
+    given, start = _Given(model), 0
     while start < len(order):
-        # sentences of like lengths, as many as a step takes
-        part, start_words, numbers = [], len(split[order[start]]), {}
-        while start < len(order) and (not part or (len(part) + 1) * len(split[order[start]]) <= STEP_WORDS and len(split[order[start]]) <= 2 * start_words + 4 and len(numbers) < HELD):
-            part.append(order[start])
-            for at, w in enumerate(split[order[start]]):
-                numbers.setdefault((w, at > 0), len(numbers))
-            start += 1
-        gives = np.stack([model.gives(w, at) for w, at in numbers])
+        if len(given.numbers) >= HELD:
+            given = _Given(model)
+        shortest = len(split[order[start]])
+        end = start + 1
+        while end < len(order) and (end - start + 1) * len(split[order[end]]) <= STEP_WORDS and len(split[order[end]]) <= 2 * shortest + 4:
+            end += 1
+        part = order[start:end]
+        known, number = given.numbers, given.number
+        flat = []
+        for i in part:
+            own = split[i]
+            for at, w in enumerate(own):
+                key = (w, at > 0)
+                found = known.get(key)
+                flat.append(number(key) if found is None else found)
         lengths = np.array([len(split[i]) for i in part])
         words = np.zeros((len(part), lengths.max()), np.int64)
-        for row, i in enumerate(part):
-            words[row, : lengths[row]] = [numbers[w, at > 0] for at, w in enumerate(split[i])]
+        words[np.arange(lengths.max()) < lengths[:, None]] = flat
+        yield part, given.table(), words, lengths
+        start = end
+
+
+def tags_of_many(model: Model, texts: list[str | None]) -> list[str]:
+    """A letter for each word of each text."""
+    letters = np.array(list(TAGS))
+    out = [""] * len(texts)
+    for part, gives, words, lengths in _steps(model, texts):
         found = letters[viterbi_many(model.first, model.follow, gives, words, lengths)]
         for row, i in enumerate(part):
             out[i] = "".join(found[row, : lengths[row]])
     return out
 
 
+def any_of_many(model: Model, texts: list[str | None], tags: str = ASSERTS) -> np.ndarray:
+    """Whether the best tags of each text hold one of ``tags``."""
+    wanted = np.array([t in tags for t in TAGS])
+    out = np.zeros(len(texts), bool)
+    for part, gives, words, lengths in _steps(model, texts):
+        inside = np.arange(words.shape[1]) < lengths[:, None]
+        out[part] = (wanted[viterbi_many(model.first, model.follow, gives, words, lengths)] & inside).any(axis=1)
+    return out
+
+
 def tags_of(model: Model, text: str | None) -> str:
     """A letter for each word of a text."""
     return tags_of_many(model, [text])[0]
@@ -220,11 +273,14 @@ def asserts(model: Model):
 
     @pandas_udf("boolean")
     def found(texts):
-        return pd.Series([any(x in ASSERTS for x in tags) for tags in tags_of_many(model, texts.tolist())], dtype=bool)
+        return pd.Series(any_of_many(model, texts.tolist()))
+
+    number = rf"(?<![A-Za-z])(?i:{'|'.join(T.NUMBER_WORDS)})(?![A-Za-z])"
 
     def check(text: Column) -> Column:
-        low = F.transform(F.regexp_extract_all(text, F.lit("[A-Za-z]+"), F.lit(0)), lambda w: F.lower(w))
-        return text.rlike("[0-9]") | F.exists(low, lambda w: w.isin(*T.NUMBER_WORDS)) | found(text)
+        sure = text.rlike("[0-9]") | text.rlike(number)
+        # the tagger reads what isn't settled without it
+        return sure | found(F.when(~sure, text))
 
     return check
 
