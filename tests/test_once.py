@@ -65,3 +65,12 @@ def test_asserting_is_asked_as_the_tags_say(spark, monkeypatch):
         monkeypatch.setattr(tagger, "STEP_WORDS", step)
         monkeypatch.setattr(tagger, "HELD", held)
         assert list(tagger.any_of_many(model, texts)) == [any(x in tagger.ASSERTS for x in t) for t in tagger.tags_of_many(model, texts)]
+
+
+def test_rounds_are_made_once(spark):
+    made, calls = counting(spark)
+    rows_ = spark.createDataFrame([(1, s, 0, f"Berth {s} has {s + 3} large cranes.") for s in range(9)], "doc_id long, section_index long, local_index long, text string")
+    none = spark.createDataFrame([], "doc_id long, id long, text string")
+    got = abstractive.merge_documents(rows_, none, rules=abstractive.Rules(most_blocks=2), summarise=lambda text, least, most: made(text))
+    n = got.rounds.count()
+    assert [t.count() for t in got][1] == n and calls.value == n
